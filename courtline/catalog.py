@@ -6,7 +6,7 @@ import importlib
 
 from courtline.plans import registry
 
-MODULES = ["schedule"]
+MODULES = ["schedule", "betting", "normalize"]
 
 
 def entries() -> dict[str, registry.Entry]:

@@ -1,0 +1,21 @@
+"""Broadcast behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is.
+
+    The small table is cached, so the check and the join compute it once. Beyond
+    the bound Spark joins by shuffle.
+    """
+    kept = df.persist()
+    if kept.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df

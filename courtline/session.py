@@ -12,6 +12,7 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8) -> SparkSess
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("courtline")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
