@@ -60,34 +60,49 @@ def devig_multiplicative(first: Column, second: Column) -> Column:
     return _fair(implied(first) / total, implied(second) / total, total - 1.0)
 
 
-def power_exponent(first: Column, second: Column) -> Column:
-    """The k in [.5, 2] with p1^k + p2^k = 1, else null.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``."""
+    return F.transform(F.array(value), use)[0]
 
-    The sum is convex and falls in k, so Newton steps from the low bound climb
-    to the root without overshooting.
-    """
+
+def _power_root(logs: Column) -> Column:
     low, high = POWER_BOUNDS
-    log1, log2 = F.ln(implied(first)), F.ln(implied(second))
+    log1, log2 = logs["a"], logs["b"]
+
+    def newton(k: Column, _: Column) -> Column:
+        return _let(
+            F.struct(F.exp(k * log1).alias("u"), F.exp(k * log2).alias("v")),
+            lambda e: k - (e["u"] + e["v"] - 1.0) / (log1 * e["u"] + log2 * e["v"]),
+        )
 
-    def excess(k: Column) -> Column:
+    def excess(k: float) -> Column:
         return F.exp(k * log1) + F.exp(k * log2) - 1.0
 
-    def slope(k: Column) -> Column:
-        return log1 * F.exp(k * log1) + log2 * F.exp(k * log2)
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(low), newton)
+    return F.when((excess(low) >= 0) & (excess(high) <= 0), root)
 
-    root = F.aggregate(
-        F.sequence(F.lit(1), F.lit(NEWTON_STEPS)),
-        F.lit(low),
-        lambda k, _: k - excess(k) / slope(k),
-    )
-    bracketed = (excess(F.lit(low)) >= 0) & (excess(F.lit(high)) <= 0)
-    return F.when(bracketed, root)
+
+def _logs(first: Column, second: Column) -> Column:
+    return F.struct(F.ln(implied(first)).alias("a"), F.ln(implied(second)).alias("b"))
+
+
+def power_exponent(first: Column, second: Column) -> Column:
+    """The k in [.5, 2] with p1^k + p2^k = 1, else null.
+
+    The sum is convex and falls in k, so Newton steps from the low bound climb
+    to the root without overshooting.
+    """
+    return _let(_logs(first, second), _power_root)
 
 
 def devig_power(first: Column, second: Column) -> Column:
-    k = power_exponent(first, second)
-    return _fair(
-        F.pow(implied(first), k), F.pow(implied(second), k), overround(first, second)
+    vig = overround(first, second)
+    return _let(
+        _logs(first, second),
+        lambda logs: _let(
+            _power_root(logs),
+            lambda k: _fair(F.exp(k * logs["a"]), F.exp(k * logs["b"]), vig),
+        ),
     )
 
 
