@@ -7,18 +7,20 @@ of its players' hulls.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtline.functions.misc import lineup_hash
+from courtline.session import ensure_checkpoint_dir
 
 # Court marks (tenths of feet), sample minimums, density grid.
 CORNER_X, CORNER_Y = 220, 90
 MIN_LINEUP_SHOTS, MIN_DENSITY_SHOTS, MIN_SEASON_SHOTS = 20, 10, 100
 GRID = 50
 X_RANGE, Y_RANGE = (-250, 250), (-50, 400)
+POINT_BLOCK = 512
 
 _POINTS = "array<struct<x:double,y:double>>"
 
@@ -129,49 +131,70 @@ def busy_seasons(shots: DataFrame, season: str, least: int = MIN_SEASON_SHOTS) -
     return shots.groupBy(season).count().filter(F.col("count") >= least).select(season)
 
 
-def shot_density(shots: DataFrame, player: str = "player_id", grid: int = GRID) -> DataFrame:
-    """Gaussian density of each player's shots on a grid x grid lattice.
+def _density_of_player(player: str, grid: int):
+    """Grouped map: distinct points of one player with counts -> one lattice row."""
+    gx, gy = np.meshgrid(np.linspace(*X_RANGE, grid), np.linspace(*Y_RANGE, grid), indexing="ij")
+    cells = np.column_stack([gx.ravel(), gy.ravel()])
+
+    def estimate(rows: pd.DataFrame) -> pd.DataFrame:
+        k = rows["k"].to_numpy(dtype=float)
+        at = rows[["loc_x", "loc_y"]].to_numpy(dtype=float)
+        n = k.sum()
+        empty = rows[[player]].head(0).assign(density=[])
+        if n < MIN_DENSITY_SHOTS:
+            return empty
+        centred = at - (at * k[:, None]).sum(0) / n
+        cov = (centred * k[:, None]).T @ centred / (n - 1) * n ** (-1.0 / 3.0)
+        det = np.linalg.det(cov)
+        if det <= 1e-9:
+            return empty
+        whiten = np.linalg.cholesky(np.linalg.inv(cov))
+        at, to = at @ whiten, cells @ whiten
+        total = np.zeros(len(to))
+        for lo in range(0, len(at), POINT_BLOCK):
+            block, weight = at[lo : lo + POINT_BLOCK], k[lo : lo + POINT_BLOCK]
+            gap = (to[:, 0, None] - block[:, 0]) ** 2 + (to[:, 1, None] - block[:, 1]) ** 2
+            total += np.exp(-0.5 * gap) @ weight
+        total /= n * 2 * np.pi * np.sqrt(det)
+        return pd.DataFrame({player: rows[player].iloc[:1], "density": [total.tolist()]})
+
+    return estimate
+
+
+def density_rows(shots: DataFrame, player: str = "player_id", grid: int = GRID) -> DataFrame:
+    """Gaussian density of each player's shots as one array over a grid x grid lattice.
 
     Bandwidth n^(-1/6) on the full sample covariance. Players with fewer than ten
-    shots, or with shots on a line, have no rows (a density of zero). Identical
-    points are counted first; every point then meets the fixed lattice in the row.
+    shots, or with shots on a line, have no row (a density of zero). Shots are
+    counted per court point first, so a group is at most the points of the half
+    court, however many shots a player has. The partition count is given because
+    the work per input byte is far above what adaptive coalescing assumes.
     """
+    spark = shots.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = shots.groupBy(player, "loc_x", "loc_y").agg(F.count(F.lit(1)).alias("k"))
-    x, y = F.col("loc_x").cast("double"), F.col("loc_y").cast("double")
-    shape = shots.groupBy(player).agg(
-        F.count(F.lit(1)).alias("n"), F.var_samp(x).alias("xx"), F.var_samp(y).alias("yy"),
-        F.covar_samp(x, y).alias("xy"),
-    ).filter(F.col("n") >= MIN_DENSITY_SHOTS)
-    scale = F.pow(F.col("n"), F.lit(-1.0 / 3.0))
-    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-    kernel = shape.filter(det > 1e-9).select(
-        player,
-        (F.col("yy") / det / scale).alias("a"),
-        (-F.col("xy") / det / scale).alias("b"),
-        (F.col("xx") / det / scale).alias("c"),
-        (1.0 / (2 * math.pi * F.sqrt(det) * scale * F.col("n"))).alias("height"),
+    kind = shots.select(player).schema[0].dataType.simpleString()
+    return points.repartition(parts, player).groupBy(player).applyInPandas(
+        _density_of_player(player, grid), f"{player} {kind}, density array<double>"
     )
 
-    def mark(i: Column, span: tuple[int, int]) -> Column:
-        return span[0] + i * ((span[1] - span[0]) / (grid - 1))
 
-    cells = points.join(kernel, player).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))).alias("cell")
-    )
-    dx = mark(F.floor(F.col("cell") / grid), X_RANGE) - F.col("loc_x")
-    dy = mark(F.col("cell") % grid, Y_RANGE) - F.col("loc_y")
-    power = F.col("a") * dx * dx + 2 * F.col("b") * dx * dy + F.col("c") * dy * dy
-    return cells.groupBy(player, "cell").agg(
-        F.sum(F.col("k") * F.col("height") * F.exp(-0.5 * power)).alias("density")
+def shot_density(shots: DataFrame, player: str = "player_id", grid: int = GRID) -> DataFrame:
+    """The density lattice as one row per (player, cell)."""
+    return density_rows(shots, player, grid).select(
+        player, F.posexplode("density").alias("cell", "density")
     )
 
 
 def gravity_overlap(lineups: DataFrame, density: DataFrame) -> DataFrame:
     """Mean pairwise overlap of the players' densities over their mean mass, at most 1.
 
-    Teammate pairs are taken inside the lineup array (ten at most); each distinct
+    ``density`` is the output of ``density_rows``; it is checkpointed because it is read
+    for both members of a pair. Teammate pairs are taken inside the lineup array (ten at most); each distinct
     pair of players is overlapped once, however many lineups it is in.
     """
+    ensure_checkpoint_dir(density.sparkSession)
+    density = density.checkpoint()
     named = lineups.select("lineup", lineup_hash(F.col("lineup")).alias("lineup_hash"))
     ordered = F.sort_array("lineup")
     pairs = named.select(
@@ -188,14 +211,15 @@ def gravity_overlap(lineups: DataFrame, density: DataFrame) -> DataFrame:
             )
         ).alias("pair"),
     ).select("lineup_hash", "pair.p", "pair.q")
-    one = density.select(F.col("player_id").alias("p"), "cell", F.col("density").alias("dp"))
-    two = density.select(F.col("player_id").alias("q"), "cell", F.col("density").alias("dq"))
-    shared = (
-        pairs.select("p", "q").distinct()
-        .join(one, "p").join(two, ["q", "cell"])
-        .groupBy("p", "q").agg(F.sum(F.least("dp", "dq")).alias("overlap"))
+    one = density.select(F.col("player_id").alias("p"), F.col("density").alias("dp"))
+    two = density.select(F.col("player_id").alias("q"), F.col("density").alias("dq"))
+    both = F.zip_with("dp", "dq", lambda a, b: F.least(a, b))
+    shared = pairs.select("p", "q").distinct().join(one, "p").join(two, "q").select(
+        "p", "q", F.aggregate(both, F.lit(0.0), lambda acc, v: acc + v).alias("overlap")
+    )
+    mass = density.select(
+        "player_id", F.aggregate("density", F.lit(0.0), lambda acc, v: acc + v).alias("mass")
     )
-    mass = density.groupBy("player_id").agg(F.sum("density").alias("mass"))
     members = named.select("lineup_hash", F.explode("lineup").alias("player_id"))
     mean_mass = members.join(mass, "player_id").groupBy("lineup_hash").agg(F.avg("mass").alias("mass"))
     met = pairs.join(shared, ["p", "q"]).groupBy("lineup_hash").agg(F.avg("overlap").alias("overlap"))

@@ -184,7 +184,7 @@ oo AS (SELECT a.h, avg(o) AS o FROM m a JOIN m c ON a.h = c.h AND a.p < c.p JOIN
 SELECT h AS lineup_hash, round(least(o / mass, 1), 6) AS overlap FROM mm JOIN oo USING (h)""",
 )
 def gravity_overlap(spark, sf_dir):
-    density = spacing.shot_density(b.shots(spark, sf_dir))
+    density = spacing.density_rows(b.shots(spark, sf_dir))
     lineups = b.lineups(spark, sf_dir).select("lineup").distinct()
     out = spacing.gravity_overlap(lineups, density)
     return out.select("lineup_hash", F.round("overlap", 6).alias("overlap"))
