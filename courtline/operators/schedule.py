@@ -39,23 +39,29 @@ def team_rows(games: DataFrame) -> DataFrame:
     return games.select(*keep, side).select(*keep, "side.*")
 
 
-def team_days(games: DataFrame) -> DataFrame:
+def team_days(games: DataFrame, by: tuple[str, ...] = ("team_id",)) -> DataFrame:
     """One row per (team, day): the venue of that day's game, lowest game id first."""
-    rows = team_rows(games.select("game_id", "game_date", "home_team_id", "away_team_id"))
+    extra = [c for c in by if c != "team_id"]
+    rows = team_rows(games.select("game_id", "game_date", "home_team_id", "away_team_id", *extra))
     first = F.min(F.struct("game_id", "is_home", F.col("home_team_id").alias("venue_team")))
-    return rows.groupBy("team_id", "game_date").agg(first.alias("g")).select(
-        "team_id", "game_date", "g.is_home", "g.venue_team"
+    return rows.groupBy(*by, "game_date").agg(first.alias("g")).select(
+        *by, "game_date", "g.is_home", "g.venue_team"
     )
 
 
 def schedule_flags(
-    days: DataFrame, lat: Column, lon: Column, travel_days: int = TRAVEL_DAYS
+    days: DataFrame,
+    lat: Column,
+    lon: Column,
+    travel_days: int = TRAVEL_DAYS,
+    by: tuple[str, ...] = ("team_id",),
 ) -> DataFrame:
     """Rest, density, streak and travel columns for every (team, day).
 
     ``lat`` and ``lon`` locate ``venue_team``; null where the venue is unknown.
+    ``by`` may add a season, so that look-backs stay inside it.
     """
-    by_team = Window.partitionBy("team_id").orderBy("day_no")
+    by_team = Window.partitionBy(*by).orderBy("day_no")
     numbered = days.withColumn("day_no", F.unix_date("game_date")).withColumns(
         {"lat": lat, "lon": lon}
     )
@@ -96,13 +102,13 @@ def schedule_flags(
         F.col("legs"), lambda x: x["left_on"] > F.col("day_no") - F.lit(travel_days)
     )
     miles = F.aggregate(in_reach, F.lit(0.0), lambda acc, x: acc + x["miles"])
-    streak = F.row_number().over(Window.partitionBy("team_id", "streak_no").orderBy("day_no"))
+    streak = F.row_number().over(Window.partitionBy(*by, "streak_no").orderBy("day_no"))
     gap = F.col("day_no") - F.col("previous_day") - 1
     rest = F.when(gap.isNull(), OPENER_REST).when(gap < 0, 0).otherwise(gap)
     return (
         walked.withColumns({"rest_days": rest, "streak": streak, "miles": miles})
         .select(
-            "team_id",
+            *by,
             "game_date",
             F.col("rest_days"),
             (F.col("rest_days") == 0).alias("back_to_back"),
