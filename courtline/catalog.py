@@ -6,7 +6,7 @@ import importlib
 
 from courtline.plans import registry
 
-MODULES = ["schedule", "betting", "normalize", "odds", "plays", "ratings", "context"]
+MODULES = ["schedule", "betting", "normalize", "odds", "plays", "ratings", "context", "monitor"]
 
 
 def entries() -> dict[str, registry.Entry]:
