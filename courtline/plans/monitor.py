@@ -73,12 +73,12 @@ def play_probabilities(spark, sf_dir):
 def player_ratings(spark, sf_dir):
     rows = b.table(spark, sf_dir, "orders").filter("o_custkey % 17 <> 0").select(
         F.col("o_custkey").alias("player_id"), F.to_date("o_orderdate").alias("calculation_date"),
-        "o_orderkey", ((F.pmod(F.col("o_orderkey") * 31, F.lit(100)) - 50) / 7.0).alias("rapm"),
+        "o_orderkey", (F.sqrt(F.pmod(F.col("o_orderkey") * 31, F.lit(100)) + 0.5) - 5.0).alias("rapm"),
     )
     return inj.latest_ratings(rows, ["calculation_date", "o_orderkey"])
 
 
-_RATING_SQL = "rat AS (SELECT o_custkey AS player_id, arg_max(((o_orderkey * 31) % 100 - 50) / 7.0::DOUBLE, (date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)))::HUGEINT * 1000000000000 + o_orderkey) AS rapm FROM orders WHERE o_custkey % 17 <> 0 GROUP BY 1)"
+_RATING_SQL = "rat AS (SELECT o_custkey AS player_id, arg_max(sqrt((o_orderkey * 31) % 100 + 0.5::DOUBLE) - 5, (date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)))::HUGEINT * 1000000000000 + o_orderkey) AS rapm FROM orders WHERE o_custkey % 17 <> 0 GROUP BY 1)"
 
 
 @query(
