@@ -6,7 +6,10 @@ import importlib
 
 from courtline.plans import registry
 
-MODULES = ["schedule", "betting", "normalize", "odds", "plays", "ratings", "context", "monitor"]
+MODULES = [
+    "schedule", "betting", "normalize", "odds", "plays", "ratings", "context", "monitor", "tables",
+    "streams",
+]
 
 
 def entries() -> dict[str, registry.Entry]:
