@@ -70,10 +70,8 @@ def _power_root(logs: Column) -> Column:
     log1, log2 = logs["a"], logs["b"]
 
     def newton(k: Column, _: Column) -> Column:
-        return _let(
-            F.struct(F.exp(k * log1).alias("u"), F.exp(k * log2).alias("v")),
-            lambda e: k - (e["u"] + e["v"] - 1.0) / (log1 * e["u"] + log2 * e["v"]),
-        )
+        u, v = F.exp(k * log1), F.exp(k * log2)
+        return k - (u + v - 1.0) / (log1 * u + log2 * v)
 
     def excess(k: float) -> Column:
         return F.exp(k * log1) + F.exp(k * log2) - 1.0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from courtline.functions import odds as o
 from courtline.operators.metrics import INITIAL_BANKROLL
 from courtline.operators.ordered import running
+from courtline.operators.sizes import spread
 from courtline.session import ensure_checkpoint_dir
 
 # Fold geometry, fractions to try, held-out share.
@@ -18,9 +19,8 @@ FRACTIONS = [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
 def ranked(games: DataFrame, levels: list[str], order: list[str]) -> DataFrame:
     """Games with their 0-based position in date order and the number of games."""
     placed = running(games, [], levels, order, rank="position")
-    size = games.agg(F.count(F.lit(1)).alias("total_games"))
-    # one row, so the join is a broadcast of a single count
-    return placed.withColumn("position", F.col("position") - 1).join(F.broadcast(size))
+    size = games.agg(F.count(F.lit(1))).scalar()
+    return placed.withColumns({"position": F.col("position") - 1, "total_games": size})
 
 
 def validation_rows(
@@ -79,8 +79,8 @@ def folds(
         .filter(F.pmod(F.col("position") + 1 - min_train, F.lit(step)) == 0)
         .select((F.col("position") + 1).alias("train_games"), F.col(date).alias("train_end"))
     )
-    start = games.agg(F.min(date).alias("train_start"))
-    return val.join(edge_rows, "train_games").join(F.broadcast(start))
+    start = games.agg(F.min(date)).scalar()
+    return val.join(edge_rows, "train_games").withColumn("train_start", start)
 
 
 def temporal_split(
@@ -189,7 +189,7 @@ def fraction_grid(
         .when(F.col("result") == "loss", -1.0)
         .otherwise(0.0)
     )
-    grid = bets.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
+    grid = spread(bets, "game_id").withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
     size = o.kelly(
         F.col("model_prob"), F.col("market_odds"), fraction=F.col("fraction"), cap=cap,
         min_edge=min_edge,

@@ -160,9 +160,9 @@ def drift_windows(
     rows: DataFrame, day: str, features: list[str], days: int, trained: tuple | None = None
 ) -> DataFrame:
     """Drift of the last ``days`` against the training dates, or else the days before."""
-    last = rows.agg(F.max(day).alias("__last"))
-    dated = rows.join(F.broadcast(last))
-    age = F.datediff("__last", day)
+    last = rows.agg(F.max(day)).scalar()
+    dated = rows.withColumn("__age", F.datediff(last, F.col(day)))
+    age = F.col("__age")
     recent = dated.filter(age < days)
     if trained is not None:
         reference = dated.filter(F.col(day).between(*[F.lit(d) for d in trained]))
@@ -220,11 +220,12 @@ def retrain_triggers(
         (F.col("status") == "completed") & (F.col("game_date") > F.lit(trained_on))
         & (F.col("game_date") <= F.lit(as_of))
     )
-    row = (
-        bets.agg(F.coalesce(poor, F.lit(False)).alias("performance"))
-        .join(fresh.agg((F.count(F.lit(1)) >= new_games).alias("data")))
-        .join(drift.agg(F.coalesce(F.bool_or("is_drifted"), F.lit(False)).alias("drift")))
-        .withColumn("scheduled", F.lit((as_of - trained_on).days >= days))
+    row = bets.agg(F.coalesce(poor, F.lit(False)).alias("performance")).withColumns(
+        {
+            "data": fresh.agg(F.count(F.lit(1)) >= new_games).scalar(),
+            "drift": drift.agg(F.coalesce(F.bool_or("is_drifted"), F.lit(False))).scalar(),
+            "scheduled": F.lit((as_of - trained_on).days >= days),
+        }
     )
     return row.select(
         "scheduled", "drift", "performance", "data",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtline.functions import odds as o
+from courtline.operators.sizes import spread
 
 MARKETS = ("moneyline", "spread", "total")
 
@@ -89,7 +90,7 @@ def game_bets(
         "total": (("over", "under"), over, ("over_odds", "under_odds"),
                   (points > F.col("total"), points < F.col("total")), 0.5),
     }
-    filled = games.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+    filled = spread(games, "game_id").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
     solved = filled.withColumns(
         {
             **{f"__p_{m}": views[m][1] for m in markets},
@@ -131,7 +132,7 @@ def signals(
     ``predictions`` has game_id, home_win_prob_adjusted, predicted_margin_adjusted,
     predicted_total_adjusted, confidence and injury_uncertainty.
     """
-    priced = predictions.join(with_default_odds(odds), "game_id").withColumns(
+    priced = spread(predictions.join(with_default_odds(odds), "game_id"), "game_id").withColumns(
         {
             "__ml": o.devig_power(F.col("home_ml"), F.col("away_ml")),
             "__sp": o.devig_power(F.col("spread_home_odds"), F.col("spread_away_odds")),

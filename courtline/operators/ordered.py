@@ -152,54 +152,6 @@ def running(
     return joined.select(*kept, *[c.alias(n) for n, c in added.items()])
 
 
-def preceding_rows(
-    df: DataFrame,
-    keys: list[str],
-    levels: list[str],
-    order: list[str],
-    payload: list[str],
-    n: int,
-    name: str,
-) -> DataFrame:
-    """Add an array of the up to ``n`` rows before each row, oldest first.
-
-    Each element is a struct of ``payload``. Chunks hand on only their last ``n``
-    rows; the row-number filter is pushed below the shuffle as a group limit.
-    """
-    order = [*levels, *[c for c in order if c not in levels]]
-    group = keys + levels
-    item = F.struct(*payload)
-    backwards = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
-    tails = (
-        df.withColumn("__back", F.row_number().over(backwards))
-        .filter(F.col("__back") <= n)
-        .groupBy(*group)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct((-F.col("__back")).alias("b"), item.alias("p")))
-            ).alias("__rows")
-        )
-        .withColumn("__tail", F.transform("__rows", lambda r: r["p"]))
-    )
-    # A chunk needs at most the last n rows over the n chunks before it; with
-    # several levels the chunks of one key are ordered by the level tuple.
-    before = Window.partitionBy(*[F.col(c) for c in keys]).orderBy(*levels)
-    carried = tails.select(
-        *group,
-        F.flatten(F.collect_list("__tail").over(before.rowsBetween(-n, -1))).alias("__all"),
-    ).withColumn(
-        "__carry",
-        F.slice("__all", F.greatest(F.lit(1), F.size("__all") - n + 1), F.lit(n)),
-    )
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(-n, -1)
-    joined = df.join(carried.select(*group, "__carry"), group).withColumn(
-        "__both", F.concat("__carry", F.collect_list(item).over(inside))
-    )
-    return joined.withColumn(
-        name, F.slice("__both", F.greatest(F.lit(1), F.size("__both") - n + 1), F.lit(n))
-    ).drop("__carry", "__both")
-
-
 def as_of(
     left: DataFrame,
     right: DataFrame,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courtline.functions import clock, misc, text
 from courtline.operators.ordered import interval_join, running
-from courtline.operators.sizes import bounded
+from courtline.operators.sizes import bounded, spread
 
 # Event codes and shot-clock bounds in seconds.
 MADE, MISSED, FREE_THROW, REBOUND, TURNOVER, SUBSTITUTION = 1, 2, 3, 4, 5, 8
@@ -21,7 +21,7 @@ def parse_descriptions(plays: DataFrame) -> DataFrame:
     whole = text.combined_description(
         F.col("home_description"), F.col("away_description"), F.col("neutral_description")
     )
-    read = plays.withColumn("combined_description", whole)
+    read = spread(plays, "game_id", "event_num").withColumn("combined_description", whole)
     d = F.col("combined_description")
     return read.select(
         *read.columns,

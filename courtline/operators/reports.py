@@ -143,11 +143,12 @@ def health_status(drift: DataFrame, recent: DataFrame) -> DataFrame:
     """One row: status, whether to retrain, and why.
 
     ``drift`` has feature and is_drifted; ``recent`` is one row with accuracy,
-    brier_score and roi. Both are tiny aggregates, so the one-row sides meet
-    without a key.
+    brier_score and roi, or none. Features are few, being a list of columns.
     """
     names = F.array_sort(F.collect_list(F.when(F.col("is_drifted"), F.col("feature"))))
-    both = drift.agg(names.alias("features")).join(recent.limit(1), how="full")
+    both = drift.agg(names.alias("features")).withColumns(
+        {c: recent.agg(F.max(c)).scalar() for c in ("accuracy", "brier_score", "roi")}
+    )
     accuracy = F.coalesce("accuracy", F.lit(ASSUMED_ACCURACY))
     brier = F.coalesce("brier_score", F.lit(ASSUMED_BRIER))
     roi = F.coalesce("roi", F.lit(0.0))

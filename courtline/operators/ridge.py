@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtline.functions.misc import decay_weight
+from courtline.operators.sizes import spread
 from courtline.session import ensure_checkpoint_dir
 
 # Sample minimums, scale, penalties and solver bounds.
@@ -44,58 +45,60 @@ def eligible_players(exposure: DataFrame, min_minutes: float) -> DataFrame:
 
 
 def _weighted(stints: DataFrame, season: str, tau: float) -> DataFrame:
-    """Stints with weight, both targets and the signed player entries."""
+    """Stints with weight, both targets and the players, home ones first."""
     latest = stints.groupBy(season).agg(F.max("game_date").alias("__ref"))
     poss = F.when(F.col("possessions") > 0, F.col("possessions")).otherwise(1.0)
-    entries = F.concat(
-        F.transform("home_lineup", lambda p: F.struct(p.alias("p"), F.lit(1).alias("v"))),
-        F.transform("away_lineup", lambda p: F.struct(p.alias("p"), F.lit(-1).alias("v"))),
-    )
     # one row per season, so this side is bounded by the calendar
-    return stints.join(F.broadcast(latest), season).select(
+    return spread(stints, "stint_id").join(F.broadcast(latest), season).select(
         season,
         "stint_id",
         (decay_weight(F.col("game_date"), F.col("__ref"), tau) * F.sqrt(poss)).alias("w"),
         (F.col("home_points") * PER_POSSESSIONS / poss).alias("y_off"),
         (-F.col("away_points") * PER_POSSESSIONS / poss).alias("y_def"),
-        entries.alias("entries"),
+        F.concat("home_lineup", "away_lineup").alias("players"),
+        F.size("home_lineup").alias("at_home"),
     )
 
 
+def _sign(place: Column) -> Column:
+    return F.when(place < F.col("at_home"), 1).otherwise(-1)
+
+
 def design_matrix(stints: DataFrame, season: str, tau: float) -> DataFrame:
     """The sparse matrix as rows (stint, player, value) with targets and weight."""
     return _weighted(stints, season, tau).select(
-        season, "stint_id", "w", "y_off", "y_def", F.explode("entries").alias("e")
-    ).select(season, "stint_id", F.col("e.p").alias("player_id"), F.col("e.v").alias("value"), "w", "y_off", "y_def")
+        season, "stint_id", "w", "y_off", "y_def", "at_home",
+        F.posexplode("players").alias("place", "player_id"),
+    ).select(season, "stint_id", "player_id", _sign(F.col("place")).alias("value"), "w", "y_off", "y_def")
 
 
 def gram(weighted: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted and plain sums of v_p * v_q for p <= q."""
-    pair = F.explode(
-        F.flatten(
-            F.transform(
-                "entries",
-                lambda a, i: F.transform(
-                    F.slice("entries", i + 1, F.size("entries")),
-                    lambda b, j: F.struct(
-                        F.least(a["p"], b["p"]).alias("p"),
-                        F.greatest(a["p"], b["p"]).alias("q"),
-                        (a["v"] * b["v"] * F.when((j > 0) & (a["p"] == b["p"]), 2).otherwise(1)).alias("vv"),
-                    ),
-                ),
-            )
+    n = F.size("players")
+    slots = weighted.select(
+        *keys, "w", "players", "at_home", F.explode(F.sequence(F.lit(0), n * n - 1)).alias("slot")
+    )
+    i, j = F.floor(F.col("slot") / n).cast("int"), F.col("slot") % n
+    first, second = F.get("players", i), F.get("players", j)
+    twice = F.when((i < j) & (first == second), 2).otherwise(1)
+    return (
+        slots.filter(i <= j)
+        .select(
+            *keys, "w", F.least(first, second).alias("p"), F.greatest(first, second).alias("q"),
+            (_sign(i) * _sign(j) * twice).alias("vv"),
         )
-    ).alias("pair")
-    return weighted.select(*keys, "w", pair).groupBy(*keys, "pair.p", "pair.q").agg(
-        F.sum(F.col("w") * F.col("pair.vv")).alias("wvv"), F.sum("pair.vv").alias("vv")
+        .groupBy(*keys, "p", "q")
+        .agg(F.sum(F.col("w") * F.col("vv")).alias("wvv"), F.sum("vv").alias("vv"))
     )
 
 
 def moments(weighted: DataFrame, keys: list[str]) -> DataFrame:
     """Per player: sums of v against weight and targets."""
-    long = weighted.select(*keys, "w", "y_off", "y_def", F.explode("entries").alias("e"))
-    v = F.col("e.v")
-    return long.groupBy(*keys, F.col("e.p").alias("p")).agg(
+    long = weighted.select(
+        *keys, "w", "y_off", "y_def", "at_home", F.posexplode("players").alias("place", "p")
+    )
+    v = _sign(F.col("place"))
+    return long.groupBy(*keys, "p").agg(
         F.sum(F.col("w") * v).alias("wv"),
         F.sum(F.col("w") * v * F.col("y_off")).alias("wvo"),
         F.sum(F.col("w") * v * F.col("y_def")).alias("wvd"),

@@ -209,8 +209,9 @@ def context_vectors(spark, sf_dir):
     rows = ops.lineup_hulls(lineups, hull_table(spark, sf_dir)).join(sums, "game_id").select(
         "game_id", (F.col("rapm_sum") / 10.0).alias("x"), (F.col("home_area") / 50000.0).alias("y")
     )
-    stats = rows.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
-    scaled = rows.join(F.broadcast(stats)).withColumns(
+    mean, spread = rows.agg(F.avg("x")).scalar(), rows.agg(F.stddev_samp("x")).scalar()
+    fitted = rows.withColumns({"m": mean, "s": spread})
+    scaled = fitted.withColumns(
         {"x": misc.standardise(F.col("x"), F.col("m"), F.col("s")), "word": F.lit("not a number")}
     )
     vector = misc.numeric_vector([F.col("x"), F.col("y"), F.col("word")], 4)

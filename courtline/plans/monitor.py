@@ -307,8 +307,8 @@ def health_status(spark, sf_dir):
     recent = _concept(spark, sf_dir).select(
         F.col("recent_accuracy").alias("accuracy"), F.col("recent_brier_score").alias("brier_score")
     )
-    roi = b.bets(spark, sf_dir).agg((F.sum("profit") / F.sum("bet_amount")).alias("roi"))
-    out = reports.health_status(drift, recent.join(roi))
+    roi = b.bets(spark, sf_dir).agg(F.sum("profit") / F.sum("bet_amount")).scalar()
+    out = reports.health_status(drift, recent.withColumn("roi", roi))
     return out.withColumns({c: F.col(c).cast("int") for c in ("drift_detected", "retraining_recommended")})
 
 

@@ -287,11 +287,11 @@ def game_bets(spark, sf_dir):
 
 
 def fold_bets(spark, sf_dir):
-    games = priced_games(spark, sf_dir)
+    """Each game's bets are made once and then repeated for the folds that hold it."""
     held = bt.validation_rows(
         ordered_games(spark, sf_dir).select("game_id", "game_date", "id_range"), GAME_LEVELS, GAME_ORDER
     ).select("game_id", "fold_num")
-    return markets.game_bets(games.join(held, "game_id"))
+    return markets.game_bets(priced_games(spark, sf_dir)).join(held, "game_id")
 
 
 BACKTEST_ORDER = ["fold_num", "game_date", "game_id", "bet_type"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from courtline.functions import clock, misc, text
 from courtline.operators import plays as ops
 from courtline.operators import stints as st
+from courtline.operators.sizes import spread
 from courtline.plans import bindings as b
 from courtline.plans.registry import query
 
@@ -62,7 +63,7 @@ def play_descriptions(spark, sf_dir):
     f"SELECT doc_id, {_classes_sql('text')} FROM documents",
 )
 def document_text_rules(spark, sf_dir):
-    docs = b.table(spark, sf_dir, "documents")
+    docs = spread(b.table(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", *_classes(F.col("text")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from courtline.functions import misc
 from courtline.operators import quality
+from courtline.operators.sizes import spread
 from courtline.plans import bindings as b
 from courtline.plans.registry import query
 from courtline.sources import maintenance, payloads, teams
@@ -205,7 +206,9 @@ SELECT CAST(g AS VARCHAR) AS game_id, p AS player_id, p // 10 AS team_id, round(
 )
 def player_box_scores(spark, sf_dir):
     g, p = F.col("game_id"), F.col("player_id")
-    rows = b.stints(spark, sf_dir).select("game_id", F.explode(F.concat("home_lineup", "away_lineup")).alias("player_id"))
+    rows = spread(b.stints(spark, sf_dir), "game_id").select(
+        "game_id", F.explode(F.concat("home_lineup", "away_lineup")).alias("player_id")
+    )
     key = {"GAME_ID": g, "PLAYER_ID": p, "TEAM_ID": F.floor(p / 10)}
     mins = (
         F.when(p % 3 == 0, F.concat((5 + g % 30).cast("string"), F.lit(":"), F.lpad((p % 60).cast("string"), 2, "0")))
@@ -370,8 +373,8 @@ def new_games(spark, sf_dir):
 
     games = b.games(spark, sf_dir)
     stored = games.filter((F.col("game_date") < F.lit(dt.date(2001, 6, 1))) | (F.col("game_id") % 5 == 0))
-    since = stored.agg(F.date_sub(F.max("game_date"), 60).alias("since"))
-    fresh = games.filter("status = 'completed'").join(F.broadcast(since)).filter("game_date >= since")
+    since = stored.agg(F.date_sub(F.max("game_date"), 60)).scalar()
+    fresh = games.filter("status = 'completed'").filter(F.col("game_date") >= since)
     return unprocessed(fresh, stored).select("game_id", _day("game_date"))
 
 
