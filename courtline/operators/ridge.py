@@ -168,9 +168,11 @@ def _solve_season(lam: float, season: str):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         ids = _players_of(rows)
         total = rows[rows["kind"] == "total"].iloc[0]
-        out = pd.DataFrame({season: [], "player_id": [], "orapm": [], "drapm": []})
+        nobody = rows.head(0)[[season]].assign(
+            player_id=np.array([], "int64"), orapm=np.array([]), drapm=np.array([])
+        )
         if len(ids) < MIN_PLAYERS or total["a"] < MIN_STINTS:
-            return out
+            return nobody
         index = {p: i for i, p in enumerate(ids)}
         mean_x = _vector(rows, index, "a")
         centred = _dense(rows, index, "a") - np.outer(mean_x, mean_x) / total["b"]

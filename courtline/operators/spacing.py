@@ -140,7 +140,7 @@ def _density_of_player(player: str, grid: int):
         k = rows["k"].to_numpy(dtype=float)
         at = rows[["loc_x", "loc_y"]].to_numpy(dtype=float)
         n = k.sum()
-        empty = rows[[player]].head(0).assign(density=[])
+        empty = rows[[player]].head(0).assign(density=pd.Series([], dtype=object))
         if n < MIN_DENSITY_SHOTS:
             return empty
         centred = at - (at * k[:, None]).sum(0) / n

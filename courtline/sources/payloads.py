@@ -56,14 +56,17 @@ def read_landed(
     """JSON-lines rows under an error policy, and the quarantined lines for "log"."""
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}; have {sorted(POLICIES)}")
-    reader = spark.read.option("mode", POLICIES[policy])
     if policy != "log":
-        return reader.schema(schema).json(path), None
-    full = reader.schema(schema + ", _corrupt_record string").json(path)
-    # both outputs come from one parse of the text, since Spark refuses a read of
-    # the corrupt column alone
-    bad = full.filter("_corrupt_record IS NOT NULL").select("*")
-    return full.filter("_corrupt_record IS NULL").drop("_corrupt_record"), bad
+        return spark.read.option("mode", POLICIES[policy]).schema(schema).json(path), None
+    options = {"mode": POLICIES[policy], "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = spark.read.text(path).select(
+        "value", F.from_json("value", schema + ", _corrupt_record string", options).alias("r")
+    )
+    broken = F.col("r._corrupt_record").isNotNull()
+    return (
+        parsed.filter(~broken).select("r.*").drop("_corrupt_record"),
+        parsed.filter(broken).select(F.col("value").alias("line")),
+    )
 
 
 def _cell(name: str) -> Column:
