@@ -280,8 +280,11 @@ def rounded(ratings: DataFrame) -> DataFrame:
 
 def _score_season(lambdas: list[float], folds: int, season: str):
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = _players_of(rows)
-        ids = np.unique(ids)
+        ids = np.unique(_players_of(rows))
+        if len(ids) == 0 or rows.loc[rows["kind"] == "total", "a"].sum() < MIN_STINTS:
+            return rows.head(0)[[season]].assign(
+                **{"lambda": np.array([]), "mean_r2": np.array([])}
+            )
         index = {p: i for i, p in enumerate(ids)}
         parts = []
         for f in range(folds):
@@ -328,7 +331,7 @@ def cross_validate(
     tau: float = 180.0,
     fold: Column | None = None,
 ) -> DataFrame:
-    """Mean held-out R2 of the offence target per (season, lambda).
+    """Mean held-out R2 of the offence target per (season, lambda), given 100 stints.
 
     Every fold needs only its own sums: training sums are the whole less the fold,
     and the held-out error is a quadratic form in the fold's plain sums.
