@@ -16,6 +16,7 @@ from courtline.operators.ordered import running
 from courtline.operators.plays import (
     FREE_THROW, MADE, MISSED, REBOUND, SUBSTITUTION, TURNOVER,
 )
+from courtline.session import ensure_checkpoint_dir
 
 # Lineup size, free-throw weight, opening clock.
 FIVE = 5
@@ -190,22 +191,26 @@ def stint_outcomes(
         scored, ["game_id"], levels, ["event_num"],
         sums={f"to_{p}": F.col(p) for p in PARTS},
     ).select("game_id", "event_num", *PARTS, *[f"to_{p}" for p in PARTS])
-    upto = summed.select(
-        "game_id", F.col("event_num").alias("end_event"), *[F.col(f"to_{p}").alias(f"hi_{p}") for p in PARTS]
-    )
-
-    def before(p: str):
-        return F.col(f"to_{p}") if half_open else F.col(f"to_{p}") - F.col(p)
-
-    since = summed.select(
-        "game_id", F.col("event_num").alias("start_event"),
-        *[before(p).alias(f"lo_{p}") for p in PARTS],
-        *[(F.col(f"to_{p}") - F.col(p)).alias(f"full_{p}") for p in PARTS],
+    # both end events of a span meet the sums in one join and fold back to one row
+    ends = spans.select(
+        *spans.columns,
+        F.explode(
+            F.array(
+                F.struct(F.lit("start").alias("kind"), F.col("start_event").alias("event_num")),
+                F.struct(F.lit("end").alias("kind"), F.col("end_event").alias("event_num")),
+            )
+        ).alias("end_point"),
+    ).select(*spans.columns, "end_point.*")
+    met = ends.join(summed, ["game_id", "event_num"]).groupBy(*spans.columns)
+    at = lambda kind, c: F.max(F.when(F.col("kind") == kind, c))
+    joined = met.agg(
+        *[at("end", F.col(f"to_{p}")).alias(f"hi_{p}") for p in PARTS],
+        *[at("start", F.col(f"to_{p}")).alias(f"to_{p}") for p in PARTS],
+        *[at("start", F.col(p)).alias(p) for p in PARTS],
     )
-    joined = spans.join(upto, ["game_id", "end_event"]).join(since, ["game_id", "start_event"])
 
     def within(p: str):
-        low = F.when(F.col("stint_no") == 0, F.col(f"full_{p}")).otherwise(F.col(f"lo_{p}"))
+        low = F.col(f"to_{p}") - F.when(F.lit(not half_open) | (F.col("stint_no") == 0), F.col(p)).otherwise(0)
         ordered = F.col("end_event") >= F.col("start_event")
         return F.when(ordered, F.col(f"hi_{p}") - low).otherwise(0)
 
@@ -223,25 +228,21 @@ def stint_outcomes(
 
 
 def derive_stints(plays: DataFrame, levels: list[str], half_open: bool = False) -> DataFrame:
-    """Stints of every game with five players a side and a positive length."""
-    spans = stint_spans(plays)
-    lineups = stint_lineups(plays, spans)
-    five = F.size("lineup") == FIVE
-    home = lineups.filter((F.col("side") == "home") & five).select(
-        "game_id", "stint_no", F.col("lineup").alias("home_lineup")
-    )
-    away = lineups.filter((F.col("side") == "away") & five).select(
-        "game_id", "stint_no", F.col("lineup").alias("away_lineup")
-    )
-    full = (
-        starting_five(plays).groupBy("game_id").count().filter(F.col("count") == 2 * FIVE)
-        .select("game_id")
-    )
-    valid = (
-        spans.filter("start_sec < end_sec")
-        .join(full, "game_id", "left_semi")
-        .join(home, ["game_id", "stint_no"])
-        .join(away, ["game_id", "stint_no"])
+    """Stints of every game with five players a side and a positive length.
+
+    The spans are a small table read several times, so they are checkpointed. A
+    game counts only if its opening stint is complete on both sides.
+    """
+    ensure_checkpoint_dir(plays.sparkSession)
+    spans = stint_spans(plays).checkpoint()
+    sides = stint_lineups(plays, spans).groupBy("game_id", "stint_no").agg(
+        *[F.max(F.when(F.col("side") == s, F.col("lineup"))).alias(f"{s}_lineup") for s in ("home", "away")]
+    )
+    five = (F.size("home_lineup") == FIVE) & (F.size("away_lineup") == FIVE)
+    opened = F.bool_or(five & (F.col("stint_no") == 0)).over(Window.partitionBy("game_id"))
+    complete = sides.withColumns({"five": five, "opened": opened}).filter("five AND opened")
+    valid = spans.filter("start_sec < end_sec").join(
+        complete.drop("five", "opened"), ["game_id", "stint_no"]
     )
     return stint_outcomes(plays, valid, levels, half_open).select(
         "game_id", "stint_no", "period", "start_sec", "end_sec", "start_time", "end_time",
