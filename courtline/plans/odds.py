@@ -272,7 +272,7 @@ placed AS (
 
 @query(
     "game_bets",
-    "C06 C07 C08 C09 F06",
+    "C06 C07 C08 C09 F03 F06",
     b.with_ctes(b.GAMES_SQL, b.PRICES_SQL, _PRICED_SQL, _MARKET_SQL)
     + """SELECT game_id, bet_type, side, round(model_prob, 6) AS model_prob, round(market_odds, 6) AS market_odds,
   round(market_prob, 6) AS market_prob, round(edge, 6) AS edge, round(bet_fraction, 6) AS bet_fraction,
