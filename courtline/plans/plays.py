@@ -176,7 +176,7 @@ def stint_lineups(spark, sf_dir):
     "derived_stints",
     "W23 J10 A14 A15 F06",
     b.with_ctes(b.PLAYS_SQL, STINT_SQL)
-    + """SELECT game_id, stint_no, period, start_sec, end_sec, start_time, end_time, end_sec - start_sec AS duration_seconds,
+    + """SELECT game_id, stint_no, CAST(period AS INTEGER) AS period, start_sec, end_sec, start_time, end_time, end_sec - start_sec AS duration_seconds,
   home_lineup, away_lineup, home_points, away_points, round(possessions, 6) AS possessions FROM stints""",
 )
 def derived_stints(spark, sf_dir):
