@@ -19,15 +19,3 @@ def bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
         return F.broadcast(kept)
     kept.unpersist()
     return df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over all cores, for work that costs far more than reading its rows.
-
-    An input that already has a partition per core, as any large table does, is left
-    alone; only a narrow one (such as a single small file) is shuffled by ``keys``.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -216,7 +216,7 @@ def priced_games(spark, sf_dir):
         F.when(F.col("p_size") % 3 != 0, 1.8 + F.col("p_size") % 5 / 20.0).alias("over_odds"),
         F.when(F.col("p_size") % 5 != 0, 1.85 + F.col("p_size") % 6 / 20.0).alias("under_odds"),
     )
-    games = ordered_games(spark, sf_dir).select(
+    games = b.spread(ordered_games(spark, sf_dir), "game_id").select(
         "game_id", "game_date", "id_range", "home_score", "away_score",
         (0.05 + 0.9 * (F.col("game_id") * 7 % 101) / 100.0).alias("home_win_prob"),
         (F.col("game_id") % 41 - 20.0).alias("predicted_margin"),
@@ -404,7 +404,7 @@ scores AS (SELECT fraction, count(*) FILTER (placed) AS bets_placed, sum(ln(1 +
     _GRID_SQL + "\nSELECT fraction, bets_placed, round(lg, 6) AS log_growth, round(sharpe, 6) AS sharpe, round(growth, 9) AS growth FROM scores",
 )
 def kelly_grid(spark, sf_dir):
-    scores = bt.fraction_scores(bt.fraction_grid(b.bets(spark, sf_dir)))
+    scores = bt.fraction_scores(bt.fraction_grid(b.spread(b.bets(spark, sf_dir), "game_id")))
     return scores.select(
         "fraction", "bets_placed", _r(F.col("log_growth"), "log_growth"),
         _r(F.col("sharpe"), "sharpe"), F.round("growth", 9).alias("growth"),
@@ -417,14 +417,14 @@ def kelly_grid(spark, sf_dir):
     _GRID_SQL + "\nSELECT fraction AS best_fraction, round(sharpe, 6) AS best_metric FROM scores ORDER BY sharpe DESC, fraction LIMIT 1",
 )
 def best_kelly_fraction(spark, sf_dir):
-    best = bt.best_fraction(bt.fraction_scores(bt.fraction_grid(b.bets(spark, sf_dir))))
+    best = bt.best_fraction(bt.fraction_scores(bt.fraction_grid(b.spread(b.bets(spark, sf_dir), "game_id"))))
     return best.select("best_fraction", _r(F.col("best_metric"), "best_metric"))
 
 
 # --- signals ---
 
 def predictions(spark, sf_dir):
-    orders = b.table(spark, sf_dir, "orders")
+    orders = b.spread(b.table(spark, sf_dir, "orders"), "o_orderkey")
     p = 0.05 + 0.9 * (F.col("o_orderkey") * 7 % 101) / 100.0
     return orders.select(
         F.col("o_orderkey").alias("game_id"),

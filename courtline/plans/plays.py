@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from courtline.functions import clock, misc, text
 from courtline.operators import plays as ops
 from courtline.operators import stints as st
-from courtline.operators.sizes import spread
 from courtline.plans import bindings as b
 from courtline.plans.registry import query
 
@@ -51,7 +50,7 @@ def _classes_sql(body):
 FROM (SELECT game_id, event_num, concat_ws(' | ', nullif(home_description, ''), nullif(away_description, ''), nullif(neutral_description, '')) AS d FROM plays)""",
 )
 def play_descriptions(spark, sf_dir):
-    parsed = ops.parse_descriptions(b.plays(spark, sf_dir))
+    parsed = ops.parse_descriptions(b.spread(b.plays(spark, sf_dir), "game_id", "event_num"))
     return parsed.select(
         "game_id", "event_num", "combined_description", *_classes(F.col("combined_description"))
     )
@@ -63,7 +62,7 @@ def play_descriptions(spark, sf_dir):
     f"SELECT doc_id, {_classes_sql('text')} FROM documents",
 )
 def document_text_rules(spark, sf_dir):
-    docs = spread(b.table(spark, sf_dir, "documents"), "doc_id")
+    docs = b.spread(b.table(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", *_classes(F.col("text")))
 
 

@@ -11,6 +11,10 @@ from courtline.plans.registry import query
 
 LAM, TAU, MIN_MINUTES = 50.0, 180.0, 100.0
 
+
+def _stints(spark, sf_dir):
+    return b.spread(b.stints(spark, sf_dir), "stint_id")
+
 _EXPOSURE_SQL = """expo AS (SELECT season_id, player_id, sum(duration_seconds) / 60.0::DOUBLE AS minutes, count(*) AS sample_stints
   FROM (SELECT season_id, duration_seconds, unnest(list_concat(home_lineup, away_lineup)) AS player_id FROM stints) GROUP BY 1, 2)"""
 
@@ -56,14 +60,14 @@ def design_matrix(spark, sf_dir):
   CAST(sum(x.value * y.value) AS BIGINT) AS vv FROM long x JOIN long y ON x.stint_id = y.stint_id AND x.player_id <= y.player_id GROUP BY 1, 2, 3""",
 )
 def gram_matrix(spark, sf_dir):
-    w = ridge._weighted(b.stints(spark, sf_dir), "season_id", TAU)
+    w = ridge._weighted(_stints(spark, sf_dir), "season_id", TAU)
     g = ridge.gram(w, ["season_id"])
     return g.select("season_id", "p", "q", F.round("wvv", 6).alias("wvv"), F.col("vv").cast("bigint").alias("vv"))
 
 
 @query("plus_minus_ratings", "A07")
 def plus_minus_ratings(spark, sf_dir):
-    return ridge.rounded(ridge.fit(b.stints(spark, sf_dir), lam=LAM, min_minutes=MIN_MINUTES, tau=TAU))
+    return ridge.rounded(ridge.fit(_stints(spark, sf_dir), lam=LAM, min_minutes=MIN_MINUTES, tau=TAU))
 
 
 @query("rating_extremes", "N02")
@@ -73,7 +77,7 @@ def rating_extremes(spark, sf_dir):
 
 @query("lambda_scores", "A08 J19")
 def lambda_scores(spark, sf_dir):
-    return ridge.cross_validate(b.stints(spark, sf_dir), min_minutes=MIN_MINUTES, tau=TAU)
+    return ridge.cross_validate(_stints(spark, sf_dir), min_minutes=MIN_MINUTES, tau=TAU)
 
 
 @query("best_lambda", "A08 N07")
