@@ -85,7 +85,7 @@ def _agreeing(least: float):
             for c in ("sig_a", "sig_b")
         )
         keep = ((a == b).mean(axis=1) >= least).nonzero()[0]
-        yield {c: batch.column(c).take(pa.array(keep)) for c in ("a", "b", "key_a", "key_b")}
+        yield {c: batch.column(c).take(pa.array(keep)) for c in ("a", "b")}
 
     return run
 
@@ -93,19 +93,13 @@ def _agreeing(least: float):
 def _verified(shingle: int, percent: int):
     hashes = WordHashes()
 
-    def items(text: str, key: bytes) -> np.ndarray | None:
-        s = shingle_set(text.encode().lower().split(), shingle, hashes)
-        return s if xxhash.xxh3_128_digest(s.tobytes()) == key else None
-
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         out, last, y = {"a": [], "b": []}, None, None
-        columns = [batch.column(c).to_pylist() for c in ("a", "b", "key_a", "key_b", "text_a", "text_b")]
-        for a, b, key_a, key_b, text_a, text_b in zip(*columns, strict=True):
-            if last != (b, key_b):
-                last, y = (b, key_b), items(text_b, key_b)
-            x = items(text_a, key_a)
-            if x is None or y is None:  # another row of a repeated id
-                continue
+        columns = [batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]
+        for a, b, text_a, text_b in zip(*columns, strict=True):
+            if last != text_b:
+                last, y = text_b, shingle_set(text_b.encode().lower().split(), shingle, hashes)
+            x = shingle_set(text_a.encode().lower().split(), shingle, hashes)
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= percent * (len(x) + len(y) - both):
                 out["a"].append(a)
@@ -115,20 +109,25 @@ def _verified(shingle: int, percent: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) of representatives whose full shingle sets reach the threshold."""
-    likely = map_batches(
-        pairs.select("a", "b", "key_a", "key_b", "sig_a", "sig_b"),
-        _agreeing(min(AGREE, percent / 100 - 0.2)),
-        {"a": "long", "b": "long", "key_a": "binary", "key_b": "binary"},
-    ).dropDuplicates(["a", "b", "key_a", "key_b"])
-    likely = saved(likely)
-    texts = docs.select("doc_id", "text").filter("text is not null")
+    a, b = (
+        reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+        for c in ("a", "b")
+    )
+    near = (
+        pairs.select("a", "b").distinct().join(a, "a").join(b, "b")
+        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    )
+    likely = saved(map_batches(
+        near.select("a", "b", "sig_a", "sig_b"), _agreeing(min(AGREE, percent / 100 - 0.2)),
+        {"a": "long", "b": "long"},
+    ).distinct())
+    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     with_a = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return map_batches(
-        with_b.select("a", "b", "key_a", "key_b", "text_a", "text_b"),
-        _verified(shingle, percent), {"a": "long", "b": "long"},
+        with_b.select("a", "b", "text_a", "text_b"), _verified(shingle, percent), {"a": "long", "b": "long"}
     ).distinct()
 
 
@@ -147,6 +146,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
       members outside their own component. That is the exact way for what the star missed.
     * Pairs must agree in enough bins, then the full sets decide.
 
+    Rows that share a doc_id share a component.
+
     Null or blank text: no shingles, linked with nothing, own component. A null doc_id takes
     part through its class, but never as its name (null where the class has no other id).
     Repeated rows give repeated result rows; other columns are ignored; no rows, no result.
@@ -160,48 +161,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     classes = sk.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"))
     # a set of n reaches the threshold with a different set only if n / (n + 1) does
     least = percent // (100 - percent) + (percent % (100 - percent) > 0)
-    reps = (
+    reps = saved(
         sk.filter(F.col("n") >= least)
         .join(classes.select(F.col("key").alias("k"), "id"), (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("k")), "left_semi")
         .dropDuplicates(["doc_id", "key"])
     )
-    buckets = saved(reps.select(
-        F.col("doc_id").alias("a"), F.col("key").alias("key_a"), F.col("n").alias("n_a"),
-        F.col("sig").alias("sig_a"), F.explode("bands").alias("bucket"),
-    ))
+    buckets = reps.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))
     centres = (
-        buckets.groupBy("bucket").agg(
-            F.min("a").alias("b"), F.min_by(F.struct("key_a", "n_a", "sig_a"), "a").alias("c"),
-            F.count("*").alias("members"),
-        )
-        .filter("members > 1")
-        .select("bucket", "b", F.col("c.key_a").alias("key_b"), F.col("c.n_a").alias("n_b"),
-                F.col("c.sig_a").alias("sig_b"), "members")
+        buckets.groupBy("bucket").agg(F.min("a").alias("b"), F.count("*").alias("members")).filter("members > 1")
     )
-    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
-    star = saved(_links(docs, buckets.join(centres, "bucket").filter(fits), shingle, percent))
+    star = saved(_links(docs, reps, buckets.join(centres, "bucket").filter("a <> b"), shingle, percent))
     label = components(star)
 
     # what the stars left open: buckets of three or more with members of several components
     state = (
         buckets.join(centres.filter("members > 2").select("bucket"), "bucket", "left_semi")
         .join(label, F.col("a") == F.col("node"), "left")
-        .select("bucket", "a", "key_a", "n_a", "sig_a", F.coalesce("component", "a").alias("comp"))
+        .select("bucket", "a", F.coalesce("component", "a").alias("comp"))
     )
-    sizes = state.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
     most = (
-        sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("kinds"))
-        .filter("kinds > 1").drop("kinds")
+        state.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+        .groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("kinds"))
+        .filter("kinds > 1").select("bucket", F.col("top.comp").alias("main"))
     )
     openly = saved(state.join(most, "bucket"))
-    strays = openly.filter("comp <> main").select(
-        "bucket", F.col("a").alias("b"), F.col("key_a").alias("key_b"), F.col("n_a").alias("n_b"),
-        F.col("sig_a").alias("sig_b"), F.col("comp").alias("comp_b"),
-    )
+    strays = openly.filter("comp <> main").select("bucket", F.col("a").alias("b"), F.col("comp").alias("comp_b"))
     # two strays meet once
     once = (F.col("comp") == F.col("main")) | (F.col("a") < F.col("b"))
-    rest = openly.join(strays, "bucket").filter(fits & (F.col("comp") != F.col("comp_b")) & once)
-    more = saved(_links(docs, rest, shingle, percent))
+    rest = openly.join(strays, "bucket").filter(once & (F.col("comp") != F.col("comp_b")))
+    more = saved(_links(docs, reps, rest, shingle, percent))
     if more.limit(1).count():
         label = components(star.union(more))
 
