@@ -35,7 +35,7 @@ def saved(df: DataFrame) -> DataFrame:
 def words_of(text: Column) -> Column:
     """Words of a text, none for null; JVM only."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE + "+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,6 +48,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
+    """About ``rows`` rows at most: those whose hashed key lies under rows / count.
+
+    The expected size is the stated bound whatever the input's, so it may be broadcast.
+    """
+    count = df.count()
+    unit = F.crc32(F.concat(F.lit(salt), F.col(key).cast("string")).cast("binary")) / F.lit(float(2**32))
+    return df.filter(unit * count < rows) if count > rows else df
+
+
 def _json_safe(kind: str) -> pa.DataType:
     return {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),

@@ -11,6 +11,7 @@ from courtline.llm.common import table
 from courtline.llm.decontamination import decontaminate
 from courtline.llm.language_id import language_id
 from courtline.llm.near_duplicates import near_duplicates
+from courtline.llm.quality_rules import quality_rules
 from courtline.llm.secrets import scan_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +44,8 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op3_secret_scans"] = secrets.sql()
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
