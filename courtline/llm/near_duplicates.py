@@ -131,6 +131,60 @@ def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int, per
     ).distinct()
 
 
+def _rare(texts: DataFrame, shingle: int) -> DataFrame:
+    """(holders): the one to three holders of each shingle that no more of ``texts`` hold."""
+    hashes = WordHashes()
+
+    def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            items = shingle_set((text or "").encode().lower().split(), shingle, hashes)
+            yield {"a": np.full(len(items), doc_id), "h": signed(items)}
+
+    few = (
+        map_batches(texts, rows, {"a": "long", "h": "long"})
+        .groupBy("h").agg(F.count("*").alias("k"), F.min("a").alias("a"), F.max("a").alias("b"), F.bit_xor("a").alias("x"))
+        .filter("k <= 3")
+    )
+    # of three holders the exclusive or leaves the middle one
+    third = F.col("a").bitwiseXOR(F.col("b")).bitwiseXOR(F.col("x"))
+    held = F.when(F.col("k") == 3, F.array("a", third, "b")).when(F.col("k") == 2, F.array("a", "b")).otherwise(F.array("a"))
+    return few.select(F.array_distinct(held).alias("holders"))
+
+
+def _leftover(openly: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of open bucket members in different components that may be linked.
+
+    A pair either shares a shingle with at most three holders, and is found by it, or its
+    intersection is no larger than what either set has besides: ``common``. The second kind
+    meets in the buckets, once, and only where that bound reaches the threshold. No possible
+    link is lost.
+    """
+    rare = saved(_rare(texts, shingle))
+    own = rare.select(F.explode("holders").alias("a")).groupBy("a").agg(F.count("*").alias("own"))
+    sizes = (
+        reps.select(F.col("doc_id").alias("a"), "n", "bands").join(own, "a", "left")
+        .select("a", "n", "bands", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+        .filter(100 * F.col("common") >= percent * F.col("n"))
+    )
+    able = openly.join(sizes, "a")
+    strays = able.filter("comp <> main").select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("a", "comp", "n", "common", "bands")))
+    # two strays meet once, and any two in the first of their buckets
+    once = (F.col("comp") == F.col("main")) | (F.col("a") < F.col("a_b"))
+    first = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("bucket")
+    both = F.least("common", "common_b")
+    reach = 100 * both >= percent * (F.col("n") + F.col("n_b") - both)
+    met = able.join(strays, "bucket").filter(once & (F.col("comp") != F.col("comp_b")) & reach & first)
+    label = openly.groupBy("a").agg(F.min("comp").alias("comp"))
+    pair = F.explode(F.flatten(F.transform("holders", lambda x: F.transform(
+        F.filter("holders", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b"))
+    ))))
+    sharing = (
+        rare.filter(F.size("holders") > 1).select(pair.alias("p")).select("p.*").distinct().join(label, "a")
+        .join(label.select(F.col("a").alias("b"), F.col("comp").alias("comp_b")), "b").filter("comp <> comp_b")
+    )
+    return met.select("a", F.col("a_b").alias("b")).union(sharing.select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -142,8 +196,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
       found by a map-side combined minimum, so thousands of copies cost one row per task.
     * Each class gives one bucket per band. In a bucket every member meets the smallest member
       only, never each other member.
-    * Members whose component still differs from the bucket's most frequent one meet all
-      members outside their own component. That is the exact way for what the star missed.
+    * Members whose component still differs from the bucket's most frequent one go through
+      ``_leftover``, the exact way for what the stars missed.
     * Pairs must agree in enough bins, then the full sets decide.
 
     Rows that share a doc_id share a component.
@@ -185,11 +239,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
         .filter("kinds > 1").select("bucket", F.col("top.comp").alias("main"))
     )
     openly = saved(state.join(most, "bucket"))
-    strays = openly.filter("comp <> main").select("bucket", F.col("a").alias("b"), F.col("comp").alias("comp_b"))
-    # two strays meet once
-    once = (F.col("comp") == F.col("main")) | (F.col("a") < F.col("b"))
-    rest = openly.join(strays, "bucket").filter(once & (F.col("comp") != F.col("comp_b")))
-    more = saved(_links(docs, reps, rest, shingle, percent))
+    texts = saved(docs.join(openly.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"))
+    rest = _leftover(openly, texts, reps, shingle, percent)
+    more = saved(_links(texts, reps, rest, shingle, percent))
     if more.limit(1).count():
         label = components(star.union(more))
 
