@@ -16,7 +16,7 @@ from courtline.session import ensure_checkpoint_dir
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries a worker's word cache may hold before it starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)

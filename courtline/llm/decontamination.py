@@ -29,7 +29,8 @@ UNITS = (
     "°c|°f|k|w|kw|v|a|hz|khz|mhz|ghz|mb|gb|tb|mph|kmh|km/h|m/s"
 )
 _NUMBER = re.compile(rf"[-+$€£]?\d[\d.,:/]*(?:e[-+]?\d+)?({UNITS})?")
-_UNIT = re.compile(UNITS)
+_UNIT_WORDS = frozenset(UNITS.split("|"))
+_DIGIT = re.compile(r"\d")
 _EDGE = "\"'`.,;:!?()[]{}<>«»„“”‘’…*"
 _BREAK = b"\x00"
 
@@ -46,9 +47,9 @@ class Tokens(dict):
 
     def empty(self) -> None:
         self.clear()
-        self.kind: list[int] = []
-        self.literal: list[int] = []
-        self.ends: list[bool] = []
+        self.kind = np.empty(CACHE_WORDS, np.int8)
+        self.literal = np.empty(CACHE_WORDS, np.uint64)
+        self.ends = np.empty(CACHE_WORDS, bool)
 
     def __missing__(self, token: bytes) -> int:
         raw = token.decode("utf-8", "replace")
@@ -56,16 +57,20 @@ class Tokens(dict):
         low = core.lower()
         if token == _BREAK:
             kind = BREAK
-        elif m := _NUMBER.fullmatch(low):
-            kind = NUMBER_UNIT if m[1] else NUMBER
-        elif _UNIT.fullmatch(low):
+        elif low in _UNIT_WORDS:
             kind = UNIT
+        elif _DIGIT.search(low) and (m := _NUMBER.fullmatch(low)):
+            kind = NUMBER_UNIT if m[1] else NUMBER
+        elif core[:1].isupper() and core[1:] == low[1:] and len(core) > 1:
+            kind = TITLE
         else:
-            kind = TITLE if core[:1].isupper() and core[1:] == core[1:].lower() and len(core) > 1 else LITERAL
-        self.kind.append(kind)
-        self.literal.append(xxhash.xxh64_intdigest(low.encode()))
-        self.ends.append(kind == BREAK or raw.rstrip("\"')]}»”’*")[-1:] in (".", "!", "?", ":"))
-        code = self[token] = len(self.kind) - 1
+            kind = LITERAL
+        code = self[token] = len(self)
+        if code == len(self.kind):  # one text with very many words of its own
+            self.kind, self.literal, self.ends = (np.concatenate([x, np.empty_like(x)]) for x in (self.kind, self.literal, self.ends))
+        self.kind[code] = kind
+        self.literal[code] = xxhash.xxh64_intdigest(low.encode())
+        self.ends[code] = kind == BREAK or (raw is not core and raw.rstrip("\"')]}»”’*")[-1:] in (".", "!", "?", ":"))
         return code
 
 
@@ -76,15 +81,15 @@ def template(text: str, tokens: Tokens) -> tuple[list[bytes], np.ndarray, np.nda
     sentence ``<name>``; a number written with its unit is one token with both. All else is
     lower-cased and stripped of punctuation.
     """
-    if len(tokens) >= CACHE_WORDS:
+    if len(tokens) >= CACHE_WORDS // 2:
         tokens.empty()
     words = text.encode().replace(b"\n", b" \x00 ").split()
     code = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
     if not len(code):
         return [], np.empty(0, np.uint64), np.empty(0, bool)
-    kind = np.array(tokens.kind, np.int8)[code]
-    literal = np.array(tokens.literal, np.uint64)[code]
-    start = np.concatenate([[True], np.array(tokens.ends, bool)[code][:-1]])
+    kind = tokens.kind[code]
+    literal = tokens.literal[code]
+    start = np.concatenate([[True], tokens.ends[code][:-1]])
     real = (kind != BREAK).nonzero()[0]
     kind, literal, start = kind[real], literal[real], start[real]
     number = (kind == NUMBER) | (kind == NUMBER_UNIT)
