@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,20 +162,18 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[dict]:
     }
 
 
-def _scored(model: Model | None):
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        lang, score = [], []
-        for text in batch.column("text").to_pylist():
-            if model is None or not text or not any(map(str.isalpha, text)):
-                lang.append("und")
-                score.append(0.0)
-                continue
-            a, b = model.predict(features(text))
-            lang.append(a)
-            score.append(b)
-        yield {"doc_id": batch.column("doc_id").to_pylist(), "held_out": batch.column("held_out").to_pylist(), "lang_pred": lang, "score": score}
+def _predict(model: Model | None, text: str | None) -> tuple[str, float]:
+    if model is None or not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    return model.predict(features(text))
 
-    return run
+
+def _predictor(model: Model | None):
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_predict(model, t) for t in texts], columns=["lang_pred", "score"])
+
+    return predict
 
 
 def train(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None:
@@ -198,13 +197,14 @@ def train(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> Model | None:
     return fit([(r["lang"], bytes(r["x"])) for r in rows])
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score. One pass, no shuffle."""
-    return map_batches(
-        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), held_out(F.col("doc_id")).alias("held_out")),
-        _scored(model),
-        {"doc_id": "long", "held_out": "boolean", "lang_pred": "string", "score": "double"},
-    )
+def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``docs`` with lang_pred and score; the model, if not given, is trained on them first.
+
+    One pass, no shuffle. Columns of these names are replaced.
+    """
+    model = model or train(docs)
+    told = docs.withColumn("_told", _predictor(model)(F.col("text").cast("string")))
+    return told.withColumns({"lang_pred": F.col("_told.lang_pred"), "score": F.col("_told.score")}).drop("_told")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -215,4 +215,5 @@ def language_id(docs: DataFrame) -> DataFrame:
     a language. Null doc_id: predicted, never learned from, held_out false. Repeated rows
     give repeated result rows; other columns are ignored.
     """
-    return identify(docs, train(docs))
+    slim = docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"))))
+    return identified(slim).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

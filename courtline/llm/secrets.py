@@ -176,7 +176,7 @@ def _joined(spans: Column, kinds: list[str]) -> Column:
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with ``found``: sorted array of (start, ord, stop).
+    """``docs`` (doc_id, text and any others) with ``_found``: sorted array of (start, ord, stop).
 
     Rules whose trigram query is empty of alternatives scan every text. The others read only
     the texts that the index names; the index holds (trigram, doc_id) rows for the trigrams of
@@ -200,7 +200,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             asked = F.coalesce(F.array_contains("_kinds", rule.kind), F.col("doc_id").isNull())
             spans = F.when(asked, spans).otherwise(none)
         parts.append(spans)
-    return docs.withColumn("found", F.array_sort(F.concat(*parts))).drop("_of", "_kinds")
+    return docs.withColumn("_found", F.array_sort(F.concat(*parts))).drop("_of", "_kinds")
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -212,16 +212,16 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """
     kinds = [r.kind for r in RULES]
     found = find_secrets(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
-    base = F.filter("found", lambda s: s["ord"] < len(BASE))
+    base = F.filter("_found", lambda s: s["ord"] < len(BASE))
 
     def count(i: int) -> Column:
-        return F.size(F.filter("found", lambda s: s["ord"] == i)).cast("bigint")
+        return F.size(F.filter("_found", lambda s: s["ord"] == i)).cast("bigint")
 
     counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return found.select(
         "doc_id", *counts,
         F.sha2(F.when(F.size(base) > 0, _joined(base, kinds)).otherwise(""), 256).alias("base_sha256"),
-        F.when(F.size("found") > 0, _joined(F.col("found"), kinds)).otherwise("").alias("spans"),
+        F.when(F.size("_found") > 0, _joined(F.col("_found"), kinds)).otherwise("").alias("spans"),
     )
 
 
@@ -241,11 +241,11 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"),
         )
 
-    done = F.aggregate("found", state, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    done = F.aggregate("_found", state, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
     out = find_secrets(docs)
-    clean = out.withColumn("_new", F.when(F.size("found") > 0, done).otherwise(text))
+    clean = out.withColumn("_new", F.when(F.size("_found") > 0, done).otherwise(text))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("found") > 0, F.char_length("_new").cast("bigint")).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.size("_found") > 0, F.char_length("_new").cast("bigint")).otherwise(F.col("n_chars")))
     return clean.withColumn("text", F.col("_new")).select(docs.columns)
 
 
