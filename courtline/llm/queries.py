@@ -10,6 +10,7 @@ from courtline.llm import secrets
 from courtline.llm.common import table
 from courtline.llm.decontamination import decontaminate
 from courtline.llm.language_id import language_id
+from courtline.llm.licenses import scan_licenses
 from courtline.llm.mixing import mixing_rates
 from courtline.llm.near_duplicates import near_duplicates
 from courtline.llm.quality_rules import quality_rules
@@ -55,3 +56,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
