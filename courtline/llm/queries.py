@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from courtline.llm import secrets
 from courtline.llm.common import table
 from courtline.llm.decontamination import decontaminate
+from courtline.llm.html_text import main_text
 from courtline.llm.language_id import language_id
 from courtline.llm.licenses import scan_licenses
 from courtline.llm.mixing import mixing_rates
@@ -61,3 +62,8 @@ def op9_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
