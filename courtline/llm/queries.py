@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from courtline.llm import secrets
 from courtline.llm.common import table
+from courtline.llm.cotraining import classify
 from courtline.llm.decontamination import decontaminate
 from courtline.llm.html_text import main_text
 from courtline.llm.language_id import language_id
@@ -67,3 +68,8 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
