@@ -109,19 +109,23 @@ def _verified(shingle: int, percent: int):
     return run
 
 
-def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of representatives whose full shingle sets reach the threshold."""
+def _with_sketches(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of fitting set sizes, each with both sketches."""
     a, b = (
         reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
         for c in ("a", "b")
     )
-    near = (
+    return (
         pairs.select("a", "b").distinct().join(a, "a").join(b, "b")
         .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        .select("a", "b", "sig_a", "sig_b")
     )
+
+
+def _links(docs: DataFrame, near: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of the pairs with sketches those whose full shingle sets reach the threshold."""
     likely = saved(map_batches(
-        near.select("a", "b", "sig_a", "sig_b"), _agreeing(min(AGREE, percent / 100 - 0.2)),
-        {"a": "long", "b": "long"},
+        near, _agreeing(min(AGREE, percent / 100 - 0.2)), {"a": "long", "b": "long"}
     ).distinct())
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     with_a = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -152,7 +156,7 @@ def _rare(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _leftover(openly: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of open bucket members in different components that may be linked.
+    """Pairs (a, b) of open bucket members in different components that may be linked, with sketches.
 
     A pair either shares a shingle with at most three holders, and is found by it, or its
     intersection is no larger than what either set has besides: ``common``. The second kind
@@ -161,20 +165,20 @@ def _leftover(openly: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int
     """
     rare = saved(_rare(texts, shingle))
     own = rare.select(F.explode("holders").alias("a")).groupBy("a").agg(F.count("*").alias("own"))
-    sizes = (
-        reps.select(F.col("doc_id").alias("a"), "n", "bands").join(own, "a", "left")
-        .select("a", "n", "bands", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-        .filter(100 * F.col("common") >= percent * F.col("n"))
+    label = openly.groupBy("a").agg(F.min("comp").alias("comp"))
+    able = (
+        reps.select(F.col("doc_id").alias("a"), "n", "bands", "sig").join(label, "a").join(own, "a", "left")
+        .withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+        .filter(100 * F.col("common") >= percent * F.col("n")).drop("own")
+        .withColumn("bucket", F.explode("bands")).join(openly.select("bucket", "main").distinct(), "bucket")
     )
-    able = openly.join(sizes, "a")
-    strays = able.filter("comp <> main").select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("a", "comp", "n", "common", "bands")))
+    strays = able.filter("comp <> main").select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("a", "comp", "n", "common", "bands", "sig")))
     # two strays meet once, and any two in the first of their buckets
     once = (F.col("comp") == F.col("main")) | (F.col("a") < F.col("a_b"))
     first = F.array_min(F.array_intersect("bands", "bands_b")) == F.col("bucket")
     both = F.least("common", "common_b")
     reach = 100 * both >= percent * (F.col("n") + F.col("n_b") - both)
     met = able.join(strays, "bucket").filter(once & (F.col("comp") != F.col("comp_b")) & reach & first)
-    label = openly.groupBy("a").agg(F.min("comp").alias("comp"))
     pair = F.explode(F.flatten(F.transform("holders", lambda x: F.transform(
         F.filter("holders", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b"))
     ))))
@@ -182,7 +186,9 @@ def _leftover(openly: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int
         rare.filter(F.size("holders") > 1).select(pair.alias("p")).select("p.*").distinct().join(label, "a")
         .join(label.select(F.col("a").alias("b"), F.col("comp").alias("comp_b")), "b").filter("comp <> comp_b")
     )
-    return met.select("a", F.col("a_b").alias("b")).union(sharing.select("a", "b"))
+    return met.select("a", F.col("a_b").alias("b"), F.col("sig").alias("sig_a"), F.col("sig_b")).union(
+        _with_sketches(sharing, reps, percent)
+    )
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
@@ -224,7 +230,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     centres = (
         buckets.groupBy("bucket").agg(F.min("a").alias("b"), F.count("*").alias("members")).filter("members > 1")
     )
-    star = saved(_links(docs, reps, buckets.join(centres, "bucket").filter("a <> b"), shingle, percent))
+    star = saved(_links(
+        docs, _with_sketches(buckets.join(centres, "bucket").filter("a <> b"), reps, percent), shingle, percent
+    ))
     label = components(star)
 
     # what the stars left open: buckets of three or more with members of several components
@@ -241,7 +249,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     openly = saved(state.join(most, "bucket"))
     texts = saved(docs.join(openly.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"))
     rest = _leftover(openly, texts, reps, shingle, percent)
-    more = saved(_links(texts, reps, rest, shingle, percent))
+    more = saved(_links(texts, rest, shingle, percent))
     if more.limit(1).count():
         label = components(star.union(more))
 
