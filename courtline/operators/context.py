@@ -11,7 +11,6 @@ from courtline.functions import misc
 from courtline.operators.normalize import wide_stats
 from courtline.operators.ordered import as_of
 from courtline.operators.schedule import team_rows
-from courtline.operators.sizes import bounded
 
 # The context columns in order, and their scales.
 FORM_METRICS = {
@@ -62,7 +61,7 @@ def previous_form(
         asks, latest, ["team_id", "season_id"], "game_date", "game_date", metrics,
         {"__month": F.trunc("__t", "month")}, name="form",
     )
-    stats = bounded(wide_stats(season_stats, "season_id", metrics))
+    stats = wide_stats(season_stats, "season_id", metrics)
     scored = found.join(stats, "season_id", "left")
 
     def z(metric: str) -> Column:

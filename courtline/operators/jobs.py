@@ -25,12 +25,14 @@ Trainer = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def load_history(
-    landed: Mapping[str, DataFrame], root: str, partition: str = "season_id"
+    landed: Mapping[str, DataFrame], root: str, partition: str = "season_id", version: str = "loaded_at"
 ) -> None:
     """Upsert landed tables in dependency order, then derive and store stints.
 
-    One set-based job per table over all its games. Facts without a season take it
-    from games, so every fact is partitioned by season.
+    One set-based job per table over all its games; what is stored already stays. Of repeated
+    keys the row with the latest ``version`` wins, then the largest in its other columns.
+    Facts without a season take it from games, so every fact is partitioned by season;
+    dimensions are stored whole. The stints of a landed game replace all it had.
     """
     games = landed["games"].select("game_id", partition)
     for name in LOAD_ORDER:
@@ -40,15 +42,15 @@ def load_history(
         keys = NATURAL_KEYS[name]
         if partition not in rows.columns and "game_id" in rows.columns:
             rows = rows.join(games, "game_id")
-        if partition in rows.columns:
-            maintenance.upsert_table(f"{root}/{name}", rows, keys, keys, partition)
-        else:
-            maintenance.latest_by_key(rows, keys, keys).write.mode("overwrite").parquet(f"{root}/{name}")
+        rest = [c for c in rows.columns if c not in keys and c != version]
+        order = [c for c in (version,) if c in rows.columns] + rest
+        fact = partition in rows.columns and name != "seasons"
+        maintenance.upsert_table(f"{root}/{name}", rows, keys, order or keys, partition if fact else None)
     if "plays" in landed:
-        teams = landed["games"].select("game_id", "home_team_id", "away_team_id", partition)
+        teams = landed["games"].select("game_id", "home_team_id", "away_team_id", partition).distinct()
         plays = landed["plays"].join(teams, "game_id")
-        stints = derive_stints(plays, ["period"]).join(games, "game_id")
-        maintenance.upsert_table(f"{root}/stints", stints, NATURAL_KEYS["stints"], ["end_sec"], partition)
+        stints = derive_stints(plays, ["period"]).join(games.distinct(), "game_id")
+        maintenance.repair_games(f"{root}/stints", plays.select("game_id").distinct(), stints, partition)
 
 
 def build_features(

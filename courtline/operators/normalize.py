@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.operators.sizes import bounded
 
 
 def season_stats(df: DataFrame, season: str, metrics: list[str]) -> DataFrame:
@@ -46,7 +45,7 @@ def z_scores(
 ) -> DataFrame:
     """Add ``<metric>_z``. With ``check`` a season without statistics is an error."""
     present = [m for m in metrics if m in df.columns]
-    side = bounded(wide_stats(stats, season, present).withColumn("__seen", F.lit(True)))
+    side = wide_stats(stats, season, present).withColumn("__seen", F.lit(True))
     joined = df.join(side, season, "left")
 
     def score(m: str):
@@ -61,6 +60,6 @@ def z_scores(
 
 def inverse_z(df: DataFrame, stats: DataFrame, season: str, metric: str, name: str) -> DataFrame:
     """Turn ``<metric>_z`` back into values."""
-    side = bounded(wide_stats(stats, season, [metric]))
+    side = wide_stats(stats, season, [metric])
     value = F.col(f"{metric}_z") * F.col(f"{metric}__std") + F.col(f"{metric}__mean")
     return df.join(side, season, "left").select(*df.columns, value.alias(name))

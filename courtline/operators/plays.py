@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from courtline.functions import clock, misc, text
 from courtline.operators.ordered import interval_join, running
-from courtline.operators.sizes import bounded
 
 # Event codes and shot-clock bounds in seconds.
 MADE, MISSED, FREE_THROW, REBOUND, TURNOVER, SUBSTITUTION = 1, 2, 3, 4, 5, 8
@@ -158,8 +157,8 @@ def resolve_references(plays: DataFrame, players: DataFrame) -> DataFrame:
         "game_id", "event_num", "source",
         F.posexplode(text.player_references(F.col("body"))).alias("place", "name"),
     ).withColumn("folded", F.lower("name"))
-    known = bounded(
-        players.select(F.lower("name").alias("folded"), F.col("name").alias("spelling"), F.col("player_id").alias("hit"))
+    known = players.select(
+        F.lower("name").alias("folded"), F.col("name").alias("spelling"), F.col("player_id").alias("hit")
     )
     preference = F.struct((F.col("spelling") != F.col("name")).alias("differs"), "hit")
     resolved = (

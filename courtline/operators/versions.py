@@ -13,39 +13,31 @@ LOWER_BETTER = ["brier_score", "log_loss", "margin_mae", "total_mae", "loss", "m
 TIE = 0.001
 
 
-def lineage(versions: DataFrame, version: str = "version", parent: str = "parent_version") -> DataFrame:
-    """Every (version, ancestor, steps), each version its own ancestor at 0.
-
-    Path doubling: round k joins paths of up to 2^k steps to jumps of exactly 2^k,
-    so a chain of n versions takes about log2(n) joins. A cycle ends when a round
-    finds no new ancestor; an ancestor counts at its first visit.
+def lineage(
+    versions: DataFrame, roots: DataFrame, version: str = "version", parent: str = "parent_version"
+) -> DataFrame:
+    """(version, ancestor, steps) for the versions in ``roots``, each its own ancestor at 0.
+
+    One step up per round, for all asked versions at once; an ancestor counts at its first
+    visit, so a cycle ends. The output is as long as the asked versions are deep. Asked
+    versions that do not exist have no rows.
     """
     ensure_checkpoint_dir(versions.sparkSession)
-    edges = versions.filter(F.col(parent).isNotNull())
-    jump = edges.select(F.col(version).alias("v"), F.col(parent).alias("a")).distinct().checkpoint()
-    paths = jump.filter("v <> a").withColumn("steps", F.lit(1)).checkpoint()
-    reach = 1
+    edges = versions.filter(F.col(parent).isNotNull()).select(F.col(version).alias("at"), F.col(parent).alias("next"))
+    known = versions.select(F.col(version).alias("v")).join(roots.select(F.col(version).alias("v")).distinct(), "v", "left_semi").distinct()
+    front = known.select("v", F.col("v").alias("a"), F.lit(0).alias("steps")).checkpoint()
+    paths, step = front, 0
     while True:
-        longer = paths.join(
-            jump.select(F.col("v").alias("a"), F.col("a").alias("next")), "a"
-        ).select("v", F.col("next").alias("a"), (F.col("steps") + reach).alias("steps"))
-        found = (
-            longer.filter("v <> a")
-            .groupBy("v", "a").agg(F.min("steps").alias("steps"))
+        step += 1
+        front = (
+            front.join(edges, F.col("a") == F.col("at")).select("v", F.col("next").alias("a")).distinct()
             .join(paths.select("v", "a"), ["v", "a"], "left_anti")
-            .checkpoint()
+            .select("v", "a", F.lit(step).alias("steps")).checkpoint()
         )
-        if found.isEmpty():
+        if front.isEmpty():
             break
-        paths = paths.unionByName(found).checkpoint()
-        jump = jump.join(jump.select(F.col("v").alias("a"), F.col("a").alias("b")), "a").select(
-            "v", F.col("b").alias("a")
-        ).checkpoint()
-        reach *= 2
-    selves = versions.select(F.col(version).alias("v"), F.col(version).alias("a"), F.lit(0).alias("steps"))
-    return selves.unionByName(paths).select(
-        F.col("v").alias("version"), F.col("a").alias("ancestor"), "steps"
-    )
+        paths = paths.unionByName(front).checkpoint()
+    return paths.select(F.col("v").alias("version"), F.col("a").alias("ancestor"), "steps")
 
 
 def metric_changes(pairs: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -39,19 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A file scan over all cores, for work that costs far more than reading its rows.
-
-    Only for frames read and projected straight from files, whose partitions are
-    known without running anything. A scan with a partition per core, as any large
-    table has, is left alone; a single small file is shuffled by ``keys``.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def _mod(c: Column, n: int) -> Column:
     return F.pmod(c, F.lit(n))
 

@@ -13,7 +13,7 @@ LAM, TAU, MIN_MINUTES = 50.0, 180.0, 100.0
 
 
 def _stints(spark, sf_dir):
-    return b.spread(b.stints(spark, sf_dir), "stint_id")
+    return b.stints(spark, sf_dir)
 
 _EXPOSURE_SQL = """expo AS (SELECT season_id, player_id, sum(duration_seconds) / 60.0::DOUBLE AS minutes, count(*) AS sample_stints
   FROM (SELECT season_id, duration_seconds, unnest(list_concat(home_lineup, away_lineup)) AS player_id FROM stints) GROUP BY 1, 2)"""

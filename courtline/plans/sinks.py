@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from courtline.functions import misc
-from courtline.operators import normalize, reports
+from courtline.operators import jobs, normalize, reports
 from courtline.plans import bindings as b
 from courtline.plans.registry import query
 from courtline.session import ensure_checkpoint_dir
 from courtline.sources import maintenance
+from courtline.streaming import increments
 
 
 def _folder(spark) -> str:
@@ -112,3 +113,72 @@ def top_factors(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.array_join(F.transform(best, lambda f: f["name"]), ",").alias("factors"),
     )
+
+
+_MOVED = "o_orderkey % 10 = 1"
+
+
+@query(
+    "loaded_history",
+    "K05 K01 K02",
+    """WITH first AS (SELECT o_orderkey AS g, year(o_orderdate) AS s, 'scheduled' AS st FROM orders WHERE o_orderkey % 3 <> 0),
+second AS (SELECT o_orderkey AS g, year(o_orderdate) + CASE WHEN o_orderkey % 10 = 1 THEN 1 ELSE 0 END AS s, 'completed' AS st FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 10 = 1),
+games AS (SELECT * FROM second UNION ALL SELECT * FROM first WHERE g NOT IN (SELECT g FROM second)),
+players AS (SELECT c_custkey AS p, CASE WHEN c_custkey % 2 = 1 OR c_custkey % 10 = 0 THEN 'second' ELSE 'first' END AS st FROM customer)
+SELECT 'games' AS name, CAST(s AS VARCHAR) AS season_id, st AS status, count(*) AS stored, CAST(sum(g) AS BIGINT) AS ids FROM games GROUP BY 2, 3
+UNION ALL SELECT 'players', NULL, st, count(*), CAST(sum(p) AS BIGINT) FROM players GROUP BY 3""",
+)
+def loaded_history(spark, sf_dir):
+    """Two loads: the second brings other players, repeated ones, and games whose season moved."""
+    root = _folder(spark)
+    orders, people = b.table(spark, sf_dir, "orders"), b.table(spark, sf_dir, "customer")
+
+    def games(rows, status, loaded, season):
+        return rows.select(
+            F.col("o_orderkey").alias("game_id"), season.cast("string").alias("season_id"),
+            F.lit(status).alias("status"), F.lit(loaded).alias("loaded_at"), F.lit(1).alias("home_team_id"), F.lit(2).alias("away_team_id"),
+        )
+
+    def players(rows, loaded):
+        return rows.select(F.col("c_custkey").alias("player_id"), F.lit(loaded).alias("full_name"))
+
+    year = F.year("o_orderdate")
+    jobs.load_history({
+        "games": games(orders.filter("o_orderkey % 3 <> 0"), "scheduled", 1, year),
+        "players": players(people.filter("c_custkey % 2 = 0"), "first"),
+    }, root)
+    moved = year + F.expr(_MOVED).cast("int")
+    jobs.load_history({
+        "games": games(orders.filter(f"o_orderkey % 3 = 0 OR {_MOVED}"), "completed", 2, moved),
+        "players": players(people.filter("c_custkey % 2 = 1 OR c_custkey % 10 = 0"), "second"),
+    }, root)
+    schema = games(orders, "", 0, year).schema
+    stored = spark.read.schema(schema).parquet(f"{root}/games").select(
+        F.lit("games").alias("name"), "season_id", "status", F.col("game_id").alias("id")
+    ).union(spark.read.parquet(f"{root}/players").select(
+        F.lit("players"), F.lit(None).cast("string"), "full_name", "player_id"
+    ))
+    return stored.groupBy("name", "season_id", "status").agg(F.count(F.lit(1)).alias("stored"), F.sum("id").alias("ids"))
+
+
+@query(
+    "late_games",
+    "Z01 Z02 K01",
+    """SELECT year(o_orderdate) AS season_id, count(*) AS games, CAST(sum(o_orderkey) AS BIGINT) AS ids FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""",
+)
+def late_games(spark, sf_dir):
+    """A stream that brings the newer games first and the older ones, with repeats, later."""
+    root = _folder(spark)
+    rows = b.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("game_id"), F.year("o_orderdate").alias("season_id"),
+        F.col("o_orderdate").cast("timestamp").alias("played_at"),
+        F.when(F.col("o_orderstatus") == "F", "completed").otherwise("scheduled").alias("status"),
+    )
+    for part in (rows.filter("season_id >= 1998 OR game_id % 7 = 0"), rows.filter("season_id < 1998")):
+        part.write.mode("append").parquet(f"{root}/landed")
+        stream = increments.new_completed_games(increments.file_stream(spark, f"{root}/landed", rows.schema))
+        increments.upsert_stream(
+            stream, f"{root}/games", ["game_id"], ["played_at"], "season_id", f"{root}/progress"
+        ).awaitTermination()
+    table = spark.read.schema(rows.schema).parquet(f"{root}/games")
+    return table.groupBy("season_id").agg(F.count(F.lit(1)).alias("games"), F.sum("game_id").alias("ids"))

@@ -21,7 +21,7 @@ def _folders(spark) -> tuple[str, str]:
 
 def _events(spark, sf_dir):
     schema = b.table(spark, sf_dir, "events").schema
-    raw = inc.file_stream(spark, sf_dir, schema, "events.parquet")
+    raw = inc.file_stream(spark, f"{sf_dir}/events.parquet", schema)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -36,14 +36,13 @@ def _second(c):
 FROM (SELECT event_type, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS w FROM events) GROUP BY 1, 2""",
 )
 def rolling_event_metrics(spark, sf_dir):
-    table, progress = _folders(spark)
-    stream = inc.rolling_metrics(
-        _events(spark, sf_dir), "ts", ["event_type"],
-        {"events": F.count(F.lit(1)), "mean_value": F.avg("value")},
-    )
-    inc.collect_stream(stream, table, progress)
-    return spark.read.parquet(table).select(
-        _second("window_start").alias("window_start"), "event_type", "events", F.round("mean_value", 6).alias("mean_value")
+    shares, progress = _folders(spark)
+    sums = {"events": F.count(F.lit(1)), "valued": F.count("value"), "total": F.sum("value")}
+    inc.collect_shares(_events(spark, sf_dir), lambda e: inc.rolling_sums(e, "ts", ["event_type"], sums), shares, progress)
+    merged = inc.merged_sums(spark.read.parquet(shares), ["event_type"], list(sums))
+    return merged.select(
+        _second("window_start").alias("window_start"), "event_type", "events",
+        F.round(F.col("total") / F.nullif("valued", F.lit(0)), 6).alias("mean_value"),
     )
 
 
@@ -55,9 +54,9 @@ s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FR
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS events FROM s GROUP BY user_id, n""",
 )
 def event_sessions(spark, sf_dir):
-    table, progress = _folders(spark)
-    inc.collect_stream(inc.sessions(_events(spark, sf_dir), "ts", ["user_id"], "6 hours"), table, progress)
-    return spark.read.parquet(table).select(
+    parts, progress = _folders(spark)
+    inc.collect_shares(_events(spark, sf_dir), lambda e: inc.sessions(e, "ts", ["user_id"], "6 hours"), parts, progress)
+    return inc.merged_sessions(spark.read.parquet(parts), ["user_id"]).select(
         "user_id", _second("started").alias("started"), _second("ended").alias("ended"), "events"
     )
 
@@ -68,13 +67,14 @@ def event_sessions(spark, sf_dir):
     """SELECT user_id AS game_id, event_type AS source, arg_max(value, ts) AS home_ml, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS closed_at FROM events GROUP BY 1, 2""",
 )
 def closing_lines(spark, sf_dir):
-    table, progress = _folders(spark)
+    shares, progress = _folders(spark)
     odds = _events(spark, sf_dir).select(
         F.col("user_id").alias("game_id"), F.col("event_type").alias("source"),
         F.col("ts").alias("timestamp"), F.col("value").alias("home_ml"),
     )
-    inc.collect_stream(inc.closing_lines(odds, None, ["home_ml"]), table, progress, mode="update")
-    out = inc.latest_rows(spark, table, ["game_id", "source"])
+    inc.collect_shares(odds, lambda o: inc.closing_lines(o, None, ["home_ml"]), shares, progress)
+    last = spark.read.parquet(shares).withColumnRenamed("closed_at", "timestamp")
+    out = inc.closing_lines(last, None, ["home_ml"])
     return out.select("game_id", "source", "home_ml", _second("closed_at").alias("closed_at"))
 
 
@@ -108,7 +108,7 @@ def streamed_new_games(spark, sf_dir):
         F.when(F.col("event_type") == "purchase", "completed").otherwise("scheduled").alias("status"),
     )
     inc.upsert_stream(
-        inc.new_completed_games(rows), table, ["game_id", "day"], ["played_at"], "day", progress
+        inc.new_completed_games(rows), table, ["game_id"], ["played_at"], "day", progress
     ).awaitTermination()
     return spark.read.parquet(table).groupBy(F.col("user_id").alias("game_id")).agg(
         F.to_date(F.min("played_at")).cast("string").alias("first_day"), F.count(F.lit(1)).alias("purchases")

@@ -205,7 +205,7 @@ SELECT CAST(g AS VARCHAR) AS game_id, p AS player_id, p // 10 AS team_id, round(
 )
 def player_box_scores(spark, sf_dir):
     g, p = F.col("game_id"), F.col("player_id")
-    rows = b.spread(b.stints(spark, sf_dir), "game_id").select(
+    rows = b.stints(spark, sf_dir).select(
         "game_id", F.explode(F.concat("home_lineup", "away_lineup")).alias("player_id")
     )
     key = {"GAME_ID": g, "PLAYER_ID": p, "TEAM_ID": F.floor(p / 10)}

@@ -16,6 +16,8 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8) -> SparkSess
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.sql.files.openCostInBytes", "256k")
+        .config("spark.sql.files.minPartitionNum", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
@@ -25,9 +27,15 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8) -> SparkSess
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back only where none is set."""
+    """Use the shared folder the cluster names.
+
+    Only a local run, whose executors are this process, may do without one; elsewhere other
+    machines could not read a folder of this one, so it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="courtline-ckpt-"))

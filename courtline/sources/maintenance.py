@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from courtline.operators.sizes import bounded
 from courtline.session import ensure_checkpoint_dir
 
 
@@ -41,11 +40,9 @@ def _read(spark: SparkSession, path: str, schema: StructType | None = None) -> D
         raise
 
 
-def _current(spark: SparkSession, path: str, like: DataFrame, touched: DataFrame, partition: str) -> DataFrame:
+def _current(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     table = _read(spark, path, like.schema)
-    if table is None:
-        return spark.createDataFrame([], like.schema)
-    return table.join(touched, partition, "left_semi").select(*like.columns)
+    return spark.createDataFrame([], like.schema) if table is None else table
 
 
 def _overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
@@ -54,19 +51,46 @@ def _overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
     ).parquet(path)
 
 
+def _partition_folder(path: str, partition: str, value: object) -> str:
+    """Folder of a partition value, escaped as Spark names it."""
+    text = "__HIVE_DEFAULT_PARTITION__" if value is None or value == "" else str(value)
+    escaped = "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in text)
+    return f"{path}/{partition}={escaped}"
+
+
+def _rewrite(path: str, merged: DataFrame, touched: DataFrame, partition: str) -> None:
+    """Replace the touched partitions by ``merged``; one that is left without rows is emptied.
+
+    A dynamic overwrite leaves alone what it has no row for, so an emptied partition is
+    overwritten by no rows. As many values reach the driver as partitions were emptied.
+    """
+    spark = merged.sparkSession
+    empty = touched.join(merged.select(partition).distinct(), partition, "left_anti").collect()
+    _overwrite_partitions(merged, path, partition)
+    none = spark.createDataFrame([], merged.drop(partition).schema)
+    for row in empty:
+        none.write.mode("overwrite").parquet(_partition_folder(path, partition, row[0]))
+
+
 def upsert_table(
-    path: str, new: DataFrame, keys: list[str], order: list[str], partition: str
+    path: str, new: DataFrame, keys: list[str], order: list[str], partition: str | None = None
 ) -> None:
-    """Upsert into a partitioned table, rewriting only the partitions in ``new``.
+    """Upsert into a stored table: the latest new row of each key replaces what is stored.
 
-    A key stays in one partition, so no other partition can hold it.
+    Rewritten are the partitions in ``new`` and those that hold one of its keys, so a key
+    whose partition changed moves and does not stay twice. Without ``partition`` the whole
+    table is rewritten; that is for dimensions.
     """
     spark = new.sparkSession
     ensure_checkpoint_dir(spark)
-    touched = bounded(new.select(partition).distinct())
-    current = _current(spark, path, new, touched, partition)
-    merged = upsert(current, new, keys, order).checkpoint()
-    _overwrite_partitions(merged, path, partition)
+    table = _current(spark, path, new)
+    if partition is None:
+        upsert(table, new, keys, order).checkpoint().write.mode("overwrite").parquet(path)
+        return
+    held = table.join(new.select(*keys).distinct(), keys, "left_semi").select(partition).distinct().checkpoint()
+    touched = held.union(new.select(partition)).distinct()
+    current = table.join(touched, partition, "left_semi").select(*new.columns)
+    _rewrite(path, upsert(current, new, keys, order).checkpoint(), held, partition)
 
 
 def replace_partitions(path: str, new: DataFrame, partition: str, force: bool = True) -> bool:
@@ -82,20 +106,20 @@ def replace_partitions(path: str, new: DataFrame, partition: str, force: bool =
 
 
 def repair_games(path: str, game_ids: DataFrame, fresh: DataFrame, partition: str) -> None:
-    """Drop the rows of some games and put the re-ingested ones in, per partition.
+    """Drop the rows of some games, wherever they are stored, and put the re-ingested ones in.
 
-    ``game_ids`` has game_id and the partition column.
+    ``game_ids`` has game_id.
     """
     spark = fresh.sparkSession
     ensure_checkpoint_dir(spark)
-    touched = bounded(
-        game_ids.select(partition).union(fresh.select(partition)).distinct()
-    )
-    current = _current(spark, path, fresh, touched, partition)
-    kept = current.join(
-        game_ids.select("game_id").distinct(), "game_id", "left_anti"
+    held = (
+        _current(spark, path, fresh).join(game_ids.select("game_id").distinct(), "game_id", "left_semi")
+        .select(partition).distinct().checkpoint()
     )
-    _overwrite_partitions(kept.select(*fresh.columns).unionByName(fresh).checkpoint(), path, partition)
+    touched = held.union(fresh.select(partition)).distinct()
+    current = _current(spark, path, fresh).join(touched, partition, "left_semi")
+    kept = current.join(game_ids.select("game_id").distinct(), "game_id", "left_anti")
+    _rewrite(path, kept.select(*fresh.columns).unionByName(fresh).checkpoint(), held, partition)
 
 
 def archive_predictions(path: str, predictions: DataFrame, day: str = "prediction_date") -> None:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtline.functions import availability, clock
-from courtline.operators.sizes import bounded
 
 RESULT_SETS = (
     "resultSets array<struct<name:string,headers:array<string>,rowSet:array<array<string>>>>"
@@ -288,7 +287,7 @@ def injury_reports(feed: DataFrame, text: str, teams: DataFrame, today: Column)
     player = feed.select(team).select(
         F.col("t.teamTricode").alias("abbreviation"), F.explode("t.players").alias("p")
     ).filter(F.coalesce("p.injuryStatus", F.lit("")) != "")
-    ids = bounded(teams.select("abbreviation", "team_id"))
+    ids = teams.select("abbreviation", "team_id")
     name = F.trim(F.concat_ws(" ", "p.firstName", "p.lastName"))
     return player.join(ids, "abbreviation", "left").select(
         F.coalesce("p.personId", F.lit(0)).alias("player_id"),

@@ -6,10 +6,9 @@ checkpoint folder of each query, so a restart resumes where it stopped.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -17,26 +16,20 @@ from pyspark.sql.types import StructType
 from courtline.sources import maintenance
 
 
-def file_stream(
-    spark: SparkSession,
-    folder: str,
-    schema: StructType,
-    pattern: str = "*",
-    files_per_batch: int | None = None,
-) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of a table stored as one Parquet file or as a folder of part files.
+
+    A plain path of a stream has to be a folder; a pattern, here of that one name, may be either.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.parquet(folder)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def new_completed_games(games: DataFrame, late: str = "7 days") -> DataFrame:
-    """Completed games, each once; ``games`` has a timestamp column played_at."""
-    return (
-        games.filter(F.col("status") == "completed")
-        .withWatermark("played_at", late)
-        .dropDuplicatesWithinWatermark(["game_id"])
-    )
+def new_completed_games(games: DataFrame) -> DataFrame:
+    """Completed games, however late they come; the keyed upsert takes each once."""
+    return games.filter(F.col("status") == "completed")
 
 
 def upsert_stream(
@@ -64,40 +57,58 @@ def unprocessed(games: DataFrame, processed: DataFrame) -> DataFrame:
     return games.join(processed.select("game_id"), "game_id", "left_anti")
 
 
-def rolling_metrics(
-    events: DataFrame,
-    time: str,
-    keys: list[str],
-    metrics: Mapping[str, Column],
-    length: str = "7 days",
-    slide: str | None = "1 day",
-    late: str = "2 days",
+def rolling_sums(
+    events: DataFrame, time: str, keys: list[str], sums: Mapping[str, Column], length: str = "7 days", slide: str | None = "1 day"
 ) -> DataFrame:
-    """Tumbling (``slide`` None) or sliding aggregates with a bound on late rows."""
+    """Tumbling (``slide`` None) or sliding sums and counts, such as can be added up later.
+
+    Over a micro-batch it gives that batch's share of each window; ``merged_sums`` adds the
+    shares, so a late row changes every window it belongs to and no state is kept.
+    """
     window = F.window(time, length, slide) if slide else F.window(time, length)
     return (
-        events.withWatermark(time, late)
-        .groupBy(window.alias("w"), *keys)
-        .agg(*[c.alias(n) for n, c in metrics.items()])
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *metrics)
+        events.groupBy(window.alias("w"), *keys)
+        .agg(*[c.alias(n) for n, c in sums.items()])
+        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *sums)
     )
 
 
-def sessions(events: DataFrame, time: str, keys: list[str], gap: str, late: str = "2 days") -> DataFrame:
-    """Runs of events no further apart than ``gap``."""
+def merged_sums(shares: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    return shares.groupBy("window_start", "window_end", *keys).agg(*[F.sum(n).alias(n) for n in sums])
+
+
+def sessions(events: DataFrame, time: str, keys: list[str], gap: str) -> DataFrame:
+    """Runs of events no further apart than ``gap``: keys, started, ended, events."""
     return (
-        events.withWatermark(time, late)
-        .groupBy(F.session_window(time, gap).alias("s"), *keys)
+        events.groupBy(F.session_window(time, gap).alias("s"), *keys)
         .agg(F.count(F.lit(1)).alias("events"))
         .select(*keys, F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "events")
     )
 
 
+def merged_sessions(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sessions of several batches put together where they meet.
+
+    A part ends one gap after its last event, so two parts are one session exactly if one
+    starts before the other's end. The window runs over a key's parts, not its events.
+    """
+    by_key = Window.partitionBy(*keys).orderBy("started", "ended")
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col("started") >= F.max("ended").over(before), F.lit(True)).cast("int")
+    return (
+        parts.withColumn("__fresh", fresh)
+        .withColumn("__no", F.sum("__fresh").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*keys, "__no")
+        .agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("events").alias("events"))
+        .drop("__no")
+    )
+
+
 def closing_lines(odds: DataFrame, tips: DataFrame | None, prices: list[str], time: str = "timestamp") -> DataFrame:
     """Last prices per (game, source) no later than tip-off.
 
-    Works on a batch and, as a keyed aggregate in update mode, on a stream; a tie in
-    time goes to the larger prices.
+    Applied to micro-batches, the last of each is a candidate, and the last of the candidates
+    is the closing line; a tie in time goes to the larger prices.
     """
     rows = odds
     if tips is not None:
@@ -108,29 +119,14 @@ def closing_lines(odds: DataFrame, tips: DataFrame | None, prices: list[str], ti
     )
 
 
-def collect_stream(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    mode: str = "complete",
-    keys: list[str] | None = None,
-) -> None:
-    """Run a stream over all available input and leave its result as a table.
+def collect_shares(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Reduce every micro-batch by itself and keep the result in the batch's own folder.
 
-    "complete" overwrites the table per batch; "update" keeps each batch's changed
-    rows in its own folder, to be read back with ``latest_rows``.
+    No state is carried from batch to batch. A batch that is replayed after a failure
+    overwrites its own folder, so the shares are exact.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        target = path if mode == "complete" else f"{path}/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
-
-    _run(stream.writeStream.outputMode(mode).foreachBatch(save), checkpoint).awaitTermination()
-
-
-def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest version of each key over the batches of an update-mode run."""
-    rows = spark.read.parquet(path)
-    return maintenance.latest_by_key(rows, keys, ["batch"]).drop("batch")
-
+        reduce(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    _run(stream.writeStream.foreachBatch(save), checkpoint).awaitTermination()

@@ -118,12 +118,13 @@ def test_concept_drift_window(spark):
 
 def test_lineage_handles_cycles(spark):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "y"), ("y", "x")]
-    got = versions.lineage(spark.createDataFrame(rows, "version string, parent_version string"))
+    asked = spark.createDataFrame([(v,) for v in ("a", "d", "x", "none")], "version string")
+    got = versions.lineage(spark.createDataFrame(rows, "version string, parent_version string"), asked)
     chains = {}
     for r in got.collect():
         chains.setdefault(r["version"], []).append((-r["steps"], r["ancestor"]))
     order = {v: [a for _, a in sorted(c)] for v, c in chains.items()}
-    assert order["d"] == ["a", "b", "c", "d"] and order["a"] == ["a"] and order["x"] == ["y", "x"]
+    assert order == {"d": ["a", "b", "c", "d"], "a": ["a"], "x": ["y", "x"]}
 
 
 def test_winner_rules(spark):

@@ -139,3 +139,38 @@ def test_stream_resumes_and_equals_batch(spark, tmp_path):
     assert run() == 32
     done = spark.read.parquet(out)
     assert inc.unprocessed(rows.filter("status = 'completed'"), done).count() == 0
+
+
+def test_stream_reads_a_file_or_a_folder(spark, tmp_path):
+    from courtline import catalog
+
+    given = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    given.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("rolling_event_metrics", "event_sessions", "closing_lines", "streamed_new_games"):
+        run = catalog.entries()[name].run
+        one, parts = (sorted(map(str, run(spark, d).collect())) for d in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert one and one == parts
+
+
+def test_shares_of_batches_add_up(spark, tmp_path):
+    src = str(tmp_path / "src")
+    rows = [("a", t) for t in (0, 50, 90, 400, 1000)] + [("b", t) for t in (10, 300, 120)]
+    for key, t in rows:  # one file and so one batch each, late ones last
+        spark.createDataFrame([(key, t)], "k string, t bigint").selectExpr("k", "timestamp_seconds(t) AS ts").coalesce(1).write.mode("append").parquet(src)
+    stream = inc.file_stream(spark, src, spark.read.parquet(src).schema, files_per_batch=1)
+    inc.collect_shares(stream, lambda e: inc.sessions(e, "ts", ["k"], "100 seconds"), str(tmp_path / "s"), str(tmp_path / "p1"))
+    got = inc.merged_sessions(spark.read.parquet(str(tmp_path / "s")), ["k"])
+    assert spark.read.parquet(str(tmp_path / "s")).select("batch").distinct().count() == len(rows)
+    want = inc.sessions(spark.read.parquet(src), "ts", ["k"], "100 seconds")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_history_keeps_stored_rows_and_moves_changed_ones(spark, tmp_path):
+    root = str(tmp_path)
+    games = lambda *rows: spark.createDataFrame(list(rows), "game_id string, season_id string, home_team_id bigint, away_team_id bigint, status string, loaded_at int")
+    players = lambda *rows: spark.createDataFrame(list(rows), "player_id bigint, full_name string, loaded_at int")
+    jobs.load_history({"games": games(("g1", "s1", 1, 2, "completed", 1), ("g2", "s2", 1, 2, "scheduled", 1)), "players": players((1, "A", 1), (2, "B", 1))}, root)
+    jobs.load_history({"games": games(("g2", "s1", 1, 2, "completed", 2), ("g3", "s3", 1, 2, "x", 1), ("g3", "s3", 1, 2, "y", 2)), "players": players((2, "b", 2), (4, "D", 2))}, root)
+    assert {(r["player_id"], r["full_name"]) for r in spark.read.parquet(f"{root}/players").collect()} == {(1, "A"), (2, "b"), (4, "D")}
+    got = [(r["game_id"], r["season_id"], r["status"]) for r in spark.read.schema(games(("g", "s", 1, 2, "x", 1)).schema).parquet(f"{root}/games").collect()]
+    assert sorted(got) == [("g1", "s1", "completed"), ("g2", "s1", "completed"), ("g3", "s3", "y")]
