@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import WordHashes, map_batches, saved, signed, windows
+from courtline.llm.common import WordHashes, map_batches, saved, signed, stored, windows
 
 WINDOW = 20
 #: Words of an anchor. Every window has exactly one: its smallest-hashed run of so many words.
@@ -55,17 +55,19 @@ def _anchors(window: int, anchor: int):
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, keys = [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if doc_id is None or not text:
-                continue
-            h, _, _ = passages(hashes.of(text.encode().split()), window, anchor)
-            keys.append(h)
-            ids.append(np.full(len(h), doc_id))
-        if keys:
-            yield {"doc_id": np.concatenate(ids), "h": _key(np.concatenate(keys))}
+        texts = batch.column("text").to_pylist()
+        yield {
+            "doc_id": batch.column("doc_id").to_pylist(),
+            "hs": [np.unique(_key(passages(hashes.of((t or "").encode().split()), window, anchor)[0]), return_counts=True) for t in texts],
+        }
 
-    return run
+    def split(batch: pa.RecordBatch) -> Iterator[dict]:
+        for out in run(batch):
+            yield {
+                "doc_id": out["doc_id"], "once": [h[n == 1] for h, n in out["hs"]], "more": [h[n > 1] for h, n in out["hs"]],
+            }
+
+    return split
 
 
 def _packed(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -125,34 +127,35 @@ def _windows_of(window: int):
 
 
 def _located(window: int):
-    """Rows sorted by unit, phrases first: compile a shard's automaton, then stream its passages."""
+    """Rows sorted by unit: compile a shard's phrases into an automaton, stream its passages.
+
+    Per passage: (run, gone), the windows of it that stand at an earlier place.
+    """
 
-    def removed(phrases: list[dict], stream: list[dict]) -> Iterator[tuple[int, list[int]]]:
+    def removed(rows: list[dict]) -> Iterator[tuple[bytes, list[int]]]:
         codes: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for row in phrases:
-            tokens = tuple(codes.setdefault(w, len(codes)) for w in row["text"].split())
-            for j in row["homes"]:
+        texts = [tuple(codes.setdefault(w, len(codes)) for w in row["text"].split()) for row in rows]
+        for row, tokens in zip(rows, texts, strict=True):
+            for j in row["homes"] or ():
                 automaton.add_word(tokens[j : j + window], (row["doc_id"], row["start"] + j))
         if not len(automaton):
             return
         automaton.make_automaton()
-        for row in stream:
-            tokens = tuple(codes.get(w, len(codes)) for w in row["text"].split())
-            gone = [
-                at for end, first in automaton.iter(tokens)
-                if first < (row["doc_id"], at := row["start"] + end - window + 1)
-            ]
-            if gone:
-                yield row["doc_id"], gone
+        for row, tokens in zip(rows, texts, strict=True):
+            if row["streamed"]:
+                doc_id, start = row["doc_id"], row["start"] - window + 1
+                gone = [end - window + 1 for end, first in automaton.iter(tokens) if first < (doc_id, start + end)]
+                if gone:
+                    yield row["run"], gone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, stream, size, unit = [], [], 0, None
+        rows, size, unit = [], 0, None
 
         def flush() -> pa.RecordBatch:
-            rows = list(removed(phrases, stream))
+            out = list(removed(rows))
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "gone"]
+                [pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.list_(pa.int32()))], names=["run", "gone"]
             )
 
         for batch in batches:
@@ -161,13 +164,9 @@ def _located(window: int):
                     unit = row["unit"]
                     if size >= SHARD_PHRASES:
                         yield flush()
-                        phrases, stream, size = [], [], 0
-                if row["homes"] is not None:
-                    phrases.append(row)
-                    size += len(row["homes"])
-                else:
-                    stream.append(row)
-                    size += 1
+                        rows, size = [], 0
+                rows.append(row)
+                size += 1 + len(row["homes"] or ())
         yield flush()
 
     return run
@@ -197,15 +196,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     smaller doc_id, or before it in the same document. Windows are judged on the input.
 
     1. A whole copy of a smaller document goes as a whole; found by the digest's minimum.
-    2. Passages: runs of windows around one anchor. Anchors that occur once are dropped; their
-       windows cannot recur.
+    2. Passages: runs of windows around one anchor. Anchors that occur once in the other
+       documents are dropped; their windows cannot recur.
     3. Recurring passages are confirmed: equal passages are merged (map-side) into one with its
        first place; where an anchor has several, the first place of each of their windows.
-    4. Passages and phrases are dealt by anchor, in units of bounded size, to shards. Each
-       shard compiles its confirmed phrases into Aho-Corasick automata over words and streams
+    4. The distinct passages are dealt by anchor, in units of bounded size, to shards. Each
+       shard compiles the confirmed phrases into Aho-Corasick automata over words and streams
        its passages through them, which locates every occurrence word for word. An anchor with
        many passages has several units, each with all phrases of that anchor.
-    5. Places behind a phrase's first one are marked and cut from the texts.
+    5. Places behind a phrase's first one are marked and cut from the texts: all windows of a
+       passage where it stands again, the located ones where it stands first.
 
     Null or blank text: no words, the digest of the empty string. Fewer words than ``window``:
     nothing removed. A null doc_id has no order and is left whole. Rows of one doc_id count as
@@ -219,48 +219,58 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     )
     originals = marked.filter("not copy and n_words >= %d" % window).select("doc_id").distinct()
 
-    anchors = map_batches(rows, _anchors(window, anchor), {"doc_id": "long", "h": "long"})
-    often = anchors.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
-    asked = (
-        anchors.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-        .join(originals, "doc_id", "left_semi")
+    anchors = map_batches(
+        rows.filter("doc_id is not null"), _anchors(window, anchor), {"doc_id": "long", "once": "longs", "more": "longs"}
+    ).join(originals, "doc_id", "left_semi")
+    # an anchor that one document holds twice recurs by itself
+    every = anchors.select("doc_id", F.explode("once").alias("h"), F.lit(1).alias("k")).union(
+        anchors.select("doc_id", F.explode("more").alias("h"), F.lit(2).alias("k"))
     )
+    often = every.groupBy("h").agg(F.sum("k").alias("k")).filter("k > 1").select("h")
+    asked = every.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
     blobs = map_batches(rows.filter("doc_id is not null and text is not null"), _packed, {"doc_id": "long", "blob": "binary"})
-    found = saved(map_batches(
+    found = stored(map_batches(
         blobs.join(asked, "doc_id"), _recurring(window, anchor),
         {"h": "long", "doc_id": "long", "start": "long", "n": "long", "text": "binary", "run": "binary"},
     ))
 
     # equal passages are one; an anchor whose passages are all equal needs no further count
-    distinct = saved(
-        found.groupBy("run").agg(
-            F.first("h").alias("h"), F.first("n").alias("n"), F.first("text").alias("text"),
+    distinct = (
+        found.groupBy("h", "run").agg(
+            F.first("n").alias("n"), F.first("text").alias("text"),
             F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("times"),
-        ).select("run", "h", "n", "text", "at.doc_id", "at.start", "times")
+        ).select("h", "run", "n", "text", "at.doc_id", "at.start", "times")
     )
-    kinds = saved(distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("times")).filter("times > 1"))
-    several = distinct.join(kinds.filter("kinds > 1").select("h"), "h", "left_semi")
+    kinds = found.groupBy("h", "run").agg(F.count("*").alias("times")).groupBy("h").agg(
+        F.count("*").alias("kinds"), F.sum("times").alias("all_times")
+    ).filter("all_times > 1").select("h", "kinds", F.ceil(F.col("kinds") / UNIT_ROWS).cast("int").alias("units"))
+    known = distinct.join(kinds, "h")
+    several = known.filter("kinds > 1")
     homes = (
         map_batches(several.select("run", "text", "doc_id", "start"), _windows_of(window), {"w": "long", "doc_id": "long", "at": "long", "run": "binary", "j": "int"})
         .groupBy("w").agg(F.min(F.struct("doc_id", "at", "run", "j")).alias("home"))
-        .groupBy(F.col("home.run").alias("run")).agg(F.sort_array(F.collect_set("home.j")).alias("homes"))
+        .groupBy(F.col("home.run").alias("run")).agg(F.collect_set("home.j").alias("homes"))
     )
-    alone = distinct.join(kinds.filter("kinds = 1").select("h"), "h", "left_semi").withColumn(
-        "homes", F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+    alone = known.filter("kinds = 1").withColumn("homes", F.sequence(F.lit(0), F.col("n").cast("int") - 1))
+    columns = ["h", "units", "run", "text", "doc_id", "start", "homes"]
+    passages_ = several.join(homes, "run", "left").select(columns).union(alone.select(columns))
+    # a passage is streamed in one unit; its phrases stand in all units of the anchor
+    own = F.pmod(F.xxhash64("run"), F.col("units")).cast("int")
+    copies = F.when(F.col("homes").isNull(), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("units") - 1))
+    work = (
+        passages_.withColumn("u", F.explode(copies))
+        .select("run", "text", "doc_id", "start", "homes", (F.col("u") == own).alias("streamed"), F.xxhash64("h", "u").alias("unit"))
     )
-    columns = ["h", "text", "doc_id", "start", "homes"]
-    phrases = several.join(homes, "run").select(columns).union(alone.select(columns))
-
-    units = kinds.select("h", F.ceil(F.col("times") / UNIT_ROWS).cast("int").alias("units"))
-    dealt = phrases.join(units, "h").withColumn("u", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
-    streamed = found.join(units, "h").select(
-        "h", "text", "doc_id", "start", F.lit(None).cast("array<int>").alias("homes"),
-        F.pmod(F.xxhash64("doc_id", "start"), F.col("units")).cast("int").alias("u"),
+    located = work.repartition("unit").sortWithinPartitions("unit").mapInArrow(_located(window), "run binary, gone array<int>")
+    first_at = distinct.filter("times > 1").select("run", F.col("doc_id").alias("fd"), F.col("start").alias("fs"))
+    places = (
+        found.select("run", "doc_id", "start", "n").join(located, "run", "left")
+        .join(first_at, "run", "left")
     )
-    work = dealt.select(*columns, "u").union(streamed).withColumn("unit", F.xxhash64("h", "u"))
-    gone = (
-        work.drop("h", "u").repartition("unit").sortWithinPartitions("unit", F.col("homes").isNull())
-        .mapInArrow(_located(window), "doc_id bigint, gone array<bigint>")
+    again = F.col("fd").isNotNull() & ((F.col("fd") != F.col("doc_id")) | (F.col("fs") != F.col("start")))
+    windows_gone = F.when(again, F.sequence(F.lit(0), F.col("n").cast("int") - 1)).otherwise(F.col("gone"))
+    gone = places.select("doc_id", "start", windows_gone.alias("gone")).filter("gone is not null").select(
+        "doc_id", F.transform("gone", lambda j: F.col("start") + j).alias("gone")
     )
     cut = map_batches(
         blobs.join(gone.groupBy("doc_id").agg(F.collect_list("gone").alias("gone")), "doc_id"), _kept(window),
