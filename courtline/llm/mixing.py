@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import hashed_sample, let, saved, words_of
+from courtline.llm.common import hashed_sample, let, saved, stored, words_of
 
 #: Domains in order, and the share of the tokens each is to get.
 TARGETS = {"clean": 0.93, "low": 0.05, "toxic": 0.02}
@@ -180,7 +180,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     as they stand. No rows: no result. A column that is named like a result is replaced.
     """
     targets = targets or TARGETS
-    return _rated(posteriors(docs, labels, list(targets)), targets)
+    # a table, so that no later filter on the rate is moved below the scoring and repeats it
+    return _rated(stored(posteriors(docs, labels, list(targets))), targets)
 
 
 def _rated(rows: DataFrame, targets: dict[str, float]) -> DataFrame:
