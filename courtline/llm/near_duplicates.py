@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from courtline.llm.common import WordHashes, components, map_batches, mix, saved, signed, windows
 
+#: Words of a shingle and per cent of similarity of the registered query.
+SHINGLE = 3
+PERCENT = 85
 BINS = 128
 ROWS_PER_BAND = 5
 BANDS = BINS // ROWS_PER_BAND
@@ -191,7 +194,7 @@ def _leftover(openly: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| over their sets of

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtline.llm import secrets
 from courtline.llm.common import table
 from courtline.llm.cotraining import classify
 from courtline.llm.decontamination import decontaminate
@@ -17,10 +16,10 @@ from courtline.llm.mixing import mixing_rates
 from courtline.llm.near_duplicates import near_duplicates
 from courtline.llm.quality_rules import quality_rules
 from courtline.llm.secrets import scan_secrets
+from courtline.llm.sql import SQL  # noqa: F401 - part of this module's interface
 from courtline.llm.substring_dedup import dedup_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -48,9 +47,6 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-SQL["op3_secret_scans"] = secrets.sql()
-
-
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
