@@ -2,8 +2,7 @@
 
 BENCH_SF_DIR names the data folder and BENCH_CPUS the local cores. Each headline
 query is built and run into the ``noop`` sink (all rows, all columns computed)
-BENCH_REPEAT times (once only after REPEAT_BUDGET seconds); the best run counts, the
-first is kept as "cold". With BENCH_ALL=1 every query is timed, else the headline ones.
+BENCH_REPEAT times; the best run counts, the first is kept as "cold". With BENCH_ALL=1 every query is timed, else the headline ones.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ import time
 from courtline import catalog
 from courtline.session import local_session
 
-REPEAT_BUDGET = 300.0
 HEADLINE = [
     "schedule_flags", "player_load", "season_z_scores", "betting_metrics", "closing_line_value",
     "rolling_win_rate", "cumulative_roi", "equity_curve", "max_drawdown", "kelly_grid",
@@ -43,10 +41,9 @@ def main() -> None:
     entries = catalog.entries()
     names = list(entries) if os.environ.get("BENCH_ALL") == "1" else HEADLINE
     best, cold = {}, {}
-    began = time.perf_counter()
     for name in names:
         runs = [timed(spark, entries[name].run, sf_dir)]
-        while len(runs) < repeat and time.perf_counter() - began < REPEAT_BUDGET:
+        while len(runs) < repeat:
             runs.append(timed(spark, entries[name].run, sf_dir))
         spark.catalog.clearCache()
         best[name], cold[name] = round(min(runs), 3), round(runs[0], 3)

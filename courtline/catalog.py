@@ -8,7 +8,7 @@ from courtline.plans import registry
 
 MODULES = [
     "schedule", "betting", "normalize", "odds", "plays", "ratings", "context", "monitor", "tables",
-    "streams", "sinks", "jobs",
+    "streams", "sinks", "jobs", "rows",
 ]
 
 

@@ -27,6 +27,24 @@ def latest_ratings(ratings: DataFrame, order: list[str]) -> DataFrame:
     return ratings.groupBy("player_id").agg(newest.alias("r")).select("player_id", "r.*")
 
 
+# What a player without details or rating counts as.
+DEFAULT_HEIGHT, DEFAULT_WEIGHT, DEFAULT_RATING = 78, 210, 0.0
+
+
+def with_defaults(players: DataFrame, details: DataFrame, ratings: DataFrame) -> DataFrame:
+    """``players`` (player_id) with height, weight and latest rating, each with its default."""
+    return (
+        players.join(details.select("player_id", "height_inches", "weight_lbs"), "player_id", "left")
+        .join(ratings.select("player_id", "rapm"), "player_id", "left")
+        .select(
+            *[c for c in players.columns],
+            F.coalesce("height_inches", F.lit(DEFAULT_HEIGHT)).alias("height_inches"),
+            F.coalesce("weight_lbs", F.lit(DEFAULT_WEIGHT)).alias("weight_lbs"),
+            F.coalesce("rapm", F.lit(DEFAULT_RATING)).alias("rapm"),
+        )
+    )
+
+
 def history_modifiers(rows: DataFrame, recency: list[str]) -> DataFrame:
     """Play-history modifier per player from the newest 82 rows.
 

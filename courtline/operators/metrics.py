@@ -97,6 +97,22 @@ def clv_metrics(bets: DataFrame, closing: DataFrame) -> DataFrame:
     )
 
 
+def full_metrics(bets: DataFrame, closing: DataFrame, fall: DataFrame, bankroll: float = INITIAL_BANKROLL) -> DataFrame:
+    """One row: betting, return, risk and calibration figures, drawdown and closing-line value.
+
+    ``fall`` is the one-row drawdown of the same bets' equity curve. Every part is an
+    aggregate of one row, joined as scalar subqueries.
+    """
+    row = bets.agg(*betting_aggregates(bankroll))
+    value = closing_line_value(F.col("market_odds"), F.col("closing_odds"))
+    priced = with_closing_odds(bets, closing).select(value.alias("clv")).filter("clv is not null").agg(
+        F.count("clv").alias("priced_bets"), F.avg("clv").alias("avg_clv"),
+        F.avg((F.col("clv") > 0).cast("double")).alias("clv_positive_rate"),
+    )
+    sides = {c: side.select(c).scalar() for side in (priced, fall) for c in side.columns}
+    return row.withColumns(sides)
+
+
 def calibration_curve(df: DataFrame, prob: str, outcome: str, bins: int = 10) -> DataFrame:
     """Non-empty half-open bins of [0, 1): centre, hit rate, size."""
     slot = F.floor(F.col(prob) * bins)

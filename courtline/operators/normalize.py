@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from courtline.sources import maintenance
 
 
 def season_stats(df: DataFrame, season: str, metrics: list[str]) -> DataFrame:
@@ -30,6 +31,23 @@ def season_stats(df: DataFrame, season: str, metrics: list[str]) -> DataFrame:
     )
 
 
+def team_rates(box: DataFrame) -> DataFrame:
+    """Three-point share of attempts per (game, season, team), on the sums of its players.
+
+    Null where a team has no attempts or none are recorded.
+    """
+    threes, attempts = F.sum("fg3a"), F.sum("fga")
+    return box.groupBy("game_id", "season_id", "team_id").agg(
+        F.when(attempts > 0, threes / attempts).alias("fg3a_rate")
+    )
+
+
+def store_stats(path: str, stats: DataFrame, season: str = "season_id") -> None:
+    """Upsert statistics by (season, metric) into a stored table, partitioned by season."""
+    values = [c for c in stats.columns if c not in (season, "metric_name")]
+    maintenance.upsert_table(path, stats, [season, "metric_name"], values, season)
+
+
 def wide_stats(stats: DataFrame, season: str, metrics: list[str]) -> DataFrame:
     """One row per season with ``<metric>__mean`` and ``<metric>__std``."""
     picks = []

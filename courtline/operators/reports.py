@@ -15,6 +15,24 @@ WARNING_ACCURACY, WARNING_BRIER = 0.52, 0.26
 RETRAIN_ACCURACY, RETRAIN_BRIER, RETRAIN_ROI = 0.48, 0.28, -0.05
 ASSUMED_ACCURACY, ASSUMED_BRIER = 0.55, 0.22
 PERIODS = ("week", "month", "season", "all")
+# Decimals and list lengths of shown rows, sentences of the health report.
+PREDICTION_PLACES = {
+    "home_win_prob": 4, "predicted_margin": 1, "predicted_total": 1, "home_win_prob_adjusted": 4,
+    "predicted_margin_adjusted": 1, "predicted_total_adjusted": 1, "confidence": 3, "injury_uncertainty": 3,
+}
+PREDICTION_FIRSTS = {"top_factors": 5}
+SIGNAL_PLACES = {
+    "model_prob": 4, "market_prob": 4, "edge": 4, "recommended_odds": 3, "kelly_fraction": 4, "recommended_stake_pct": 4,
+}
+SIGNAL_FIRSTS = {"key_factors": 3, "injury_notes": 3}
+REASONS = {
+    "many": "Significant covariate drift in %d features",
+    "one": "Covariate drift detected in: ",
+    "accuracy": "Accuracy degraded to %.1f%%",
+    "brier": "Calibration degraded (Brier: %.3f)",
+    "roi": "Negative ROI: %.1f%%",
+    "none": "Model performance within acceptable thresholds",
+}
 
 
 def _money() -> tuple[Column, Column]:
@@ -130,6 +148,21 @@ def cumulative_roi(bets: DataFrame, levels: list[str], order: list[str]) -> Data
     )
 
 
+def _shown(rows: DataFrame, places: dict[str, int], firsts: dict[str, int]) -> DataFrame:
+    """Rows with some columns rounded and some lists cut to their first entries."""
+    rounded = {c: F.round(c, n) for c, n in places.items() if c in rows.columns}
+    cut = {c: F.slice(c, 1, n) for c, n in firsts.items() if c in rows.columns}
+    return rows.withColumns(rounded | cut)
+
+
+def formatted_predictions(predictions: DataFrame) -> DataFrame:
+    return _shown(predictions, PREDICTION_PLACES, PREDICTION_FIRSTS)
+
+
+def formatted_signals(signals: DataFrame) -> DataFrame:
+    return _shown(signals, SIGNAL_PLACES, SIGNAL_FIRSTS)
+
+
 def bet_history(bets: DataFrame) -> DataFrame:
     return bets.select(
         F.date_format("bet_date", "yyyy-MM-dd").alias("bet_day"),
@@ -163,11 +196,11 @@ def health_status(drift: DataFrame, recent: DataFrame) -> DataFrame:
     )
     reasons = F.array_compact(
         F.array(
-            F.when(n >= 2, F.format_string("Significant covariate drift in %d features", n))
-            .when(n == 1, F.concat(F.lit("Covariate drift detected in: "), F.array_join("features", ", "))),
-            F.when(accuracy < RETRAIN_ACCURACY, F.format_string("Accuracy degraded to %.1f%%", accuracy * 100)),
-            F.when(brier > RETRAIN_BRIER, F.format_string("Calibration degraded (Brier: %.3f)", brier)),
-            F.when(roi < RETRAIN_ROI, F.format_string("Negative ROI: %.1f%%", roi * 100)),
+            F.when(n >= 2, F.format_string(REASONS["many"], n))
+            .when(n == 1, F.concat(F.lit(REASONS["one"]), F.array_join("features", ", "))),
+            F.when(accuracy < RETRAIN_ACCURACY, F.format_string(REASONS["accuracy"], accuracy * 100)),
+            F.when(brier > RETRAIN_BRIER, F.format_string(REASONS["brier"], brier)),
+            F.when(roi < RETRAIN_ROI, F.format_string(REASONS["roi"], roi * 100)),
         )
     )
     return both.select(
@@ -176,6 +209,6 @@ def health_status(drift: DataFrame, recent: DataFrame) -> DataFrame:
         F.array_join("features", ",").alias("features_drifted"),
         (F.size(reasons) > 0).alias("retraining_recommended"),
         F.when(F.size(reasons) > 0, F.array_join(reasons, "; "))
-        .otherwise("Model performance within acceptable thresholds")
+        .otherwise(REASONS["none"])
         .alias("recommendation_reason"),
     )

@@ -299,6 +299,11 @@ def injury_reports(feed: DataFrame, text: str, teams: DataFrame, today: Column)
     )
 
 
+def player_season_shots(shots: DataFrame, player_id: int, season_id: str) -> DataFrame:
+    """Shots of one player and season; both conditions reach the file scan."""
+    return shots.filter((F.col("season_id") == season_id) & (F.col("player_id") == player_id))
+
+
 def rename_headers(row: Mapping[str, Column]) -> Column:
     """A payload row as a header -> text map, for rows already in columns."""
     parts: list[Column] = []
