@@ -192,7 +192,11 @@ def _solve_season(lam: float, season: str):
 def _conjugate_gradients(
     tagged: DataFrame, season: str, lam: float, steps: int, tolerance: float
 ) -> DataFrame:
-    """Solve the centred system of every season by table operations only."""
+    """Solve the centred system of every season by table operations only.
+
+    Ends when every season's squared residual is under ``tolerance`` of its first; a solution
+    that is not there after ``steps`` rounds is an error, not a result.
+    """
     ensure_checkpoint_dir(tagged.sparkSession)
     tagged = tagged.checkpoint()
     pair = tagged.filter("kind = 'pair'").select(season, "p", "q", F.col("a").alias("g"))
@@ -208,6 +212,7 @@ def _conjugate_gradients(
         state = single.select(
             season, "p", F.col("a").alias("m"), "tw", F.lit(0.0).alias("x"), b.alias("r"), b.alias("s")
         ).checkpoint()
+        first = state.groupBy(season).agg(F.sum(F.col("r") * F.col("r")).alias("rr_first")).checkpoint()
         for _ in range(steps):
             product = (
                 full.join(state.select(season, F.col("p").alias("q"), "s"), [season, "q"])
@@ -232,8 +237,11 @@ def _conjugate_gradients(
             state = walked.join(left, season).select(
                 season, "p", "m", "tw", "x", "r", (F.col("r") + turn * F.col("s")).alias("s")
             ).checkpoint()
-            if left.agg(F.max("rr_new")).first()[0] < tolerance:
+            share = F.when(F.col("rr_first") > 0, F.col("rr_new") / F.col("rr_first")).otherwise(0.0)
+            if (left.join(first, season).agg(F.max(share)).first()[0] or 0.0) < tolerance:
                 break
+        else:
+            raise ArithmeticError(f"ratings not solved after {steps} rounds")
         return state.select(season, F.col("p").alias("player_id"), "x")
 
     off = solve("b", "two").withColumnRenamed("x", "orapm")

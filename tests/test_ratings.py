@@ -58,7 +58,7 @@ def test_fit_matches_dense_ridge(stints, max_direct):
     ids, x, w, y, z = dense(rows, 30.0)
     want = dict(zip(ids, zip(solve(x, w, y, 5.0)[0], solve(x, w, z, 5.0)[0])))
     steps = 40 if max_direct == 1 else 200
-    got = ridge.fit(df, lam=5.0, min_minutes=0.0, tau=30.0, max_direct=max_direct, steps=steps, tolerance=1e-10).collect()
+    got = ridge.fit(df, lam=5.0, min_minutes=0.0, tau=30.0, max_direct=max_direct, steps=steps, tolerance=1e-22).collect()
     assert len(got) == len(ids)
     for r in got:
         assert r["orapm"] == pytest.approx(want[r["player_id"]][0], abs=1e-5)
