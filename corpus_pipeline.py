@@ -22,8 +22,9 @@ from courtline.llm.secrets import redact
 from courtline.session import ensure_checkpoint_dir
 
 ORACLE_SQL = None
-#: A prediction under this score is rejected, as is a text without a language.
-MIN_LANGUAGE_SCORE = 0.5
+#: A prediction under this score is rejected, as is a text without a language. A text in two known
+#: languages scores about a half, and is as clean as others.
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
