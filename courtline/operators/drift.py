@@ -2,8 +2,8 @@
 
 Both samples are reduced to counts per (feature, value). One running sum over
 those counts gives the distribution functions for the two-sample test and the
-exact quantiles for the stability index; it is cut into value buckets, so no
-task sorts a whole feature.
+exact quantiles for the stability index; it is cut into buckets at approximate
+quantiles of the distinct values, so that no outlier leaves a whole feature to one task.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ MIN_KS, MIN_PSI = 5, 10
 MIN_ACCURACY, BASE_BRIER, BRIER_MARGIN = 0.48, 0.25, 0.1
 RECENT_PREDICTIONS = 100
 RETRAIN_DAYS, RETRAIN_GAMES, RETRAIN_BETS, RETRAIN_ROI = 7, 50, 50, -0.05
-VALUE_BUCKETS = 1000
+VALUE_BUCKETS = 256
 SERIES_TERMS = 100
 
 
@@ -46,13 +46,12 @@ def value_counts(reference: DataFrame, recent: DataFrame, features: list[str]) -
     sizes = counts.groupBy("feature").agg(
         F.sum("ref").alias("n_ref"), F.sum("rec").alias("n_rec"),
         F.min("value").alias("low"), F.max("value").alias("high"),
+        F.percentile_approx("value", [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)], 16 * VALUE_BUCKETS).alias("cuts"),
     )
     # one row per feature in the list, so broadcasting it is bounded by the list
-    span = F.col("high") - F.col("low")
-    share = F.when(span > 0, (F.col("value") - F.col("low")) / span).otherwise(0.0)
     placed = counts.join(F.broadcast(sizes), "feature").withColumn(
-        "bucket", F.floor(share * VALUE_BUCKETS)
-    )
+        "bucket", F.size(F.filter("cuts", lambda c: c <= F.col("value")))
+    ).drop("cuts")
     return running(
         placed, ["feature"], ["bucket"], ["value"],
         sums={"cum_ref": F.col("ref"), "cum_rec": F.col("rec")},

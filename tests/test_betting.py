@@ -163,3 +163,12 @@ def test_walk_forward_with_trainer(spark):
     assert {r["fold_num"] for r in rows} == {1, 2}
     won = sum(r["count"] for r in rows if r["result"] == "win")
     assert won > 0.8 * sum(r["count"] for r in rows)
+
+
+def test_drift_buckets_ignore_an_outlier(spark):
+    from courtline.operators import drift
+
+    ref = spark.range(20_000).selectExpr("cast(id as double) AS x").union(spark.createDataFrame([(1e18,)], "x double"))
+    counts = drift.value_counts(ref, spark.range(5_000).selectExpr("cast(id * 3 as double) AS x"), ["x"])
+    sizes = [r["count"] for r in counts.groupBy("bucket").count().collect()]
+    assert len(sizes) > drift.VALUE_BUCKETS / 2 and max(sizes) <= 2 * sum(sizes) / len(sizes)
