@@ -73,7 +73,7 @@ class View:
     offset: float = 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) @ self.w[:-1] + self.w[-1]
+        return x @ self.w[:-1] + (self.w[-1] - self.mean @ self.w[:-1])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.slope * self.margin(x) + self.offset, -12, 12)
@@ -94,7 +94,9 @@ class Model:
 def _fit_view(x: np.ndarray, y: np.ndarray) -> View:
     mean = x.mean(axis=0)
     scale = np.float32(4)
-    design = np.concatenate([(x - mean) * scale, np.ones((len(x), 1), np.float32)], axis=1)
+    design = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.subtract(x, mean, out=design[:, :-1])
+    design[:, :-1] *= scale
     w = fit_softmax(design, y, 2)
     w = w[:, 1] - w[:, 0]
     return View(mean, np.append(w[:-1] * scale, w[-1]))
@@ -204,7 +206,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         )
 
     labelled, free = got[got.y >= 0], got[got.y < 0]
-    return cotrain(matrix(labelled), labelled.y.to_numpy(), matrix(free))
+    parts = matrix(labelled), labelled.y.to_numpy(), matrix(free)
+    del got, labelled, free
+    return cotrain(*parts)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -63,8 +63,8 @@ def _descend(x: np.ndarray, slope, w: np.ndarray, rate: float, steps: int) -> np
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 120) -> np.ndarray:
-    """Linear SVM (squared hinge); y is +1 or -1, both sides weigh the same."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    """Linear SVM (squared hinge); y is +1 or -1, both sides weigh the same. Rows with y 0 do not count."""
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * (y != 0)
     weight, y, reg = weight.astype(np.float32), y.astype(np.float32), np.float32(reg)
 
     def slope(w):
@@ -74,7 +74,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, steps: int = 120) -
     return _descend(x, slope, np.zeros(x.shape[1], np.float32), 1 / (4 + reg), steps)
 
 
-def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, reg: float = 1e-4, steps: int = 120) -> np.ndarray:
+def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, reg: float = 1e-4, steps: int = 120, rate: float = 1.0) -> np.ndarray:
     hot = np.eye(k, dtype=np.float32)[y]
     weight = (1 / np.maximum(1, hot.sum(axis=0)))[y][:, None] / np.float32(k)
     reg = np.float32(reg)
@@ -85,7 +85,7 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, reg: float = 1e-4, steps:
         p /= p.sum(axis=1, keepdims=True)
         return x.T @ (weight * (p - hot)) + reg * w
 
-    return _descend(x, slope, np.zeros((x.shape[1], k), np.float32), 1.0, steps)
+    return _descend(x, slope, np.zeros((x.shape[1], k), np.float32), rate, steps)
 
 
 def fit_platt(margin: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
@@ -132,22 +132,25 @@ def fit(rows: list[tuple[str, bytes]]) -> Model | None:
     if not rows:
         return None
     rows = sorted(rows)
-    langs = sorted({r[0] for r in rows})
+    lang = np.array([r[0] for r in rows])
+    langs = sorted(set(lang.tolist()))
     names = sorted({family_of(x) for x in langs})
     families = [[x for x in langs if family_of(x) == n] for n in names]
-    lang = np.array([r[0] for r in rows])
-    x = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32)
-    mean = x.mean(axis=0)
-    x = np.concatenate([x - mean, np.ones((len(x), 1), np.float32)], axis=1)
+    # the one matrix on the driver; everything below works in place or through weights
+    x = np.ones((len(rows), len(rows[0][1]) // 2 + 1), np.float32)
+    for i, (_, vector) in enumerate(rows):
+        x[i, :-1] = np.frombuffer(vector, np.float16)
+    rows.clear()
+    mean = x[:, :-1].mean(axis=0)
+    x[:, :-1] -= mean
     of = np.array([names.index(family_of(v)) for v in lang])
-    scale = np.float32(20)  # centred unit vectors are short; larger inputs settle in fewer steps
-    model = Model(mean, families, np.sqrt(scale) * fit_softmax(x * np.sqrt(scale), of, len(names)))
+    # centred unit vectors are short, so that larger steps are safe
+    model = Model(mean, families, fit_softmax(x, of, len(names), reg=5e-6, rate=20.0))
     for members in families:
         for a, b in itertools.combinations(members, 2):
-            rows_ab = (lang == a) | (lang == b)
-            y = np.where(lang[rows_ab] == a, 1.0, -1.0)
-            w = fit_svm(x[rows_ab], y)
-            model.pairs[a, b] = (w, *fit_platt(x[rows_ab] @ w, y))
+            y = (lang == a).astype(float) - (lang == b)
+            w = fit_svm(x, y)
+            model.pairs[a, b] = (w, *fit_platt((x @ w)[y != 0], y[y != 0]))
     return model
 
 
