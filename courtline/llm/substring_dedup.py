@@ -136,9 +136,17 @@ def _located(window: int):
         codes: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         texts = [tuple(codes.setdefault(w, len(codes)) for w in row["text"].split()) for row in rows]
+        first: dict[tuple, tuple[int, int]] = {}
+        seen_twice = set()
         for row, tokens in zip(rows, texts, strict=True):
-            for j in row["homes"] or ():
-                automaton.add_word(tokens[j : j + window], (row["doc_id"], row["start"] + j))
+            whole = row["homes"] is None  # all passages of the anchor are here: confirm here
+            for j in range(len(tokens) - window + 1) if whole else row["homes"]:
+                phrase, place = tokens[j : j + window], (row["doc_id"], row["start"] + j)
+                if phrase in first or not whole or row["times"] > 1:
+                    seen_twice.add(phrase)
+                first[phrase] = min(place, first.get(phrase, place))
+        for phrase in seen_twice:
+            automaton.add_word(phrase, first[phrase])
         if not len(automaton):
             return
         automaton.make_automaton()
@@ -166,7 +174,7 @@ def _located(window: int):
                         yield flush()
                         rows, size = [], 0
                 rows.append(row)
-                size += 1 + len(row["homes"] or ())
+                size += 1 + len(row["homes"] or ()) + 8 * (row["homes"] is None)
         yield flush()
 
     return run
@@ -196,10 +204,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     smaller doc_id, or before it in the same document. Windows are judged on the input.
 
     1. A whole copy of a smaller document goes as a whole; found by the digest's minimum.
-    2. Passages: runs of windows around one anchor. Anchors that occur once in the other
-       documents are dropped; their windows cannot recur.
+    2. Passages: runs of windows around one anchor. Anchors that occur once are dropped; their
+       windows cannot recur.
     3. Recurring passages are confirmed: equal passages are merged (map-side) into one with its
-       first place; where an anchor has several, the first place of each of their windows.
+       first place. A shard that holds all passages of an anchor finds the first place of each
+       of their windows by itself; for anchors with several units a map-side combined minimum does.
     4. The distinct passages are dealt by anchor, in units of bounded size, to shards. Each
        shard compiles the confirmed phrases into Aho-Corasick automata over words and streams
        its passages through them, which locates every occurrence word for word. An anchor with
@@ -221,13 +230,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     anchors = map_batches(
         rows.filter("doc_id is not null"), _anchors(window, anchor), {"doc_id": "long", "once": "longs", "more": "longs"}
-    ).join(originals, "doc_id", "left_semi")
+    )
     # an anchor that one document holds twice recurs by itself
     every = anchors.select("doc_id", F.explode("once").alias("h"), F.lit(1).alias("k")).union(
         anchors.select("doc_id", F.explode("more").alias("h"), F.lit(2).alias("k"))
     )
     often = every.groupBy("h").agg(F.sum("k").alias("k")).filter("k > 1").select("h")
-    asked = every.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    asked = (
+        every.join(often, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+        .join(originals, "doc_id", "left_semi")
+    )
     blobs = map_batches(rows.filter("doc_id is not null and text is not null"), _packed, {"doc_id": "long", "blob": "binary"})
     found = stored(map_batches(
         blobs.join(asked, "doc_id"), _recurring(window, anchor),
@@ -241,25 +253,30 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("times"),
         ).select("h", "run", "n", "text", "at.doc_id", "at.start", "times")
     )
-    kinds = found.groupBy("h", "run").agg(F.count("*").alias("times")).groupBy("h").agg(
-        F.count("*").alias("kinds"), F.sum("times").alias("all_times")
-    ).filter("all_times > 1").select("h", "kinds", F.ceil(F.col("kinds") / UNIT_ROWS).cast("int").alias("units"))
-    known = distinct.join(kinds, "h")
-    several = known.filter("kinds > 1")
+    # anchors with more distinct passages than a unit takes; the table's size is known to the planner
+    hot = stored(
+        found.select("h", "run").distinct().groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > UNIT_ROWS)
+        .select("h", F.ceil(F.col("kinds") / UNIT_ROWS).cast("int").alias("units"))
+    )
+    known = distinct.join(hot, "h", "left")
     homes = (
-        map_batches(several.select("run", "text", "doc_id", "start"), _windows_of(window), {"w": "long", "doc_id": "long", "at": "long", "run": "binary", "j": "int"})
+        map_batches(
+            distinct.join(hot, "h", "left_semi").select("run", "text", "doc_id", "start"), _windows_of(window),
+            {"w": "long", "doc_id": "long", "at": "long", "run": "binary", "j": "int"},
+        )
         .groupBy("w").agg(F.min(F.struct("doc_id", "at", "run", "j")).alias("home"))
         .groupBy(F.col("home.run").alias("run")).agg(F.collect_set("home.j").alias("homes"))
     )
-    alone = known.filter("kinds = 1").withColumn("homes", F.sequence(F.lit(0), F.col("n").cast("int") - 1))
-    columns = ["h", "units", "run", "text", "doc_id", "start", "homes"]
-    passages_ = several.join(homes, "run", "left").select(columns).union(alone.select(columns))
+    columns = ["h", "units", "run", "text", "doc_id", "start", "times", "homes"]
+    small = known.filter("units is null").withColumn("homes", F.lit(None).cast("array<int>"))
+    large = known.filter("units is not null").join(homes, "run", "left").withColumn("homes", F.coalesce("homes", F.array().cast("array<int>")))
     # a passage is streamed in one unit; its phrases stand in all units of the anchor
-    own = F.pmod(F.xxhash64("run"), F.col("units")).cast("int")
-    copies = F.when(F.col("homes").isNull(), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("units") - 1))
+    units = F.coalesce("units", F.lit(1))
+    own = F.pmod(F.xxhash64("run"), units).cast("int")
+    copies = F.when(F.size("homes") == 0, F.array(own)).otherwise(F.sequence(F.lit(0), units - 1))
     work = (
-        passages_.withColumn("u", F.explode(copies))
-        .select("run", "text", "doc_id", "start", "homes", (F.col("u") == own).alias("streamed"), F.xxhash64("h", "u").alias("unit"))
+        small.select(columns).union(large.select(columns)).withColumn("u", F.explode(copies))
+        .select("run", "text", "doc_id", "start", "times", "homes", (F.col("u") == own).alias("streamed"), F.xxhash64("h", "u").alias("unit"))
     )
     located = work.repartition("unit").sortWithinPartitions("unit").mapInArrow(_located(window), "run binary, gone array<int>")
     first_at = distinct.filter("times > 1").select("run", F.col("doc_id").alias("fd"), F.col("start").alias("fs"))
