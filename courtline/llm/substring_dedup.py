@@ -228,9 +228,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     )
     originals = marked.filter("not copy and n_words >= %d" % window).select("doc_id").distinct()
 
-    anchors = map_batches(
+    anchors = stored(map_batches(
         rows.filter("doc_id is not null"), _anchors(window, anchor), {"doc_id": "long", "once": "longs", "more": "longs"}
-    )
+    ))
     # an anchor that one document holds twice recurs by itself
     every = anchors.select("doc_id", F.explode("once").alias("h"), F.lit(1).alias("k")).union(
         anchors.select("doc_id", F.explode("more").alias("h"), F.lit(2).alias("k"))
