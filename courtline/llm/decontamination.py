@@ -11,15 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import CACHE_WORDS, map_batches, signed, windows
+from courtline.llm.common import CACHE_WORDS, map_batches, mix, saved, signed, stored, windows
 
 WINDOW = 5
-#: Placeholders a window may hold at most; more would match anything.
+#: Placeholders a window may hold to be a seed as a template; with more it is one by its values.
 MAX_SLOTS = 2
-#: Share of an item's tokens that one alignment must cover.
+#: Share of an item's tokens that an alignment must cover.
 MIN_SHARE = 0.8
 #: Slots of the membership bitmap: 2^24 bits, 2 MB whatever the benchmark's size.
 BITMAP_BITS = 24
+#: Rows that the items asked of one document are dealt to.
+PARTS = 8
 
 #: Units that turn into <unit> after a number, by themselves or attached to it.
 UNITS = (
@@ -39,7 +41,7 @@ _SLOT = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>".encode(), seed=1)) for k i
 
 
 class Tokens(dict):
-    """token -> code into arrays of kind, literal hash and sentence end; bounded."""
+    """token -> code into arrays of kind, literal hash, hash of an attached unit and sentence end; bounded."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -49,6 +51,7 @@ class Tokens(dict):
         self.clear()
         self.kind = np.empty(CACHE_WORDS, np.int8)
         self.literal = np.empty(CACHE_WORDS, np.uint64)
+        self.unit = np.zeros(CACHE_WORDS, np.uint64)
         self.ends = np.empty(CACHE_WORDS, bool)
 
     def __missing__(self, token: bytes) -> int:
@@ -67,84 +70,131 @@ class Tokens(dict):
             kind = LITERAL
         code = self[token] = len(self)
         if code == len(self.kind):  # one text with very many words of its own
-            self.kind, self.literal, self.ends = (np.concatenate([x, np.empty_like(x)]) for x in (self.kind, self.literal, self.ends))
+            self.kind, self.literal, self.unit, self.ends = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.kind, self.literal, self.unit, self.ends)
+            )
         self.kind[code] = kind
+        if kind == NUMBER_UNIT:
+            self.unit[code] = xxhash.xxh64_intdigest(m[1].encode())
+            low = low[: m.start(1)]
         self.literal[code] = xxhash.xxh64_intdigest(low.encode())
         self.ends[code] = kind == BREAK or (raw is not core and raw.rstrip("\"')]}»”’*")[-1:] in (".", "!", "?", ":"))
         return code
 
 
-def template(text: str, tokens: Tokens) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(tokens, template hash of each, slot flag of each) of a text.
+def template(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, value hash, slot flag) of each token of a text.
 
-    Numbers are ``<number>``, a unit behind a number ``<unit>``, a capitalised word inside a
-    sentence ``<name>``; a number written with its unit is one token with both. All else is
-    lower-cased and stripped of punctuation.
+    Numbers are ``<number>``, a unit behind a number or attached to it ``<unit>``, a capitalised
+    word inside a sentence ``<name>``. All else is lower-cased and stripped of punctuation.
     """
     if len(tokens) >= CACHE_WORDS // 2:
         tokens.empty()
     words = text.encode().replace(b"\n", b" \x00 ").split()
     code = np.fromiter(map(tokens.__getitem__, words), np.int64, len(words))
     if not len(code):
-        return [], np.empty(0, np.uint64), np.empty(0, bool)
-    kind = tokens.kind[code]
-    literal = tokens.literal[code]
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
     start = np.concatenate([[True], tokens.ends[code][:-1]])
-    real = (kind != BREAK).nonzero()[0]
-    kind, literal, start = kind[real], literal[real], start[real]
-    number = (kind == NUMBER) | (kind == NUMBER_UNIT)
-    unit = (kind == UNIT) & np.concatenate([[False], number[:-1]])
+    real = (tokens.kind[code] != BREAK).nonzero()[0]
+    code, start = code[real], start[real]
+    kind = tokens.kind[code]
+    both = kind == NUMBER_UNIT
+    number = both | (kind == NUMBER)
+    unit = (kind == UNIT) & np.concatenate([[False], number[:-1]])[: len(kind)]
     name = (kind == TITLE) & ~start
-    literal[number] = _SLOT["number"]
-    literal[kind == NUMBER_UNIT] ^= _SLOT["unit"] >> np.uint64(1)
-    literal[unit] = _SLOT["unit"]
-    literal[name] = _SLOT["name"]
-    kept = words if len(real) == len(words) else [words[i] for i in real]
-    return kept, literal, number | unit | name
-
-
-def _usable(slots: np.ndarray, size: int) -> np.ndarray:
-    """Starts of windows with few enough placeholders."""
+    value = tokens.literal[code]
+    shape = value.copy()
+    for slot, where in (("number", number), ("unit", unit), ("name", name)):
+        shape[where] = _SLOT[slot]
+    slots = number | unit | name
+    if both.any():
+        at = both.nonzero()[0] + 1
+        shape, value = np.insert(shape, at, _SLOT["unit"]), np.insert(value, at, tokens.unit[code[both]])
+        slots = np.insert(slots, at, True)
+    return shape, value, slots
+
+
+def _seeds(shape: np.ndarray, value: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, is a template) of each window: of its template with few placeholders, else of its values."""
     if len(slots) < size:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, bool)
     seen = np.concatenate([[0], np.cumsum(slots)])
-    return (seen[size:] - seen[:-size] <= MAX_SLOTS).nonzero()[0]
+    few = seen[size:] - seen[:-size] <= MAX_SLOTS
+    h = windows(shape, size)
+    return (h if few.all() else np.where(few, h, windows(value, size))), few
+
+
+class Runs:
+    """Hashes of all runs of any length of a sequence; a few operations for each length."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        n = len(hashes)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(n, np.uint64(self.BASE)))
+            self.back = np.cumprod(np.full(n, np.uint64(pow(self.BASE, -1, 1 << 64))))
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power)])
 
+    def of(self, length: int) -> np.ndarray:
+        if length >= len(self.sums):
+            return np.empty(0, np.uint64)
+        with np.errstate(over="ignore"):
+            return mix(((self.sums[length:] - self.sums[:-length]) * self.back[: len(self.sums) - length]) ^ np.uint64(length))
 
-def _rows(id_name: str, size: int, bitmap: bytes | None):
+
+def _by_value(slots: np.ndarray, size: int) -> bool:
+    """Whether an item is too short, or holds too few words beside placeholders, to be told by its template."""
+    return len(slots) < size or int((~slots).sum()) < size - MAX_SLOTS
+
+
+def _item_rows(size: int):
     tokens = Tokens()
-    bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        out = {"id": [], "pos": [], "h": [], "fill": [], "n": []}
-        for key, text in zip(batch.column(id_name).to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if key is None or not text:
+        out = {"item": [], "hs": [], "whole": [], "length": []}
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            shape, value, slots = template(text, tokens)
+            if not len(slots):
                 continue
-            words, hashes, slots = template(text, tokens)
-            starts = _usable(slots, size)
-            if not len(starts):
-                continue
-            h = windows(hashes, size)[starts]
-            if bits is not None:
-                at = (h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
-                hit = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                starts, h = starts[hit], h[hit]
-            for p, v in zip(starts.tolist(), signed(h).tolist(), strict=True):
-                where = [p + j for j in range(size) if slots[p + j]]
-                out["id"].append(key)
-                out["pos"].append(p)
-                out["h"].append(v)
-                out["fill"].append("\x1f".join(words[j].decode("utf-8", "replace").lower().strip(_EDGE) for j in where))
-                out["n"].append(len(words))
-            if len(out["id"]) >= 20_000:
-                yield out
-                out = {k: [] for k in out}
+            h, few = _seeds(shape, value, slots, size)
+            whole = None  # what no window can find, its whole sequence finds
+            if len(slots) < size:
+                whole = "value"
+            elif not few.any() and not _by_value(slots, size):
+                whole = "shape"
+            if whole:
+                h = np.concatenate([h, Runs(value if whole == "value" else shape).of(len(slots))])
+            out["item"].append(item)
+            out["hs"].append(signed(np.unique(h)))
+            out["whole"].append(whole)
+            out["length"].append(len(slots))
         yield out
 
     return run
 
 
-_SCHEMA = {"id": "long", "pos": "long", "h": "long", "fill": "string", "n": "long"}
+def _doc_rows(size: int, bitmap: bytes, lengths: list[tuple[str, int]]):
+    tokens = Tokens()
+    bits = np.frombuffer(bitmap, np.uint8)
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        out = {"doc_id": [], "hs": []}
+        for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if key is None or not text:
+                continue
+            shape, value, slots = template(text, tokens)
+            h = [_seeds(shape, value, slots, size)[0]]
+            runs = {whole: Runs(value if whole == "value" else shape) for whole in {x for x, _ in lengths}}
+            h = np.concatenate(h + [runs[whole].of(n) for whole, n in lengths])
+            at = (h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+            h = np.unique(h[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)])
+            if len(h):
+                out["doc_id"].append(key)
+                out["hs"].append(signed(h))
+        yield out
+
+    return run
 
 
 def _bitmap(h: DataFrame) -> bytes:
@@ -160,54 +210,114 @@ def _bitmap(h: DataFrame) -> bytes:
     return bytes(out)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Windows that a document and an item share: doc_id, item_id, item_tokens, at, shift, slot pairs."""
-    items = map_batches(
-        benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")), _rows("item_id", size, None), _SCHEMA
-    ).select("h", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("fill").alias("item_fill"), F.col("n").alias("item_tokens"))
-    bitmap = _bitmap(items.select("h"))
-    rows = map_batches(
-        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), _rows("doc_id", size, bitmap), _SCHEMA
-    ).select("h", F.col("id").alias("doc_id"), "pos", "fill")
-    return rows.join(items, "h").select("doc_id", "item_id", "item_tokens", "at", (F.col("pos") - F.col("at")).alias("shift"), "item_fill", "fill")
+def candidates(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Pairs (doc_id, item) that share a seed; ``items`` has (item, text)."""
+    rows = saved(map_batches(
+        items.select("item", "text"), _item_rows(size), {"item": "long", "hs": "longs", "whole": "string", "length": "int"}
+    ))
+    lengths = [tuple(r) for r in rows.filter("whole is not null").select("whole", "length").distinct().collect()]
+    seeds = rows.select("item", F.explode("hs").alias("h"))
+    found = map_batches(
+        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")),
+        _doc_rows(size, _bitmap(seeds.select("h")), sorted(lengths)), {"doc_id": "long", "hs": "longs"},
+    )
+    return found.select("doc_id", F.explode("hs").alias("h")).join(seeds, "h").select("doc_id", "item").distinct()
+
+
+def _consistent(pairs: list[tuple[int, int]], slots: np.ndarray, was: np.ndarray, now_slots: np.ndarray, now: np.ndarray) -> bool:
+    """Whether each value of the item's slots became the same value wherever it stands."""
+    images: dict[int, set[int]] = {}
+    for i, j in pairs:
+        if slots[i]:
+            seen = {int(now[j])}
+            value = int(was[i])
+            images[value] = images[value] & seen if value in images else seen
+            if not images[value]:
+                return False
+    return True
+
+
+def _share(item: tuple, doc: tuple, size: int) -> float:
+    """Largest share of an item's tokens that one consistent alignment with a document covers."""
+    shape, value, slots = item
+    n = len(slots)
+    exact = _by_value(slots, size)
+    a, b = (value, doc[1]) if exact else (shape, doc[0])
+    w = min(size, n)
+    wa, wb = windows(a, w), windows(b, w)
+    best = 0.0
+    pos = np.isin(wb, wa).nonzero()[0]
+    if not len(pos):
+        return best
+    order = np.argsort(wa, kind="stable")
+    lo, hi = (np.searchsorted(wa[order], wb[pos], side) for side in ("left", "right"))
+    shifts = {p - int(order[k]) for p, x, y in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True) for k in range(x, y)}
+    for s in shifts:
+        begin, end = max(0, -s), min(n, len(b) - s)
+        same = (a[begin:end] == b[begin + s : end + s]).nonzero()[0] + begin
+        if len(same) / n > best and (exact or _consistent([(i, i + s) for i in same.tolist()], slots, value, doc[2], doc[1])):
+            best = len(same) / n
+    return best
+
+
+def _verified(size: int):
+    tokens = Tokens()
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        out = {"doc_id": [], "item_id": [], "share": []}
+        for doc_id, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "asked")), strict=True):
+            doc = template(text, tokens)
+            for item in asked:
+                share = _share(template(item["text"], tokens), doc, size)
+                if share:
+                    out["doc_id"].append(doc_id)
+                    out["item_id"].append(item["item_id"])
+                    out["share"].append(share)
+        yield out
+
+    return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, contaminated, n_items, items, best_share.
 
-    Texts become templates (numbers, units and names replaced by typed placeholders); windows
-    of ``size`` tokens with at most two placeholders are hash-joined with the windows of
-    ``benchmark`` (item_id, text). An alignment is all windows of one document and item at one
-    shift. Its slots must be consistent: a value of the item always became the same value in
-    the document. ``best_share`` is the largest share of an item's tokens that a consistent
+    Texts become templates (numbers, units and names replaced by typed placeholders). Seeds
+    are windows of ``size`` tokens: with at most two placeholders their template, with more
+    their values; items without a template window are sought by their whole template as well,
+    items under ``size`` tokens by their whole values. Seeds of documents and of ``benchmark``
+    (item_id, text) are hash-joined.
+
+    Each pair that shares a seed is then compared in full, token by token: an alignment covers
+    the item's tokens whose template stands in the document at one shift. Its slots must be
+    consistent: a value of the item always became the same value in the document. Items with
+    fewer than three words beside placeholders are compared by values, since their template
+    says nothing. ``best_share`` is the largest share of an item's tokens that a consistent
     alignment covers; an item counts as contained from ``min_share`` on, and a document with
     one is contaminated.
 
-    A bitmap of fixed size (window hashes modulo 2^24) keeps windows of no item from leaving
+    A bitmap of fixed size (seed hashes modulo 2^24) keeps windows of no item from leaving
     the scan; a crowded bitmap only lets more rows through to the join.
 
-    Null or blank text, a null doc_id, items without text or with fewer than ``size`` tokens:
-    no match. Repeated rows: repeated result rows. An empty benchmark: all clean. Repeated
-    items count once. Other columns are ignored.
+    Null or blank text, a null doc_id, items without text or id: no match. Repeated rows:
+    repeated result rows. An empty benchmark: all clean. Repeated items count once. Other
+    columns are ignored.
     """
-    aligned = (
-        hits(docs, benchmark, size)
-        .groupBy("doc_id", "item_id", "shift")
-        .agg(
-            F.max("item_tokens").alias("item_tokens"), F.collect_set("at").alias("at"),
-            F.collect_set(F.when(F.col("item_fill") != "", F.struct("item_fill", "fill"))).alias("pairs"),
-        )
+    items = saved(
+        benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+        .filter("item_id is not null and text is not null").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    )
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    # a stored table: its size is known to the planner, which then need not shuffle the texts
+    asked = stored(
+        candidates(texts, items, size).join(items, "item")
+        .groupBy("doc_id", F.pmod(F.col("item"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("item_id", "text")).alias("asked"))
+    )
+    shares = map_batches(
+        texts.filter("text is not null").join(asked, "doc_id").select("doc_id", "text", "asked"),
+        _verified(size), {"doc_id": "long", "item_id": "long", "share": "double"},
     )
-    pairs = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.arrays_zip(
-        F.split(p["item_fill"], "\x1f").alias("was"), F.split(p["fill"], "\x1f").alias("now")
-    ))))
-    was = F.transform("slot", lambda s: s["was"])
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + (size - 1))))))
     by_doc = (
-        aligned.withColumn("slot", pairs)
-        .filter(F.size("slot") == F.size(F.array_distinct(was)))
-        .withColumn("share", covered / F.col("item_tokens"))
-        .groupBy("doc_id").agg(
+        shares.groupBy("doc_id").agg(
             F.max("share").alias("best"),
             F.sort_array(F.collect_set(F.when(F.col("share") >= min_share, F.col("item_id")))).alias("items"),
         )

@@ -115,3 +115,20 @@ def test_decontamination(spark):
     ]
     assert decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_dense_and_short_items(spark):
+    items = {
+        1: "What is the next number in the sequence 2, 4, 8, 16, 32, 64, 128, 256?", 2: "the sides are 12 cm, 14 cm and 20 cm",
+        3: "we met Anna, Boris, Clara, David, Emil and Frida", 4: "too short", 5: "give 3 4 to 5 6 or 7 8 and 9",
+    }
+    docs = [(i, f"before it {t} after it") for i, t in items.items()]
+    docs += [
+        (11, "so " + items[1].replace("256", "512") + " then"), (15, "so give 1 2 to 7 3 or 5 4 and 6 then"), (16, "too very short"),
+        (17, "the sides are 7 cm, 8 cm and 9 cm"), (18, "rows of 1, 2, 3, 4, 5, 6, 7 and 8"), (19, "give 3 4 to 3 3 or 7 8 and 9"),
+        (20, "we met nobody"), (21, "ran 90km in 3 h and then walked 5 km to the sea"),
+    ]
+    items[6] = "ran 90 km in 3 h and then walked 5km to the sea"
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 11: [1], 15: [5], 16: [], 17: [2], 18: [], 19: [5], 20: [], 21: [6]}
