@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -224,12 +225,69 @@ def candidates(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFra
     return found.select("doc_id", F.explode("hs").alias("h")).join(seeds, "h").select("doc_id", "item").distinct()
 
 
+def _aligned(a: np.ndarray, b: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+    """Alignments (i, j) of equal tokens of all of ``a`` with a part of ``b``, best first.
+
+    An equal token counts 2, a token of ``b`` left out inside costs 1, one of ``a`` nothing.
+    Each further alignment ends apart from the ones before.
+    """
+    n, m = len(a), len(b)
+    ramp = np.arange(m + 1)
+
+    def below(row: np.ndarray, token: np.uint64) -> np.ndarray:
+        out = row.copy()
+        out[1:] = np.maximum(out[1:], row[:-1] + 2 * (b == token))
+        return np.maximum.accumulate(out + ramp) - ramp
+
+    # one row in about sqrt(n) is kept, the others are computed anew where the way back needs them
+    every = math.isqrt(n) + 1
+    kept, row = [], np.zeros(m + 1, np.int64)
+    for i in range(n):
+        if i % every == 0:
+            kept.append(row)
+        row = below(row, a[i])
+    ends = row
+    while True:
+        j = last = int(ends.argmax())
+        if ends[j] <= 0:
+            return
+        i, pairs, base = n, [], -1
+        while i and j:
+            if (i - 1) // every != base:
+                base = (i - 1) // every
+                rows = [kept[base]]
+                for token in a[base * every : i]:
+                    rows.append(below(rows[-1], token))
+            here, up = rows[i - base * every], rows[i - base * every - 1]
+            if a[i - 1] == b[j - 1] and here[j] == up[j - 1] + 2:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif here[j] == up[j - 1]:
+                i, j = i - 1, j - 1
+            elif here[j] == up[j]:
+                i -= 1
+            else:
+                j -= 1
+        yield pairs[::-1]
+        ends[pairs[-1][1] : last + (n + 1) // 2] = 0
+
+
 def _consistent(pairs: list[tuple[int, int]], slots: np.ndarray, was: np.ndarray, now_slots: np.ndarray, now: np.ndarray) -> bool:
-    """Whether each value of the item's slots became the same value wherever it stands."""
+    """Whether each value of the item's slots became the same value wherever it stands.
+
+    A slot may have become several tokens; the slots left out beside its own are such tokens,
+    and one of them at least must stand in all places.
+    """
     images: dict[int, set[int]] = {}
+    taken = {j for _, j in pairs}
     for i, j in pairs:
         if slots[i]:
             seen = {int(now[j])}
+            for step in (-1, 1):
+                k = j + step
+                while 0 <= k < len(now) and now_slots[k] and k not in taken:
+                    seen.add(int(now[k]))
+                    k += step
             value = int(was[i])
             images[value] = images[value] & seen if value in images else seen
             if not images[value]:
@@ -237,30 +295,35 @@ def _consistent(pairs: list[tuple[int, int]], slots: np.ndarray, was: np.ndarray
     return True
 
 
-def _share(item: tuple, doc: tuple, size: int) -> float:
+def _share(item: tuple, doc: tuple, size: int, enough: float) -> float:
     """Largest share of an item's tokens that one consistent alignment with a document covers."""
     shape, value, slots = item
     n = len(slots)
     exact = _by_value(slots, size)
     a, b = (value, doc[1]) if exact else (shape, doc[0])
     w = min(size, n)
-    wa, wb = windows(a, w), windows(b, w)
+    pos = np.isin(windows(b, w), windows(a, w)).nonzero()[0]
+    if not len(pos) or n < size:
+        return float(len(pos) > 0)
     best = 0.0
-    pos = np.isin(wb, wa).nonzero()[0]
-    if not len(pos):
-        return best
-    order = np.argsort(wa, kind="stable")
-    lo, hi = (np.searchsorted(wa[order], wb[pos], side) for side in ("left", "right"))
-    shifts = {p - int(order[k]) for p, x, y in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True) for k in range(x, y)}
-    for s in shifts:
-        begin, end = max(0, -s), min(n, len(b) - s)
-        same = (a[begin:end] == b[begin + s : end + s]).nonzero()[0] + begin
-        if len(same) / n > best and (exact or _consistent([(i, i + s) for i in same.tolist()], slots, value, doc[2], doc[1])):
-            best = len(same) / n
+    for group in np.split(pos, (np.diff(pos) > n).nonzero()[0] + 1):
+        begin, end = max(0, int(group[0]) - 2 * n), min(len(b), int(group[-1]) + w + 2 * n)
+        # stretches of bounded size, each item's length inside one
+        for lo in range(begin, max(begin + 1, end - 4 * n), 4 * n):
+            part = slice(lo, min(end, lo + 8 * n))
+            for pairs in _aligned(a, b[part]):
+                share = len(pairs) / n
+                if share < enough and share <= best:
+                    break
+                if exact or _consistent(pairs, slots, value, doc[2][part], doc[1][part]):
+                    best = max(best, share)
+                    break
+            if best >= 1:
+                return best
     return best
 
 
-def _verified(size: int):
+def _verified(size: int, enough: float):
     tokens = Tokens()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -268,7 +331,7 @@ def _verified(size: int):
         for doc_id, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "asked")), strict=True):
             doc = template(text, tokens)
             for item in asked:
-                share = _share(template(item["text"], tokens), doc, size)
+                share = _share(template(item["text"], tokens), doc, size, enough)
                 if share:
                     out["doc_id"].append(doc_id)
                     out["item_id"].append(item["item_id"])
@@ -287,9 +350,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min
     items under ``size`` tokens by their whole values. Seeds of documents and of ``benchmark``
     (item_id, text) are hash-joined.
 
-    Each pair that shares a seed is then compared in full, token by token: an alignment covers
-    the item's tokens whose template stands in the document at one shift. Its slots must be
-    consistent: a value of the item always became the same value in the document. Items with
+    Each pair that shares a seed is then compared in full: an alignment covers the item's tokens
+    whose template stands in the document in the same order, words put in or left out between
+    them. Its slots must be consistent: a value of the item always became the same value in the
+    document; a value of several tokens counts by one that stands in all its places. Items with
     fewer than three words beside placeholders are compared by values, since their template
     says nothing. ``best_share`` is the largest share of an item's tokens that a consistent
     alignment covers; an item counts as contained from ``min_share`` on, and a document with
@@ -314,7 +378,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min
     )
     shares = map_batches(
         texts.filter("text is not null").join(asked, "doc_id").select("doc_id", "text", "asked"),
-        _verified(size), {"doc_id": "long", "item_id": "long", "share": "double"},
+        _verified(size, min_share), {"doc_id": "long", "item_id": "long", "share": "double"},
     )
     by_doc = (
         shares.groupBy("doc_id").agg(

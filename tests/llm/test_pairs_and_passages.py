@@ -132,3 +132,24 @@ def test_decontamination_dense_and_short_items(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
     got = {r["doc_id"]: r["items"] for r in decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 11: [1], 15: [5], 16: [], 17: [2], 18: [], 19: [5], 20: [], 21: [6]}
+
+
+def test_decontamination_with_gaps(spark):
+    item = "A train leaves Boston at 7:30 and runs 90 km to the coast while Tom waits 1200 seconds for the other line and Tom sleeps"
+    other = "When Mary met the old baker near the gate she told Mary nothing about the bread that was burnt"
+    texts = {
+        1: item.replace("to the coast", "down to the coast"), 2: item.replace("and runs", "runs"), 3: item.replace("Tom", "Mary Ann"),
+        4: item.replace("1200", "1 200"), 5: item.replace("90 km", "90km"), 6: item.replace("Tom", "Mary Ann").replace("Boston", "New York").replace("1200", "1 500"),
+        7: item.replace("Tom", "Anna", 1).replace("Tom", "Peter"), 8: item[:60] + " and then many other words, " * 9 + item[60:],
+        9: other.replace("Mary", "Anna", 1) + ". " + other.replace("Mary", "Anna").replace("old", "very old"), 10: other.replace("Mary", "Anna", 1),
+        11: "filler " * 500 + texts_between(item) + " filler" * 500,
+    }
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"so. {t}. end") for i, t in texts.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate(docs, bench).collect()}
+    assert got == dict.fromkeys(range(1, 7), [1]) | {7: [], 8: [], 9: [2], 10: [], 11: [1]}
+
+
+def texts_between(item):
+    w = item.split()
+    return " ".join(w[:9] + ["quite"] + w[9:16] + w[17:])
