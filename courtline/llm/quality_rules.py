@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import SPACE, hashed_sample, let, words_of
+from courtline.llm.common import SPACE, let, words_of
 
 #: Buckets of the two multinomials; a fixed size whatever the corpus.
 BUCKETS = 1 << 14
-#: Labelled documents that shape the trusted multinomial (documented bound of the sample).
-TRUSTED_DOCS = 20_000
 #: Pseudo-count of a bucket, and the least mean log ratio (in millionths) of a kept document.
 PSEUDO = 0.5
 MIN_MICRO = -70_000
@@ -65,13 +63,16 @@ def repeated_words(words: Column) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: array of millionths of ln(trusted share / raw share) per bucket.
 
-    ``docs`` (doc_id, words) are all documents, ``trusted`` (doc_id) the bounded sample. The
-    counts are summed in the map tasks; at most BUCKETS rows per task are shuffled.
+    ``docs`` (doc_id, text) are all documents, ``trusted`` (doc_id) those of trusted text. They
+    are joined before the texts are split; the planner picks the join by the size of
+    ``trusted``. The counts are summed in the map tasks; at most BUCKETS rows per task are
+    shuffled.
     """
-    flag = F.broadcast(trusted.select(F.col("doc_id").alias("_t")).distinct())
+    flag = trusted.select(F.col("doc_id").alias("_t")).distinct()
     counts = (
         docs.join(flag, F.col("doc_id") == F.col("_t"), "left")
-        .select(F.col("_t").isNotNull().cast("bigint").alias("t"), F.explode(gram_buckets(F.col("words"))).alias("bucket"))
+        .select(F.col("_t").isNotNull().cast("bigint").alias("t"), words_of(F.col("text")).alias("words"))
+        .select("t", F.explode(gram_buckets(F.col("words"))).alias("bucket"))
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
     )
     spark = docs.sparkSession
@@ -94,7 +95,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): base counts, base_failed, score, kept.
 
-    Trusted text are documents that ``labels`` (doc_id, quality, toxic) calls good and not
+    Trusted text are all documents that ``labels`` (doc_id, quality, toxic) calls good and not
     toxic. Every word and pair of words adds the log ratio of its bucket; ``score_micro`` is
     the mean per n-gram. Log ratios are whole millionths, so sums do not depend on their order. A document
     is kept when no base rule fails and its score_micro is at least MIN_MICRO.
@@ -107,7 +108,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("words", words_of(F.col("text")))
     good = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").cast("bigint")).distinct()
-    model = log_ratios(base.select("doc_id", "words"), hashed_sample(good, "doc_id", TRUSTED_DOCS, "trusted"))
+    model = log_ratios(base.select("doc_id", "text"), good)
     table = F.coalesce(model.scalar(), F.lit(None).cast("array<bigint>"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size("words").cast("bigint")

@@ -30,7 +30,6 @@ def _crc32(column: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {halves}), {step}), 4294967295)"
 
 
-# the sample of trusted documents is bounded at 20 000; the labels of the checked data are fewer
 QUALITY = f"""
 WITH w AS ({_WORDS}),
 grams AS (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS g FROM w),

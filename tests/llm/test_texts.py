@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from courtline.llm import secrets
 from courtline.llm.html_text import main_text, parse, text_of
@@ -176,3 +177,10 @@ def test_language_id_holds_out(spark):
     by = {r["doc_id"]: r for r in got}
     assert all((by[i]["lang_pred"], by[i]["score"]) == ("und", 0.0) for i in (1000, 1001)) and by[None]["lang_pred"] == "en" and by[1002]["lang_pred"] == "en"
     assert {r["lang_pred"] for r in language_id(docs.withColumn("lang", docs.lang.substr(0, 0)).filter("false")).collect()} == set()
+
+
+def test_quality_rules_count_all_trusted_documents(spark):
+    # trusted text is all text, so no bucket has a ratio of its own; a sample's pseudo-counts give it one
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.lit("aa bb").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert [r["score_micro"] for r in quality_rules(docs, labels).select("score_micro").distinct().collect()] == [0.0]
