@@ -6,18 +6,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import WordHashes, hashed_sample, map_batches
+from courtline.llm.common import WordHashes, hashed_sample, map_batches, saved, stored
 from courtline.llm.language_id import fit_platt, fit_softmax
 
-#: Documented bounds of the samples: labelled rows and the pool of rows without a label.
+#: Documented bound of the sample of labelled rows.
 LABELLED_ROWS = 5_000
-POOL_ROWS = 5_000
 WORD_SLOTS = 2048
 SHAPES = 8
 META_SLOTS = 256
@@ -114,7 +112,7 @@ def _stack(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def cotrain(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
+def cotrain(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Pool, rounds: int = ROUNDS) -> Model:
     """Two views teach each other: each hands the other its surest rows of the pool.
 
     A row handed over leaves the pool. Both classes are handed in the proportion of the
@@ -124,30 +122,38 @@ def cotrain(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndar
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:  # too few rows to set any aside
         held = np.zeros(len(y), bool)
     train = [(f[~held], y[~held]) for f in x]
-    left = np.ones(len(pool[0]), bool)
+    taken: set[int] = set()
     handed = []
     good = y.mean()
+    quota = max(2, int(HANDED * len(y)))
+    sizes = (int(quota * (1 - good)) + 1, int(quota * good) + 1)
     for _ in range(rounds):
         views = [_fit_view(*t) for t in train]
-        counts = []
-        for giver, taker in ((0, 1), (1, 0)):
+        for view, f in zip(views, x, strict=True):
             # a view's own curve decides how sure it is
-            part = x[giver][held] if held.any() else x[giver]
+            part = f[held] if held.any() else f
             known = y[held] if held.any() else y
-            views[giver].slope, views[giver].offset = fit_platt(views[giver].margin(part), 2.0 * known - 1)
-            p = 1 / (1 + np.exp(-views[giver].logit(pool[giver])))
-            quota = max(2, int(HANDED * len(y)))
-            best = [i for i in np.argsort(-p, kind="stable")[: int(quota * good) + 1] if left[i] and p[i] >= SURE]
-            worst = [i for i in np.argsort(p, kind="stable")[: int(quota * (1 - good)) + 1] if left[i] and p[i] <= 1 - SURE]
-            take = np.array(best + worst, int)
-            counts.append(len(take))
-            if len(take):
-                left[take] = False
-                f, labels = train[taker]
-                train[taker] = (np.concatenate([f, pool[taker][take]]), np.concatenate([labels, [1] * len(best) + [0] * len(worst)]))
-        handed.append(tuple(counts))
-        if not any(counts):
+            view.slope, view.offset = fit_platt(view.margin(part), 2.0 * known - 1)
+        # so many that those the other view or class takes first cannot use them up
+        surest = pool.surest(views, taken, 2 * sum(sizes))
+        chosen = []
+        for giver in (0, 1):
+            ids: list[int] = []
+            labels: list[int] = []
+            for label in (1, 0):
+                got = [i for i in surest[giver, label] if i not in taken][: sizes[label]]
+                taken.update(got)
+                ids += got
+                labels += [label] * len(got)
+            chosen.append((ids, labels))
+        handed.append(tuple(len(ids) for ids, _ in chosen))
+        if not taken or not any(handed[-1]):
             break
+        vectors = pool.vectors([i for ids, _ in chosen for i in ids])
+        for taker, (ids, labels) in ((1, chosen[0]), (0, chosen[1])):
+            if ids:
+                f, known = train[taker]
+                train[taker] = (np.concatenate([f, np.stack([vectors[i][taker] for i in ids])]), np.concatenate([known, labels]))
     views = [_fit_view(*t) for t in train]
     part = [f[held] if held.any() else f for f in x]
     known = y[held] if held.any() else y
@@ -168,47 +174,97 @@ def _views(hashes: WordHashes, batch: pa.RecordBatch) -> tuple[np.ndarray, np.nd
     return text, np.stack([meta_view(*r) for r in zip(*rows[1:], strict=True)])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Model from bounded samples of labelled and unlabelled rows; None without two classes."""
-    rows = _columns(docs)
-    known = (
-        labels.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int").alias("quality"))
-        .filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    )
-    chosen = hashed_sample(known, "doc_id", LABELLED_ROWS, "labelled").select(F.col("doc_id").alias("_l"), "y")
-    pool = hashed_sample(rows.filter("doc_id is not null and text is not null").select("doc_id"), "doc_id", POOL_ROWS, "pool")
-    # both sides have a bound of rows by construction
-    ids = F.broadcast(chosen.withColumn("y", F.col("y")).union(
-        pool.join(known, "doc_id", "left_anti").distinct().select("doc_id", F.lit(-1))
-    ))
-    hashes = WordHashes()
+def _packed(hashes: WordHashes):
+    """Both views of a row as one sparse vector: places (uint16) and values (float16)."""
 
-    def vectors(batch: pa.RecordBatch) -> Iterator[dict]:
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
         if not batch.num_rows:
             return
-        text, meta = _views(hashes, batch)
+        rows = np.concatenate(_views(hashes, batch), axis=1)
+        at = [r.nonzero()[0] for r in rows]
         yield {
-            "doc_id": batch.column("doc_id").to_pylist(), "y": batch.column("y").to_pylist(),
-            "a": [v.astype(np.float16).tobytes() for v in text], "b": [v.astype(np.float16).tobytes() for v in meta],
+            "doc_id": batch.column("doc_id").to_pylist(), "free": [t is not None for t in batch.column("text").to_pylist()],
+            "at": [i.astype(np.uint16).tobytes() for i in at], "v": [r[i].astype(np.float16).tobytes() for r, i in zip(rows, at, strict=True)],
         }
 
-    got = map_batches(
-        rows.join(ids, F.col("doc_id") == F.col("_l")).drop("_l"), vectors, {"doc_id": "long", "y": "int", "a": "binary", "b": "binary"}
-    ).toPandas()
-    got = got.sort_values(["doc_id", "a"], kind="stable")
-    if got.loc[got.y >= 0, "y"].nunique() < 2:
-        return None
+    return run
+
+
+def _dense(at: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros(WORD_SLOTS + SHAPES + META_SLOTS, np.float32)
+    out[np.frombuffer(at, np.uint16)] = np.frombuffer(v, np.float16)
+    return out[: WORD_SLOTS + SHAPES], out[WORD_SLOTS + SHAPES :]
+
 
-    def matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(
-            np.frombuffer(b"".join(part[c]), np.float16).reshape(len(part), n).astype(np.float32)
-            for c, n in (("a", WORD_SLOTS + SHAPES), ("b", META_SLOTS))
+@dataclass
+class Pool:
+    """All rows without a label, as a stored table of packed vectors (doc_id, at, v)."""
+
+    rows: DataFrame
+
+    def surest(self, views: list[View], taken: set[int], n: int) -> dict[tuple[int, int], list[int]]:
+        """(view, class) -> the ``n`` ids of the pool it is surest of, surest first."""
+        gone = np.array(sorted(taken), np.int64)
+
+        def score(batch: pa.RecordBatch) -> Iterator[dict]:
+            out = {"view": [], "label": [], "doc_id": [], "sure": []}
+            ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
+            if not len(ids):
+                return
+            ats = [np.frombuffer(b, np.uint16) for b in batch.column("at").to_pylist()]
+            at, v = np.concatenate(ats), np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float16).astype(np.float64)
+            row = np.repeat(np.arange(len(ids)), [len(a) for a in ats])
+            left = ~np.isin(ids, gone)
+            split = WORD_SLOTS + SHAPES
+            for k, view in enumerate(views):
+                mine = at >= split if k else at < split
+                place = at[mine].astype(np.int64) - (split if k else 0)
+                margin = np.bincount(row[mine], v[mine] * view.w[place], len(ids)) + view.w[-1] - view.mean @ view.w[:-1]
+                p = 1 / (1 + np.exp(-np.clip(view.slope * margin + view.offset, -12, 12)))
+                for label, sure in ((1, p), (0, 1 - p)):
+                    got = (left & (sure >= SURE)).nonzero()[0]
+                    out["view"] += [k] * len(got)
+                    out["label"] += [label] * len(got)
+                    out["doc_id"] += ids[got].tolist()
+                    out["sure"] += sure[got].tolist()
+            yield out
+
+        scored = saved(
+            map_batches(self.rows, score, {"view": "int", "label": "int", "doc_id": "long", "sure": "double"})
+            .groupBy("view", "label", "doc_id").agg(F.max("sure").alias("sure"))
         )
+        return {
+            (k, label): [
+                r["doc_id"] for r in
+                scored.filter((F.col("view") == k) & (F.col("label") == label)).orderBy(F.desc("sure"), "doc_id").limit(n).collect()
+            ]
+            for k in (0, 1) for label in (0, 1)
+        }
+
+    def vectors(self, ids: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        asked = self.rows.sparkSession.createDataFrame([(i,) for i in ids], "_i bigint")
+        got = self.rows.join(F.broadcast(asked), F.col("doc_id") == F.col("_i")).groupBy("doc_id").agg(F.min(F.struct("at", "v")).alias("x")).collect()
+        return {r["doc_id"]: _dense(r["x"]["at"], r["x"]["v"]) for r in got}
 
-    labelled, free = got[got.y >= 0], got[got.y < 0]
-    parts = matrix(labelled), labelled.y.to_numpy(), matrix(free)
-    del got, labelled, free
-    return cotrain(*parts)
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Model from a bounded sample of labelled rows and all unlabelled ones; None without two classes."""
+    known = (
+        labels.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int").alias("quality"))
+        .filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
+    )
+    # the text is read and hashed once for all rounds
+    packed = stored(map_batches(
+        _columns(docs).filter("doc_id is not null"), _packed(WordHashes()), {"doc_id": "long", "free": "boolean", "at": "binary", "v": "binary"}
+    ))
+    chosen = hashed_sample(known, "doc_id", LABELLED_ROWS, "labelled").select(F.col("doc_id").alias("_l"), "y")
+    got = packed.join(F.broadcast(chosen), F.col("doc_id") == F.col("_l")).select("doc_id", "y", "at", "v").toPandas()
+    if got.y.nunique() < 2:
+        return None
+    got = got.sort_values(["doc_id", "at", "v"], kind="stable")
+    parts = tuple(np.stack(x) for x in zip(*(_dense(a, v) for a, v in zip(got["at"], got["v"], strict=True)), strict=True))
+    pool = packed.filter("free").join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", "at", "v")
+    return cotrain(parts, got.y.to_numpy(), Pool(pool))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from courtline.llm import queries
-from courtline.llm.cotraining import classify
+from courtline.llm.cotraining import classify, train
 from courtline.llm.mixing import TARGETS, mixing_rates
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -66,6 +66,13 @@ def test_cotraining(spark):
     assert classify(docs.limit(0), labels).count() == 0
 
 
+def test_cotraining_hands_rows_in_every_round(spark):
+    docs, labels = small(spark)
+    model = train(docs.filter("doc_id < 240"), labels)
+    # the text view is sure of more rows than it may hand over, so none of its rounds is empty
+    assert len(model.rounds) == 4 and all(a == 13 for a, _ in model.rounds)
+
+
 @given
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_equals_sql(spark, name):
