@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from courtline.llm.byte_pairs import encoded_digests, read_ranks
 from courtline.llm.common import table
 from courtline.llm.cotraining import classify
 from courtline.llm.decontamination import decontaminate
@@ -75,3 +77,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encoded_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
