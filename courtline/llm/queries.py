@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from courtline.llm.byte_pairs import encoded_digests, read_ranks
+from courtline.llm.centroids import centroid_clusters
+from courtline.llm.collocations import collocations
 from courtline.llm.common import table
 from courtline.llm.cotraining import classify
 from courtline.llm.decontamination import decontaminate
@@ -83,3 +85,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return encoded_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents")).drop("first_doc", "first_word")
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from courtline.llm import secrets
+from courtline.llm.centroids import CLUSTERS, ROUNDS, SEED, SIZE
+from courtline.llm.centroids import SCALE as CENTROID_SCALE
+from courtline.llm.collocations import INSIDE, LEAST, LONGEST, SCALE, TOP
 from courtline.llm.near_duplicates import PERCENT, SHINGLE
 from courtline.llm.quality_rules import BUCKETS, MIN_MICRO, PSEUDO
 from courtline.llm.substring_dedup import WINDOW
@@ -81,7 +84,60 @@ reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT reach.d, s
 SELECT d AS doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, d = min(r) AS kept
 FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d"""
 
+_GRAMS = " UNION ALL ".join(
+    f"SELECT lang, {n} AS size, array_to_string(ws[i : i + {n - 1}], ' ') AS phrase "
+    f"FROM (SELECT lang, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w)" for n in range(1, LONGEST + 1)
+)
+COLLOCATIONS = f"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, size, phrase, count(*) AS c, string_split(phrase, ' ') AS ws FROM ({_GRAMS}) GROUP BY ALL HAVING count(*) >= {LEAST}),
+cuts AS (
+    SELECT lang, phrase, c AS a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)
+),
+scored AS (
+    SELECT cuts.*, x.c AS l, y.c AS r, CAST(({SCALE}::HUGEINT * a) // (x.c + y.c) AS BIGINT) AS score
+    FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = head JOIN f AS y ON y.lang = cuts.lang AND y.phrase = tail
+),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+spans AS (SELECT lang, c, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM f WHERE size > 2)),
+inner_most AS (SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(c) AS longer FROM spans GROUP BY 1, 2),
+kept AS (SELECT worst.* FROM worst LEFT JOIN inner_most AS s USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < {INSIDE} * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {TOP}"""
+
+
+def _assigned(i: int) -> str:
+    """Nearest of the centroids ``c{i}`` for each vector, then the centroids of the next round."""
+    return f"""
+a{i} AS MATERIALIZED (
+    SELECT id, vec_id, e, c, d FROM (
+        SELECT v.*, c.c, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i} AS c
+    ) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1
+),
+s{i} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM a{i}) GROUP BY c, j),
+m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS e FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.e, c.e) AS e FROM c{i} AS c LEFT JOIN m{i} AS m USING (c))"""
+
+
+CENTROIDS = f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor({CENTROID_SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {SIZE}
+),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id) NULLS LAST, e) - 1 AS c, e FROM v
+    QUALIFY c < {CLUSTERS}
+),{",".join(_assigned(i) for i in range(ROUNDS + 1))}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.e, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} AS k USING (c)"""
+
 SQL = {
     "op1_quality_rules": QUALITY, "op2_substring_dedup": SUBSTRINGS, "op3_secret_scans": secrets.sql(),
-    "op10_near_duplicates": NEAR_DUPLICATES,
+    "op10_near_duplicates": NEAR_DUPLICATES, "op11_collocations": COLLOCATIONS, "op12_centroids": CENTROIDS,
 }
