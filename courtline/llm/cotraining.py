@@ -198,9 +198,14 @@ def _dense(at: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Pool:
-    """All rows without a label, as a stored table of packed vectors (doc_id, at, v)."""
+    """All rows without a label: a stored table of packed vectors (doc_id, at, v), and the labelled ids.
+
+    Vectors are scored where they stand. Only ids of sure rows leave the tasks, and it is they
+    that are compared with ``labelled`` (doc_id), so no vector is shuffled whatever the size.
+    """
 
     rows: DataFrame
+    labelled: DataFrame
 
     def surest(self, views: list[View], taken: set[int], n: int) -> dict[tuple[int, int], list[int]]:
         """(view, class) -> the ``n`` ids of the pool it is surest of, surest first."""
@@ -232,6 +237,7 @@ class Pool:
         scored = saved(
             map_batches(self.rows, score, {"view": "int", "label": "int", "doc_id": "long", "sure": "double"})
             .groupBy("view", "label", "doc_id").agg(F.max("sure").alias("sure"))
+            .join(self.labelled, "doc_id", "left_anti")
         )
         return {
             (k, label): [
@@ -263,8 +269,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     got = got.sort_values(["doc_id", "at", "v"], kind="stable")
     parts = tuple(np.stack(x) for x in zip(*(_dense(a, v) for a, v in zip(got["at"], got["v"], strict=True)), strict=True))
-    pool = packed.filter("free").join(known.select("doc_id"), "doc_id", "left_anti").select("doc_id", "at", "v")
-    return cotrain(parts, got.y.to_numpy(), Pool(pool))
+    pool = Pool(packed.filter("free").select("doc_id", "at", "v"), known.select("doc_id"))
+    return cotrain(parts, got.y.to_numpy(), pool)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
