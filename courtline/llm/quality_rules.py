@@ -11,6 +11,8 @@ from courtline.llm.common import SPACE, let, words_of
 BUCKETS = 1 << 14
 #: Pseudo-count of a bucket, and the least mean log ratio (in millionths) of a kept document.
 PSEUDO = 0.5
+#: Bits of the map of trusted ids: a fixed size, which some ten million ids fill.
+ID_BITS = 1 << 24
 MIN_MICRO = -70_000
 
 
@@ -60,20 +62,43 @@ def repeated_words(words: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("bigint")))
 
 
+def id_bits(ids: DataFrame) -> DataFrame:
+    """One row: a map of hashed ids (doc_id) as an array of ID_BITS / 64 numbers."""
+    bit = F.xxhash64("doc_id").bitwiseAND(ID_BITS - 1)
+    parts = ids.select(F.shiftright(bit, 6).alias("part"), bit.alias("bit"))
+    parts = parts.groupBy("part").agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits"))
+    every = ids.sparkSession.range(ID_BITS // 64).select(F.col("id").alias("part")).join(parts, "part", "left").na.fill(0)
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+
+def trusted_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) whose id is in ``trusted`` (doc_id, distinct).
+
+    The map of ids lets those through and few others before anything moves, and the join keeps
+    one shape whatever the sizes: at most the texts it lets through are shuffled, once.
+    """
+    bit = F.xxhash64("doc_id").bitwiseAND(ID_BITS - 1)
+    part = F.get(F.col("_bits"), F.shiftright(bit, 6).cast("int"))
+    let_through = F.getbit(part, bit.bitwiseAND(63)) == 1
+    likely = docs.filter("doc_id is not null").withColumn("_bits", id_bits(trusted).scalar()).filter(let_through).drop("_bits")
+    return likely.hint("merge").join(trusted, "doc_id", "left_semi")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: array of millionths of ln(trusted share / raw share) per bucket.
 
-    ``docs`` (doc_id, text) are all documents, ``trusted`` (doc_id) those of trusted text. They
-    are joined before the texts are split; the planner picks the join by the size of
-    ``trusted``. The counts are summed in the map tasks; at most BUCKETS rows per task are
-    shuffled.
+    ``docs`` (doc_id, text) are all documents, ``trusted`` (doc_id, distinct) those of trusted
+    text. All counts are summed in the map tasks; at most BUCKETS rows per task are shuffled.
     """
-    flag = trusted.select(F.col("doc_id").alias("_t")).distinct()
+
+    def buckets(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(gram_buckets(words_of(F.col("text")))).alias("bucket"))
+
+    zero = F.lit(0).cast("bigint")
     counts = (
-        docs.join(flag, F.col("doc_id") == F.col("_t"), "left")
-        .select(F.col("_t").isNotNull().cast("bigint").alias("t"), words_of(F.col("text")).alias("words"))
-        .select("t", F.explode(gram_buckets(F.col("words"))).alias("bucket"))
-        .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
+        buckets(docs).groupBy("bucket").agg(F.count("*").alias("raw"), zero.alias("trusted"))
+        .union(buckets(trusted_documents(docs, trusted)).groupBy("bucket").agg(zero.alias("raw"), F.count("*").alias("trusted")))
+        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     )
     spark = docs.sparkSession
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
