@@ -194,6 +194,23 @@ def _leftover(openly: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int
     )
 
 
+def _apart(bands: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket member and the bucket's smallest one that no link has joined yet.
+
+    Documents get their component before their buckets are listed, and a bucket's smallest
+    member brings its own along, so members of one component make no pair.
+    """
+    placed = (
+        bands.join(label.select(F.col("node").alias("a"), "component"), "a", "left")
+        .select(F.struct("a", F.coalesce("component", "a").alias("comp")).alias("m"), F.explode("bands").alias("bucket"))
+    )
+    smallest = placed.groupBy("bucket").agg(F.min("m").alias("s"))
+    return (
+        placed.join(smallest, "bucket").filter("m.comp <> s.comp")
+        .select(F.col("m.a").alias("a"), F.col("s.a").alias("b"))
+    )
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -203,8 +220,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     * Documents with equal sets form one class; only its smallest doc_id goes on. The class is
       found by a map-side combined minimum, so thousands of copies cost one row per task.
-    * Each class gives one bucket per band. In a bucket every member meets the smallest member
-      only, never each other member.
+    * Each class gives one bucket per band. A document first meets one other only, the smallest
+      of all its buckets; then the smallest member of each bucket whose component it does not
+      share yet. No two other members of a bucket meet.
     * Members whose component still differs from the bucket's most frequent one go through
       ``_leftover``, the exact way for what the stars missed.
     * Pairs must agree in enough bins, then the full sets decide.
@@ -229,14 +247,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         .join(classes.select(F.col("key").alias("k"), "id"), (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("k")), "left_semi")
         .dropDuplicates(["doc_id", "key"])
     )
-    buckets = reps.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))
+    bands = reps.select(F.col("doc_id").alias("a"), "bands")
+    buckets = bands.select("a", F.explode("bands").alias("bucket"))
     centres = (
         buckets.groupBy("bucket").agg(F.min("a").alias("b"), F.count("*").alias("members")).filter("members > 1")
     )
-    star = saved(_links(
-        docs, _with_sketches(buckets.join(centres, "bucket").filter("a <> b"), reps, percent), shingle, percent
-    ))
+    # one centre for each document, the smallest of its buckets
+    nearest = buckets.join(centres, "bucket").groupBy("a").agg(F.min("b").alias("b")).filter("a <> b")
+    star = saved(_links(docs, _with_sketches(nearest, reps, percent), shingle, percent))
     label = components(star)
+    further = saved(_links(docs, _with_sketches(_apart(bands, label), reps, percent), shingle, percent))
+    if further.limit(1).count():
+        star = saved(star.union(further).distinct())
+        label = components(star)
 
     # what the stars left open: buckets of three or more with members of several components
     state = (
