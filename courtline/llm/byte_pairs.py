@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Callable
 
@@ -53,18 +54,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def java_pattern(pattern: str) -> str:
     r"""The split pattern for Java, whose own \s knows ASCII white space only."""
-    inside, out, i = False, "", 0
-    while i < len(pattern):
-        two = pattern[i : i + 2]
-        if two in (r"\s", r"\S"):
-            out += r"\p{IsWhite_Space}" if two == r"\s" else r"\P{IsWhite_Space}"
-        elif two[0] == "\\":
-            out += two
-        else:
-            inside = two[0] == "[" or (inside and two[0] != "]")
-            out += two[0]
-        i += 1 if two[0] != "\\" else 2
-    return out
+    spelled = {r"\s": r"\p{IsWhite_Space}", r"\S": r"\P{IsWhite_Space}"}
+    return re.sub(r"\\.", lambda m: spelled.get(m[0], m[0]), pattern)
 
 
 def literal_map(entries: dict[str, str]) -> Column:
