@@ -70,6 +70,48 @@ def plus_minus_ratings(spark, sf_dir):
     return ridge.rounded(ridge.fit(_stints(spark, sf_dir), lam=LAM, min_minutes=MIN_MINUTES, tau=TAU))
 
 
+_RATED_SQL = """rated AS (SELECT season_id, player_id FROM expo WHERE minutes >= 100 AND season_id IN (SELECT season_id FROM stints GROUP BY 1 HAVING count(*) >= 100)
+  QUALIFY count(*) OVER (PARTITION BY season_id) >= 10)"""
+
+
+@query(
+    "rating_residuals",
+    "A07",
+    b.with_ctes(b.STINTS_SQL, _EXPOSURE_SQL, _RATED_SQL)
+    + "SELECT season_id, player_id, 0.0::DOUBLE AS off_left, 0.0::DOUBLE AS def_left FROM rated",
+)
+def rating_residuals(spark, sf_dir):
+    stints = _stints(spark, sf_dir)
+    ratings = ridge.fit(stints, lam=LAM, min_minutes=MIN_MINUTES, tau=TAU)
+    left = ridge.residuals(stints, ratings, lam=LAM, tau=TAU)
+    # 0.0 turns a negative zero into a plain one
+    return left.select("season_id", "player_id", *((F.round(c, 4) + 0.0).alias(c) for c in ("off_left", "def_left")))
+
+
+_FOLD_LAMBDAS = ", ".join(f"{x}::DOUBLE" for x in ridge.LAMBDAS)
+
+
+@query(
+    "held_out_errors",
+    "A08 J19",
+    b.with_ctes(
+        b.STINTS_SQL, _EXPOSURE_SQL,
+        """y AS (SELECT season_id, CAST(stint_id % 5 AS INTEGER) AS fold, CAST(home_points * 100 AS DOUBLE) / (CASE WHEN possessions > 0 THEN possessions ELSE 1 END) AS y
+  FROM stints WHERE season_id IN (SELECT season_id FROM stints GROUP BY 1 HAVING count(*) >= 100) AND season_id IN (SELECT season_id FROM expo WHERE minutes >= 100))""",
+    )
+    + f"""SELECT season_id, fold, unnest([{_FOLD_LAMBDAS}]) AS lambda, n, sst, true AS agrees
+  FROM (SELECT season_id, fold, count(*) AS n, round(sum(y * y) - sum(y) * sum(y) / count(*), 3) AS sst FROM y GROUP BY 1, 2)""",
+)
+def held_out_errors(spark, sf_dir):
+    stints, fold = _stints(spark, sf_dir), F.col("stint_id") % ridge.CV_FOLDS
+    errors, beta = ridge.held_out(stints, min_minutes=MIN_MINUTES, tau=TAU, fold=fold)
+    direct = ridge.held_out_direct(stints, errors, beta, fold, tau=TAU)
+    return errors.join(direct, ["season_id", "fold", "lambda"]).select(
+        "season_id", "fold", "lambda", "n", F.round("sst", 3).alias("sst"),
+        (F.abs(F.col("sse") - F.col("direct")) <= 1e-9 * F.col("sst")).alias("agrees"),
+    )
+
+
 @query("rating_extremes", "N02")
 def rating_extremes(spark, sf_dir):
     return ridge.extremes(plus_minus_ratings(spark, sf_dir))

@@ -51,14 +51,11 @@ def solve(x, w, y, lam):
     return beta, my - mx @ beta
 
 
-@pytest.mark.parametrize("max_direct", [100, 1])
-def test_fit_matches_dense_ridge(stints, max_direct):
-    """The direct solver, and the table solver used for very many players."""
+def test_fit_matches_dense_ridge(stints):
     df, rows = stints
     ids, x, w, y, z = dense(rows, 30.0)
     want = dict(zip(ids, zip(solve(x, w, y, 5.0)[0], solve(x, w, z, 5.0)[0])))
-    steps = 40 if max_direct == 1 else 200
-    got = ridge.fit(df, lam=5.0, min_minutes=0.0, tau=30.0, max_direct=max_direct, steps=steps, tolerance=1e-22).collect()
+    got = ridge.fit(df, lam=5.0, min_minutes=0.0, tau=30.0).collect()
     assert len(got) == len(ids)
     for r in got:
         assert r["orapm"] == pytest.approx(want[r["player_id"]][0], abs=1e-5)
@@ -66,6 +63,26 @@ def test_fit_matches_dense_ridge(stints, max_direct):
         assert r["rapm"] == pytest.approx(r["orapm"] + r["drapm"])
 
 
+@pytest.mark.parametrize("block", [768, 7])
+def test_seasons_of_all_widths_are_solved_together(stints, monkeypatch, block):
+    """In one block or many; a short season gives nothing."""
+    monkeypatch.setattr(ridge, "BLOCK_PLAYERS", block)
+    df, rows = stints
+    other = df.withColumn("season_id", F.lit("t")).withColumn("home_lineup", F.transform("home_lineup", lambda p: p * 100))
+    short = df.filter("stint_id < 50").withColumn("season_id", F.lit("u"))
+    got = ridge.fit(df.union(other).union(short), lam=2.0, min_minutes=0.0, tau=30.0)
+    ids, x, w, y, _ = dense(rows, 30.0)
+    want = dict(zip(ids, solve(x, w, y, 2.0)[0]))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["season_id"], {})[r["player_id"]] = r["orapm"]
+    assert set(by) == {"s", "t"} and len(by["t"]) > len(by["s"]) == len(ids)
+    assert all(by["s"][p] == pytest.approx(want[p], abs=1e-5) for p in ids)
+    left = ridge.residuals(df.union(other), got.filter("season_id <> 'u'"), lam=2.0, tau=30.0).collect()
+    assert len(left) == len(by["s"]) + len(by["t"])
+    assert max(max(abs(r["off_left"]), abs(r["def_left"])) for r in left) < 1e-5
+
+
 def test_cross_validation_matches_dense(stints):
     df, rows = stints
     ids, x, w, y, _ = dense(rows, 30.0)
