@@ -171,10 +171,41 @@ def walk_forward(
         val = ranked.filter(F.col("position").between(size, size + window - 1)).drop("position", "total_games")
         made = trainer(train, val).withColumn("fold_num", F.lit(fold))
         out = made if out is None else out.unionByName(made)
-    priced = out
+    return _settled(out, odds, **betting)
+
+
+def walk_forward_linear(
+    games: DataFrame,
+    odds: DataFrame | None,
+    features: list[str],
+    levels: list[str],
+    order: list[str],
+    penalty: float = 1.0,
+    min_train: int = backtest.MIN_TRAIN,
+    window: int = backtest.WINDOW,
+    step: int = backtest.STEP,
+    **betting,
+) -> DataFrame:
+    """``walk_forward`` with linear models: all folds are trained from prefix sums in one plan.
+
+    Win probability, margin and total are regressions on the features, clamped as by
+    ``GameModel``. ``games`` has home_score and away_score. Returns settled bets with fold_num.
+    """
+    labelled = GameModel.labels(games)
+    made = backtest.fold_predictions(
+        labelled, levels, order, features, ["actual_win", "actual_margin", "actual_total"], penalty, min_train, window, step
+    ).select(
+        *games.columns, "fold_num",
+        misc.clamp(F.col("predicted_actual_win"), misc.WIN_BOUNDS).alias("home_win_prob"),
+        misc.clamp(F.col("predicted_actual_margin"), misc.MARGIN_BOUNDS).alias("predicted_margin"),
+        misc.clamp(F.col("predicted_actual_total"), misc.TOTAL_BOUNDS).alias("predicted_total"),
+    )
+    return _settled(made, odds, **betting)
+
+
+def _settled(made: DataFrame, odds: DataFrame | None, **betting) -> DataFrame:
     prices = ["home_ml", "away_ml", "spread", "spread_home_odds", "spread_away_odds", "total", "over_odds", "under_odds"]
-    if odds is not None:
-        priced = out.join(odds, "game_id", "left")
+    priced = made if odds is None else made.join(odds, "game_id", "left")
     missing = {c: F.lit(None).cast("double") for c in prices if c not in priced.columns}
     return markets.game_bets(priced.withColumns(missing), **betting)
 

@@ -346,6 +346,50 @@ def walk_forward_summary(spark, sf_dir):
     )
 
 
+def rated_games(spark, sf_dir):
+    """Games with two stand-in ratings as features, and what is to be told."""
+    return ordered_games(spark, sf_dir).select(
+        "game_id", "game_date", "id_range", "home_score", "away_score",
+        (F.col("game_id") * 7 % 101 / 100.0).alias("form"), (F.col("game_id") % 41 - 20.0).alias("gap"),
+        (F.col("home_score") - F.col("away_score")).cast("double").alias("margin"),
+        (F.col("home_score") + F.col("away_score")).cast("double").alias("points"),
+    )
+
+
+def _cramer(right: str) -> str:
+    """Solution of the fold's three equations for the right side of one target."""
+    m = [["n", "s1", "s2"], ["s1", "s11 + 1", "s12"], ["s2", "s12", "s22 + 1"]]
+
+    def det(rows):
+        (a, b_, c), (d, e, f), (g, h, i) = [[f"({x})" for x in row] for row in rows]
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b_} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    y = [f"{right}0", f"{right}1", f"{right}2"]
+    return ", ".join(
+        f"{det([[y[r] if c == k else m[r][c] for c in range(3)] for r in range(3)])} / {det(m)} AS {right}_beta{k}" for k in range(3)
+    )
+
+
+@query(
+    "walk_forward_predictions",
+    "C10 F02",
+    b.with_ctes(b.GAMES_SQL, _RANK_SQL, _FOLD_SQL)
+    + f""", x AS (SELECT game_id, pos, (game_id * 7 % 101) / 100.0::DOUBLE AS f1, (game_id % 41 - 20)::DOUBLE AS f2,
+  (home_score - away_score)::DOUBLE AS mar, (home_score + away_score)::DOUBLE AS pts FROM ranked),
+train AS (SELECT fold_num, tg, count(*)::DOUBLE AS n, sum(f1) AS s1, sum(f2) AS s2, sum(f1 * f1) AS s11, sum(f1 * f2) AS s12, sum(f2 * f2) AS s22,
+  sum(mar) AS m0, sum(f1 * mar) AS m1, sum(f2 * mar) AS m2, sum(pts) AS p0, sum(f1 * pts) AS p1, sum(f2 * pts) AS p2
+  FROM f JOIN x ON x.pos < tg WHERE mar IS NOT NULL GROUP BY 1, 2),
+beta AS (SELECT fold_num, tg, {_cramer("m")}, {_cramer("p")} FROM train)
+SELECT fold_num, game_id, round(m_beta0 + m_beta1 * f1 + m_beta2 * f2, 5) AS margin, round(p_beta0 + p_beta1 * f1 + p_beta2 * f2, 5) AS points
+FROM beta JOIN x ON x.pos >= tg AND x.pos < tg + 100""",
+)
+def walk_forward_predictions(spark, sf_dir):
+    made = bt.fold_predictions(rated_games(spark, sf_dir), GAME_LEVELS, GAME_ORDER, ["form", "gap"], ["margin", "points"])
+    return made.select(
+        "fold_num", "game_id", F.round("predicted_margin", 5).alias("margin"), F.round("predicted_points", 5).alias("points")
+    )
+
+
 _BET_EQUITY_SQL = b.with_ctes(b.BETS_SQL) + """, eq AS (
   SELECT *, row_number() OVER o AS bet_no, sum(ln(1 + r)) OVER (o ROWS UNBOUNDED PRECEDING) AS lg FROM (
     SELECT *, CASE WHEN edge >= 0.02 AND k > 0 THEN least(0.25 * k, 0.02::DOUBLE) ELSE 0 END *
