@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtline.functions.misc import ratio_or
 from courtline.operators.ordered import running
+from courtline.session import ensure_checkpoint_dir
 
 # Thresholds, sample minimums and clips.
 P_VALUE, PSI_LIMIT, PSI_BINS, PSI_CLIP = 0.05, 0.2, 10, 1e-10
@@ -22,8 +25,12 @@ MIN_KS, MIN_PSI = 5, 10
 MIN_ACCURACY, BASE_BRIER, BRIER_MARGIN = 0.48, 0.25, 0.1
 RECENT_PREDICTIONS = 100
 RETRAIN_DAYS, RETRAIN_GAMES, RETRAIN_BETS, RETRAIN_ROI = 7, 50, 50, -0.05
-VALUE_BUCKETS = 256
 SERIES_TERMS = 100
+# Fixed value: samples of at most this size have an exact p-value.
+EXACT_ROWS = 10_000
+#: Buckets of values: groups of as many cuts, so that a value is placed by two short looks.
+CUT_GROUP = 16
+VALUE_BUCKETS = CUT_GROUP * CUT_GROUP
 
 
 def value_counts(reference: DataFrame, recent: DataFrame, features: list[str]) -> DataFrame:
@@ -37,25 +44,38 @@ def value_counts(reference: DataFrame, recent: DataFrame, features: list[str]) -
         picked = df.select(*[F.col(f).cast("double").alias(f) for f in present])
         return picked.unpivot([], present, "feature", "value").withColumn("r", F.lit(is_ref))
 
-    both = long(reference, 1).unionByName(long(recent, 0)).filter(
-        F.col("value").isNotNull() & ~F.isnan("value")
-    )
+    return counted(long(reference, 1).unionByName(long(recent, 0)))
+
+
+def _bucket(value: Column) -> Column:
+    """Number of ``cuts`` up to the value: whole groups of them first, then inside one group."""
+    tops = F.filter(F.transform(F.sequence(F.lit(1), F.lit(CUT_GROUP - 1)), lambda g: F.get("cuts", g * CUT_GROUP - 1)), lambda c: c <= value)
+    groups = F.size(tops) * CUT_GROUP
+    return groups + F.size(F.filter(F.slice("cuts", groups + 1, F.lit(CUT_GROUP)), lambda c: c <= value))
+
+
+def counted(both: DataFrame) -> DataFrame:
+    """The counts of ``value_counts`` from rows (feature, value, r), r = 1 for the reference.
+
+    The counts per value are stored once, and so are the running counts, as each of them is
+    read several times; nothing goes back to the rows.
+    """
+    ensure_checkpoint_dir(both.sparkSession)
+    both = both.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = both.groupBy("feature", "value").agg(
         F.sum("r").alias("ref"), F.sum(1 - F.col("r")).alias("rec")
-    )
+    ).checkpoint()
     sizes = counts.groupBy("feature").agg(
         F.sum("ref").alias("n_ref"), F.sum("rec").alias("n_rec"),
         F.min("value").alias("low"), F.max("value").alias("high"),
         F.percentile_approx("value", [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)], 16 * VALUE_BUCKETS).alias("cuts"),
     )
     # one row per feature in the list, so broadcasting it is bounded by the list
-    placed = counts.join(F.broadcast(sizes), "feature").withColumn(
-        "bucket", F.size(F.filter("cuts", lambda c: c <= F.col("value")))
-    ).drop("cuts")
+    placed = counts.join(F.broadcast(sizes), "feature").withColumn("bucket", _bucket(F.col("value"))).drop("cuts")
     return running(
         placed, ["feature"], ["bucket"], ["value"],
         sums={"cum_ref": F.col("ref"), "cum_rec": F.col("rec")},
-    )
+    ).checkpoint()
 
 
 def kolmogorov_tail(scaled: Column) -> Column:
@@ -87,6 +107,56 @@ def ks_test(counts: DataFrame) -> DataFrame:
     )
 
 
+def path_p_value(n_ref: int, n_rec: int, distance: int) -> float:
+    """Exact chance of two samples of these sizes to be ``distance`` / (n_ref n_rec) apart or more.
+
+    All orders of the pooled values are equally likely, each a lattice path that takes a step
+    for every value. The mass of the paths that have stayed closer than the distance is carried
+    over one anti-diagonal to the next; what leaves is added up.
+    """
+    if n_ref > n_rec:
+        n_ref, n_rec = n_rec, n_ref
+    i = np.arange(n_ref + 1)
+    mass = (i == 0).astype(float)
+    out = 0.0
+    for step in range(1, n_ref + n_rec + 1):
+        left = n_ref + n_rec - step + 1
+        stay = mass * np.maximum(n_rec - (step - 1 - i), 0) / left
+        stay[1:] += mass[:-1] * (n_ref - i[:-1]) / left
+        far = np.abs(i * n_rec - (step - i) * n_ref) >= distance
+        out += stay[far].sum()
+        mass = np.where(far, 0.0, stay)
+    return float(min(1.0, out))
+
+
+def exact_p_values(counts: DataFrame) -> DataFrame:
+    """(feature, n_ref, n_rec, ks_stat, p_value) per feature with at least five values a side.
+
+    The p-value is exact where neither sample is larger than EXACT_ROWS, else the series. One
+    row per feature reaches Python.
+    """
+
+    @F.pandas_udf("double")
+    def paths(n_ref: pd.Series, n_rec: pd.Series, distance: pd.Series) -> pd.Series:
+        rows = zip(n_ref, n_rec, distance, strict=True)
+        return pd.Series([path_p_value(*map(int, r)) if max(r[:2]) <= EXACT_ROWS else None for r in rows], dtype=float)
+
+    # whole numbers: n_ref n_rec times the distance
+    apart = F.max(F.abs(F.col("cum_ref") * F.col("n_rec") - F.col("cum_rec") * F.col("n_ref")))
+    rows = (
+        counts.filter((F.col("n_ref") >= MIN_KS) & (F.col("n_rec") >= MIN_KS))
+        .groupBy("feature", "n_ref", "n_rec").agg(apart.alias("distance"))
+        .withColumn("ks_stat", F.col("distance") / (F.col("n_ref").cast("double") * F.col("n_rec")))
+        .withColumn("exact", paths("n_ref", "n_rec", "distance"))
+    )
+    scale = F.sqrt(F.col("n_ref") * F.col("n_rec") / (F.col("n_ref") + F.col("n_rec")))
+    large = F.greatest("n_ref", "n_rec") > EXACT_ROWS
+    return rows.select(
+        "feature", "n_ref", "n_rec", "ks_stat",
+        F.when(large, kolmogorov_tail(F.col("ks_stat") * scale)).otherwise(F.col("exact")).alias("p_value"),
+    )
+
+
 def quantile_edges(counts: DataFrame, bins: int = PSI_BINS) -> DataFrame:
     """Exact reference quantiles (linear interpolation) as distinct bin edges.
 
@@ -146,10 +216,14 @@ def drift_check(
     features: list[str],
     p_value: float = P_VALUE,
     psi_limit: float = PSI_LIMIT,
+    exact: bool = False,
 ) -> DataFrame:
-    """Both tests per feature and whether it drifted."""
+    """Both tests per feature and whether it drifted; ``exact`` takes exact p-values of small samples."""
     counts = value_counts(reference, recent, features)
-    joined = ks_test(counts).join(psi(counts), "feature")
+    tested = ks_test(counts)
+    if exact:
+        tested = tested.drop("p_value").join(exact_p_values(counts).select("feature", "p_value"), "feature")
+    joined = tested.join(psi(counts), "feature")
     return joined.withColumn(
         "is_drifted", (F.col("p_value") < p_value) | (F.col("psi") > psi_limit)
     )

@@ -232,6 +232,34 @@ def feature_drift(spark, sf_dir):
     return _drift_out(dr.drift_check(*_samples(spark, sf_dir), [*FEATURES, "absent"]))
 
 
+def _segments(spark, sf_dir):
+    """Balances of two market segments, a sample pair per nation."""
+    rows = b.table(spark, sf_dir, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return rows.select(
+        F.col("c_nationkey").cast("string").alias("feature"), F.col("c_acctbal").cast("double").alias("value"),
+        (F.col("c_mktsegment") == "BUILDING").cast("int").alias("r"),
+    )
+
+
+@query(
+    "exact_drift_p_values",
+    "A33",
+    """WITH RECURSIVE v AS (SELECT CAST(c_nationkey AS VARCHAR) AS feature, CAST(c_acctbal AS DOUBLE) AS x, c_mktsegment = 'BUILDING' AS ref
+  FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal IS NOT NULL),
+n AS (SELECT feature, count(*) FILTER (ref) AS m, count(*) FILTER (NOT ref) AS n FROM v GROUP BY 1),
+c AS (SELECT DISTINCT feature, x, count(*) FILTER (ref) OVER w AS a, count(*) FILTER (NOT ref) OVER w AS b FROM v WINDOW w AS (PARTITION BY feature ORDER BY x)),
+k AS (SELECT feature, m, n, max(abs(a * n - b * m)) AS h FROM c JOIN n USING (feature) WHERE m >= 5 AND n >= 5 GROUP BY ALL),
+r AS (
+  SELECT feature, m, n, h, 0 AS s, list_transform(range(0, m + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM k
+  UNION ALL
+  SELECT feature, m, n, h, s + 1, list_transform(range(0, m + 1), lambda i: CASE WHEN s + 1 - i BETWEEN 0 AND n AND abs(i * n - (s + 1 - i) * m) < h
+    THEN coalesce(p[i], 0) * (m - i + 1) / (m + n - s) + p[i + 1] * (n - (s - i)) / (m + n - s) ELSE 0 END) FROM r WHERE s < m + n)
+SELECT feature, m AS n_ref, n AS n_rec, round(h / (m::DOUBLE * n), 6) AS ks_stat, round(1 - p[m + 1], 6) AS p_value FROM r WHERE s = m + n""",
+)
+def exact_drift_p_values(spark, sf_dir):
+    return dr.exact_p_values(dr.counted(_segments(spark, sf_dir))).select("feature", "n_ref", "n_rec", _r("ks_stat"), _r("p_value"))
+
+
 @query(
     "recent_window_drift",
     "C20 P01 P02",
