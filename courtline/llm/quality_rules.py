@@ -92,7 +92,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """
 
     def buckets(rows: DataFrame) -> DataFrame:
-        return rows.select(F.explode(gram_buckets(words_of(F.col("text")))).alias("bucket"))
+        # words are a column of their own: the generator would split the text for every pair
+        words = rows.select(words_of(F.col("text")).alias("words"))
+        return words.select(F.explode(gram_buckets(F.col("words"))).alias("bucket"))
 
     zero = F.lit(0).cast("bigint")
     counts = (
