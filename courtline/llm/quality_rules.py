@@ -71,17 +71,19 @@ def id_bits(ids: DataFrame) -> DataFrame:
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("part", "bits"))), lambda x: x["bits"]).alias("bits"))
 
 
-def trusted_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) whose id is in ``trusted`` (doc_id, distinct).
+def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, t): the rows of ``docs`` (doc_id, text), t = 1 where the id is in ``trusted`` (distinct).
 
-    The map of ids lets those through and few others before anything moves, and the join keeps
-    one shape whatever the sizes: at most the texts it lets through are shuffled, once.
+    The map of ids tells all but few of the others before anything moves, and the join of the
+    rest keeps one shape whatever the sizes: the texts it lets through are shuffled, once.
     """
     bit = F.xxhash64("doc_id").bitwiseAND(ID_BITS - 1)
     part = F.get(F.col("_bits"), F.shiftright(bit, 6).cast("int"))
-    let_through = F.getbit(part, bit.bitwiseAND(63)) == 1
-    likely = docs.filter("doc_id is not null").withColumn("_bits", id_bits(trusted).scalar()).filter(let_through).drop("_bits")
-    return likely.hint("merge").join(trusted, "doc_id", "left_semi")
+    likely = F.col("doc_id").isNotNull() & (F.getbit(part, bit.bitwiseAND(63)) == 1)
+    mapped = docs.withColumn("_bits", id_bits(trusted).scalar())
+    zero = F.lit(0).cast("bigint")
+    told = mapped.filter(likely).select("doc_id", "text").hint("merge").join(trusted.withColumn("t", zero + 1), "doc_id", "left")
+    return told.select("text", F.coalesce("t", zero).alias("t")).union(mapped.filter(~likely).select("text", zero.alias("t")))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -91,16 +93,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     text. All counts are summed in the map tasks; at most BUCKETS rows per task are shuffled.
     """
 
-    def buckets(rows: DataFrame) -> DataFrame:
-        # words are a column of their own: the generator would split the text for every pair
-        words = rows.select(words_of(F.col("text")).alias("words"))
-        return words.select(F.explode(gram_buckets(F.col("words"))).alias("bucket"))
-
-    zero = F.lit(0).cast("bigint")
+    # words are a column of their own: the generator would split the text for every pair
+    words = flagged(docs, trusted).select("t", words_of(F.col("text")).alias("words"))
     counts = (
-        buckets(docs).groupBy("bucket").agg(F.count("*").alias("raw"), zero.alias("trusted"))
-        .union(buckets(trusted_documents(docs, trusted)).groupBy("bucket").agg(zero.alias("raw"), F.count("*").alias("trusted")))
-        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+        words.select("t", F.explode(gram_buckets(F.col("words"))).alias("bucket"))
+        .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
     )
     spark = docs.sparkSession
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
