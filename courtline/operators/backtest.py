@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from courtline.functions import odds as o
 from courtline.operators.metrics import INITIAL_BANKROLL
-from courtline.operators.ordered import running
+from courtline.operators.ordered import chunk_prefix, running
 from courtline.session import ensure_checkpoint_dir
 
 # Fold geometry, fractions to try, held-out share.
@@ -236,28 +236,41 @@ def drawdown(
 ) -> DataFrame:
     """Deepest fall from a peak and longest stay below one, in steps, per key.
 
-    A stay lasts from a peak to the next row at or above it. The curve is
-    checkpointed between the two passes, because each reads it twice.
+    A stay lasts from a peak to the next row at or above it. Each chunk of the curve becomes a
+    summary: its peak and low, its own deepest fall, its end, and its records (rows at or above
+    all before them in the chunk). Summaries merge: under an earlier peak P the low falls
+    (P - low) / P, records under P are none, and what they hid is part of a longer stay. So the
+    rows are read once, and only summaries are stored and prefixed.
     """
     ensure_checkpoint_dir(curve.sparkSession)
-    thin = curve.select(*dict.fromkeys([*keys, *levels, *order, rank, value])).checkpoint()
-    peaked = running(thin, keys, levels, order, maxes={"peak": F.col(value)}).withColumn(
-        "peak", F.greatest("peak", F.lit(start))
+    group = [*keys, *levels]
+    inside = Window.partitionBy(*group).orderBy(*[c for c in order if c not in levels], rank)
+    top = F.greatest(F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col(value))
+    rows = curve.select(*dict.fromkeys([*group, *order, rank, value])).withColumn("__top", top)
+    record = F.when(F.col(value) >= F.col("__top"), F.struct(F.col(rank).alias("n"), F.col(value).alias("v")))
+    chunks = rows.groupBy(*group).agg(
+        F.max(value).alias("peak"), F.min(value).alias("low"), F.max(rank).alias("end"),
+        F.max((F.col("__top") - F.col(value)) / F.col("__top")).alias("own_fall"),
+        F.sort_array(F.collect_list(record)).alias("records"),
+    ).checkpoint()
+
+    peak = F.greatest(F.lit(start), F.col("peak__before"))
+    n = F.size("records")
+    gaps = F.zip_with(F.slice("records", F.lit(1), n - 1), F.slice("records", F.lit(2), n - 1), lambda a, b: b["n"] - a["n"])
+    placed = chunks.join(chunk_prefix(chunks.select(*group, "peak"), keys, levels, {"peak": "max"}), group).select(
+        *group, "end",
+        F.greatest("own_fall", (peak - F.col("low")) / peak).alias("fall"),
+        F.array_max(F.filter(gaps, lambda g: g > 1)).alias("inner"),
+        F.get(F.filter("records", lambda r: r["v"] >= peak), 0)["n"].alias("first_at"),
+        F.when(F.col("peak") >= peak, F.element_at("records", -1)["n"]).alias("last_at"),
     )
-    at_peak = F.when(F.col(value) >= F.col("peak"), F.col(rank))
-    stays = running(
-        peaked.checkpoint(), keys, levels, order, lasts={"peak_no": at_peak}
-    ).withColumns(
-        {
-            "fall": (F.col("peak") - F.col(value)) / F.col("peak"),
-            "steps": F.col(rank) - F.coalesce("peak_no", F.lit(0)) + 1,
-        }
-    )
-    return stays.groupBy(*keys).agg(
+    lasts = chunk_prefix(placed.select(*group, "last_at"), keys, levels, {"last_at": "last"})
+    since = F.coalesce("last_at__before", F.lit(0))
+    head = F.when(F.col("first_at").isNull(), F.col("end") - since + 1).when(F.col("first_at") - since > 1, F.col("first_at") - since)
+    tail = F.when(F.col("end") > F.col("last_at"), F.col("end") - F.col("last_at") + 1)
+    return placed.join(lasts, group).groupBy(*keys).agg(
         F.max("fall").alias("max_drawdown"),
-        F.coalesce(F.max(F.when(F.col("fall") > 0, F.col("steps"))), F.lit(0)).alias(
-            "max_drawdown_steps"
-        ),
+        F.coalesce(F.max(F.greatest(head, tail, "inner")), F.lit(0)).alias("max_drawdown_steps"),
     )
 
 

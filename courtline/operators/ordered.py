@@ -191,6 +191,45 @@ def _struct_of(df: DataFrame):
     return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
 
 
+def segments(
+    intervals: DataFrame, keys: list[str], low: str, high: str, width: int, pick: list[str], values: list[str]
+) -> DataFrame:
+    """(keys, __bucket, __t, __side, __hit): each stretch of a bucket with the first interval that covers it.
+
+    A stretch starts at an interval's low (side 0) or just behind its high (side 1) and lasts to
+    the next start; ``__hit`` is the smallest (pick, values) struct over it, or null. Intervals of
+    equal bounds are one before they are listed, so a list holds distinct bounds only.
+    """
+    spread = intervals.filter(F.col(low) <= F.col(high)).select(
+        *keys, F.col(low).alias("__low"), F.col(high).alias("__high"),
+        F.struct(*pick, *[c for c in values if c not in pick]).alias("__hit"),
+        F.explode(
+            F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
+        ).alias("__bucket"),
+    )
+    listed = (
+        spread.groupBy(*keys, "__bucket", "__low", "__high").agg(F.min("__hit").alias("__hit"))
+        .groupBy(*keys, "__bucket").agg(F.collect_list(F.struct("__low", "__high", "__hit")).alias("__all"))
+    )
+
+    def marks(x: Column) -> Column:
+        return F.array(
+            F.struct(x["__low"].alias("t"), F.lit(0).alias("side")), F.struct(x["__high"].alias("t"), F.lit(1).alias("side"))
+        )
+
+    def covers(x: Column, m: Column) -> Column:
+        return (x["__low"] <= m["t"]) & ((x["__high"] > m["t"]) | ((m["side"] == 0) & (x["__high"] == m["t"])))
+
+    def stretch(m: Column) -> Column:
+        over = F.transform(F.filter("__all", lambda x: covers(x, m)), lambda x: x["__hit"])
+        return F.struct(m["t"].alias("__t"), m["side"].alias("__side"), F.array_min(over).alias("__hit"))
+
+    starts = F.array_distinct(F.flatten(F.transform("__all", marks)))
+    return listed.select(*keys, "__bucket", F.explode(F.transform(starts, stretch)).alias("__s")).select(
+        *keys, "__bucket", "__s.*"
+    )
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -199,33 +238,24 @@ def interval_join(
     low: str,
     high: str,
     width: int,
-    point_id: list[str],
     pick: list[str],
     values: list[str],
     name: str = "matched",
 ) -> DataFrame:
     """First interval (by ``pick``) with low <= point <= high and equal keys.
 
-    Points and intervals meet on buckets of ``width``, so the join has an equality
-    on (keys, bucket) and long or hot keys are spread over their buckets. Points
-    that meet no interval keep a null ``name``.
+    Intervals are cut into ``segments`` per bucket of ``width``. The distinct points of a bucket
+    and its segments are put in order and the last segment is carried forward; then the
+    points look their own value up. No point meets more than one row, and only distinct values
+    pass through a window. Points that meet no interval keep a null ``name``.
     """
-    spread = intervals.select(
-        *keys, low, high,
-        F.struct(*pick, *[c for c in values if c not in pick]).alias("__hit"),
-        F.explode(
-            F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-        ).alias("__bucket"),
-    ).filter(F.col(low) <= F.col(high))
-    bucketed = points.withColumn("__bucket", F.floor(F.col(point) / width))
-    met = bucketed.join(
-        spread.withColumnsRenamed({low: "__low", high: "__high"}),
-        [*keys, "__bucket"],
-        "left",
-    )
-    inside = F.col(point).between(F.col("__low"), F.col("__high"))
-    hit = F.min(F.when(inside, F.col("__hit"))).alias(name)
-    rest = [c for c in points.columns if c not in point_id]
-    return met.groupBy(*point_id).agg(*[F.first(c).alias(c) for c in rest], hit).select(
-        *points.columns, name
+    cut = segments(intervals, keys, low, high, width, pick, values)
+    facts = cut.withColumns({"__kind": F.lit(0), "__found": F.struct("__hit")}).drop("__hit")
+    asks = points.select(*keys, F.col(point).alias("__t")).distinct().select(
+        *keys, F.floor(F.col("__t") / width).alias("__bucket"), "__t", F.lit(0).alias("__side"), F.lit(1).alias("__kind"),
+        F.lit(None).cast(facts.schema["__found"].dataType).alias("__found"),
     )
+    line = Window.partitionBy(*keys, "__bucket").orderBy("__t", "__side", "__kind")
+    carried = facts.unionByName(asks).withColumn("__found", F.last("__found", ignorenulls=True).over(line))
+    told = carried.filter("__kind = 1").select(*keys, F.col("__t").alias(point), F.col("__found.__hit").alias(name))
+    return points.join(told, [*keys, point], "left").select(*points.columns, name)

@@ -91,7 +91,7 @@ def lineups_at_plays(plays: DataFrame, stints: DataFrame) -> DataFrame:
     met = interval_join(
         plays.withColumn("__left", clock.clock_or_full(F.col("pc_time"))),
         stints, ["game_id", "period"], "__left", "end_clock", "start_clock",
-        STINT_BUCKET_SECONDS, ["game_id", "event_num"], ["stint_no"],
+        STINT_BUCKET_SECONDS, ["stint_no"],
         ["home_lineup", "away_lineup"],
     )
 

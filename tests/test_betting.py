@@ -52,6 +52,28 @@ def test_drawdown(spark, path, depth, steps):
     assert got["max_drawdown"] == pytest.approx(depth) and got["max_drawdown_steps"] == steps
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_drawdown_summaries_merge(spark, seed):
+    """Random curves with ties, cut into many chunks of two levels, against one pass per key."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for key in ("a", "b"):
+        value = 100.0
+        for i in range(1, 150):
+            value = max(1.0, value + float(rng.integers(-6, 7)))
+            rows.append((key, i // 40, i // 7, i, value))
+    df = spark.createDataFrame(rows, "k string, month int, week int, bet_no int, bankroll double").repartition(5)
+    got = {r["k"]: r for r in backtest.drawdown(df, ["k"], ["month", "week"], ["bet_no"], start=100.0).collect()}
+    for key in ("a", "b"):
+        peak, at, depth, steps = 100.0, 0, 0.0, 0
+        for _, _, _, i, v in (r for r in rows if r[0] == key):
+            if v >= peak:
+                peak, at = v, i
+            else:
+                depth, steps = max(depth, (peak - v) / peak), max(steps, i - at + 1)
+        assert got[key]["max_drawdown"] == pytest.approx(depth) and got[key]["max_drawdown_steps"] == steps
+
+
 def test_equity_shares_start_within_a_game(spark):
     rows = [(0, "a", 1, 0.02, 1.0), (0, "a", 2, 0.02, -1.0), (0, "b", 1, 0.01, 0.5)]
     df = spark.createDataFrame(rows, "chunk int, game string, n int, f double, u double")

@@ -57,7 +57,34 @@ def test_as_of_is_strict(spark):
 def test_interval_join_takes_first(spark):
     points = spark.createDataFrame([(1, 1, 50), (1, 2, 100), (1, 3, 500), (2, 4, 50)], "g int, id int, t int")
     spans = spark.createDataFrame([(1, 0, 0, 100), (1, 1, 100, 300)], "g int, no int, lo int, hi int")
-    out = interval_join(points, spans, ["g"], "t", "lo", "hi", 64, ["id"], ["no"], ["lo"])
+    out = interval_join(points, spans, ["g"], "t", "lo", "hi", 64, ["no"], ["lo"])
     assert dict(out.select("id", "matched.no").collect()) == {1: 0, 2: 0, 3: None, 4: None}
     plan = out._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("width", [5, 64, 1000])
+def test_interval_join_equals_brute_force(spark, width):
+    rng = random.Random(width)
+    # points and bounds in halves, many at equal places; intervals nest, overlap, touch and end before they start
+    points = [(rng.randrange(3), i, rng.randrange(400) / 2) for i in range(500)] + [(0, 900, None), (9, 901, 1.0)]
+    spans = []
+    for i in range(120):
+        low = rng.randrange(400) / 2
+        spans.append((rng.randrange(3), rng.randrange(40), low, low + rng.randrange(-2, 60) / 2, i))
+    out = interval_join(
+        spark.createDataFrame(points, "g int, id int, t double"), spark.createDataFrame(spans, "g int, no int, lo double, hi double, v int"),
+        ["g"], "t", "lo", "hi", width, ["no", "v"], ["lo"],
+    )
+    got = {r["id"]: r["matched"] and tuple(r["matched"]) for r in out.collect()}
+    for g, i, t in points:
+        hits = [(no, v, lo) for h, no, lo, hi, v in spans if h == g and t is not None and lo <= t <= hi]
+        assert got.pop(i) == (min(hits) if hits else None)
+    assert not got
+
+
+def test_interval_join_of_one_hot_value(spark):
+    points = spark.range(5_000).select(F.lit(1).alias("g"), "id", F.lit(7).alias("t"))
+    spans = spark.createDataFrame([(1, n, 0, 10 + n) for n in range(30)], "g int, no int, lo int, hi int")
+    out = interval_join(points, spans, ["g"], "t", "lo", "hi", 64, ["no"], [])
+    assert out.groupBy("matched.no").count().collect()[0] == (0, 5_000)
