@@ -89,7 +89,7 @@ def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collocations(table(spark, sf_dir, "documents")).drop("first_doc", "first_word")
+    return collocations(table(spark, sf_dir, "documents")).drop("first_doc")
 
 
 @query
