@@ -18,25 +18,28 @@ def lineage(
 ) -> DataFrame:
     """(version, ancestor, steps) for the versions in ``roots``, each its own ancestor at 0.
 
-    One step up per round, for all asked versions at once; an ancestor counts at its first
-    visit, so a cycle ends. The output is as long as the asked versions are deep. Asked
-    versions that do not exist have no rows.
+    Paths are doubled: round k joins the paths found so far with the table of ancestors at
+    distance 2^k, and that table with itself, so n generations take about log2 n rounds. An
+    ancestor counts at its smallest distance, so a cycle ends. Asked versions that do not exist
+    have no rows.
     """
     ensure_checkpoint_dir(versions.sparkSession)
-    edges = versions.filter(F.col(parent).isNotNull()).select(F.col(version).alias("at"), F.col(parent).alias("next"))
-    known = versions.select(F.col(version).alias("v")).join(roots.select(F.col(version).alias("v")).distinct(), "v", "left_semi").distinct()
-    front = known.select("v", F.col("v").alias("a"), F.lit(0).alias("steps")).checkpoint()
-    paths, step = front, 0
+    asked = roots.select(F.col(version).alias("v")).distinct()
+    known = versions.select(F.col(version).alias("v")).join(asked, "v", "left_semi").distinct()
+    jump = (
+        versions.filter(F.col(parent).isNotNull()).select(F.col(version).alias("at"), F.col(parent).alias("far"))
+        .distinct().checkpoint()
+    )
+    paths = known.select("v", F.col("v").alias("a"), F.lit(0).alias("steps")).checkpoint()
+    found, distance = paths.count(), 1
     while True:
-        step += 1
-        front = (
-            front.join(edges, F.col("a") == F.col("at")).select("v", F.col("next").alias("a")).distinct()
-            .join(paths.select("v", "a"), ["v", "a"], "left_anti")
-            .select("v", "a", F.lit(step).alias("steps")).checkpoint()
-        )
-        if front.isEmpty():
+        further = paths.join(jump, F.col("a") == F.col("at")).select("v", F.col("far").alias("a"), (F.col("steps") + distance).alias("steps"))
+        paths = paths.union(further).groupBy("v", "a").agg(F.min("steps").alias("steps")).checkpoint()
+        if (now := paths.count()) == found:
             break
-        paths = paths.unionByName(front).checkpoint()
+        found, distance = now, distance * 2
+        onward = jump.select(F.col("at").alias("far"), F.col("far").alias("beyond"))
+        jump = jump.join(onward, "far").select("at", F.col("beyond").alias("far")).distinct().checkpoint()
     return paths.select(F.col("v").alias("version"), F.col("a").alias("ancestor"), "steps")
 
 

@@ -180,3 +180,27 @@ def quarantined_rows(spark, sf_dir):
         .union(skipped.select(F.lit("skipped"), "nation"))
     )
     return rows.groupBy("outcome", "nation").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    "collection_counts",
+    "S17",
+    """WITH c AS (SELECT count(*) AS lines, count(*) FILTER (c_custkey % 10 = 3) AS dropped FROM customer)
+SELECT policy, lines, lines - dropped AS kept, dropped, lines - dropped AS stored, CASE WHEN policy = 'log' THEN dropped ELSE 0 END AS quarantined
+FROM c, (SELECT unnest(['log', 'skip']) AS policy)""",
+)
+def collection_counts(spark, sf_dir):
+    """Customers landed as JSON lines, one in ten cut off: what each policy saw, kept and dropped."""
+    root = _folder(spark)
+    k = F.col("c_custkey")
+    line = F.to_json(F.struct(k.alias("id"), F.col("c_nationkey").alias("nation")))
+    b.table(spark, sf_dir, "customer").select(F.when(k % 10 == 3, F.lit("{cut")).otherwise(line).alias("value")).write.text(f"{root}/landed")
+    out = None
+    for policy in ("log", "skip"):
+        counts = payloads.collect_landed(spark, f"{root}/landed", "id bigint, nation bigint", f"{root}/{policy}", policy)
+        rows = spark.read.parquet(f"{root}/{policy}").agg(
+            F.lit(policy).alias("policy"), *(F.lit(v).cast("bigint").alias(n) for n, v in counts.items()),
+            F.count_if(F.col("outcome") == "kept").alias("stored"), F.count_if(F.col("outcome") == "quarantine").alias("quarantined"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from courtline.plans import bindings as b
 from courtline.plans.registry import query
 from courtline.session import ensure_checkpoint_dir
+from courtline.streaming import closing
 from courtline.streaming import increments as inc
 
 
@@ -94,6 +95,36 @@ def closing_lines_batch(spark, sf_dir):
     return out.select("game_id", "source", "home_ml", _second("closed_at").alias("closed_at"))
 
 
+@query(
+    "closed_lines_stream",
+    "Z05",
+    """WITH tips AS (SELECT user_id, max(ts) - INTERVAL 10 DAY AS tip FROM events GROUP BY 1),
+q AS (SELECT e.user_id AS game_id, event_type AS source, value, ts, tip FROM events e JOIN tips t ON t.user_id = e.user_id WHERE value IS NOT NULL)
+SELECT game_id, source, 'closed' AS kind, 1 AS quotes, round(arg_max(value, (ts, value)) FILTER (ts <= tip), 6) AS price,
+  strftime(max(ts) FILTER (ts <= tip), '%Y-%m-%d %H:%M:%S') AS last_at FROM q GROUP BY 1, 2 HAVING count(*) FILTER (ts <= tip) > 0
+UNION ALL SELECT game_id, source, 'late', count(*), round(max(value), 6), strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM q WHERE ts > tip GROUP BY 1, 2""",
+)
+def closed_lines_stream(spark, sf_dir):
+    """Quotes that land in two halves of time; the stream runs after each and resumes where it stopped."""
+    table, progress = _folders(spark)
+    e = b.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    tips = e.groupBy("user_id").agg((F.max("ts") - F.expr("interval 10 days")).alias("tip_off"))
+    quotes = e.filter("value is not null").join(tips, "user_id").select(
+        F.col("user_id").cast("bigint").alias("game_id"), F.col("event_type").alias("source"), F.col("ts").alias("quoted_at"),
+        F.col("value").cast("double").alias("price"), "tip_off",
+    )
+    middle = e.agg(F.timestamp_seconds((F.unix_timestamp(F.min("ts")) + F.unix_timestamp(F.max("ts"))) / 2)).scalar()
+    landed = f"{table}-landed"
+    for half in (F.col("quoted_at") < middle, F.col("quoted_at") >= middle):
+        quotes.filter(half).write.mode("append").parquet(landed)
+        closing.store_lines(closing.closed_lines(inc.file_stream(spark, landed, quotes.schema), "1 day"), table, progress)
+    out = spark.read.parquet(table)
+    last = F.date_format(F.max("quoted_at"), "yyyy-MM-dd HH:mm:ss")
+    return out.groupBy("game_id", "source", "kind").agg(
+        F.count(F.lit(1)).alias("quotes"), F.round(F.max("price"), 6).alias("price"), last.alias("last_at")
+    )
+
+
 @query(
     "streamed_new_games",
     "Z01 K01",

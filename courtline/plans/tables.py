@@ -10,6 +10,7 @@ from courtline.functions import misc
 from courtline.operators import quality
 from courtline.plans import bindings as b
 from courtline.plans.registry import query
+from courtline.plans.sinks import _folder
 from courtline.sources import maintenance, payloads, teams
 from courtline.sources.payloads import rename_headers
 
@@ -342,6 +343,24 @@ def season_facts(spark, sf_dir):
     )
 
 
+@query(
+    "season_distinct_sketches",
+    "A31",
+    b.with_ctes(b.GAMES_SQL)
+    + "SELECT season_id, count(DISTINCT game_id) AS games, true AS close FROM lineitem JOIN games ON game_id = l_orderkey GROUP BY 1",
+)
+def season_distinct_sketches(spark, sf_dir):
+    """Games with lines per season, exactly and from the stored sketches of seven loads."""
+    lines = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("load"))
+    rows = lines.join(b.games(spark, sf_dir).select("game_id", "season_id"), "game_id")
+    path = _folder(spark)
+    quality.distinct_sketches(rows, ["season_id", "load"], "game_id").write.parquet(path)
+    told = quality.distinct_estimates(quality.merged_sketches(spark.read.parquet(path), ["season_id"]), ["season_id"])
+    exact = rows.select("season_id", "game_id").distinct().groupBy("season_id").agg(F.count(F.lit(1)).alias("games"))
+    near = F.abs(F.col("estimate") - F.col("games")) <= 0.03 * F.col("games")
+    return exact.join(told, "season_id").select("season_id", "games", near.alias("close"))
+
+
 @query(
     "orphan_rows",
     "J03",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from courtline.functions import availability, clock
@@ -68,6 +68,34 @@ def read_landed(
     )
 
 
+def collect_landed(spark: SparkSession, source: str, schema: str, target: str, policy: str = "log") -> dict[str, int]:
+    """Store the good JSON lines of ``source`` under ``target`` and count in the same pass.
+
+    Rows go to ``target/outcome=kept``; with "log" the broken lines go to
+    ``target/outcome=quarantine``, with "skip" they are dropped, with "raise" they end the write.
+    Returns lines, kept and dropped as the write observed them; nothing is read twice.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy!r}; have {sorted(POLICIES)}")
+    options = {"mode": "FAILFAST" if policy == "raise" else "PERMISSIVE"}
+    if policy != "raise":
+        options["columnNameOfCorruptRecord"] = "_corrupt_record"
+        schema += ", _corrupt_record string"
+    parsed = spark.read.text(source).select("value", F.from_json("value", schema, options).alias("r"))
+    broken = F.col("r._corrupt_record").isNotNull() if policy != "raise" else F.lit(False)
+    seen = Observation()
+    rows = parsed.withColumn("broken", broken).observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if("broken").alias("dropped"))
+    if policy == "skip":
+        rows = rows.filter(~F.col("broken"))
+    good = F.col("r") if policy == "raise" else F.col("r").dropFields("_corrupt_record")
+    rows.select(
+        good.alias("r"), F.when(F.col("broken"), F.col("value")).alias("line"),
+        F.when(F.col("broken"), "quarantine").otherwise("kept").alias("outcome"),
+    ).write.partitionBy("outcome").parquet(target)
+    got = seen.get
+    return {"lines": got["lines"], "kept": got["lines"] - got["dropped"], "dropped": got["dropped"]}
+
+
 def _cell(name: str) -> Column:
     return F.col("row")[name]
 

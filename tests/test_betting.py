@@ -149,6 +149,19 @@ def test_lineage_handles_cycles(spark):
     assert order == {"d": ["a", "b", "c", "d"], "a": ["a"], "x": ["y", "x"]}
 
 
+def test_lineage_doubles_its_paths(spark, monkeypatch):
+    """A chain of a thousand versions takes eleven rounds; a version may have two parents."""
+    rounds = []
+    frame = type(spark.range(1))
+    counted = frame.count
+    monkeypatch.setattr(frame, "count", lambda self: rounds.append(1) or counted(self))
+    chain = spark.range(1, 1001).selectExpr("id version", "if(id > 1, id - 1, null) parent_version").union(spark.createDataFrame([(1000, 998)], "v bigint, p bigint"))
+    got = versions.lineage(chain, spark.createDataFrame([(1000,), (3,)], "version bigint")).collect()
+    assert len(rounds) - 1 <= 11
+    steps = {(r["version"], r["ancestor"]): r["steps"] for r in got}
+    assert len(steps) == 1003 and steps[1000, 999] == 1 and steps[1000, 998] == 1 and steps[1000, 1] == 998 and steps[3, 1] == 2
+
+
 def test_winner_rules(spark):
     m = spark.createDataFrame(
         [("a", "accuracy", 0.60), ("b", "accuracy", 0.6005), ("a", "brier_score", 0.2), ("b", "brier_score", 0.25), ("a", "loss", 1.0)],

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from courtline.operators import jobs
+from courtline.operators import jobs, quality
 from courtline.sources import maintenance as mt
 from courtline.sources import payloads, schemas, teams
 from courtline.streaming import increments as inc
@@ -60,6 +60,36 @@ def test_error_policies(spark, tmp_path):
         payloads.read_landed(spark, str(p), "a int", "other")
 
 
+def test_collection_counts_as_it_stores(spark, tmp_path):
+    p = tmp_path / "rows.json"
+    p.write_text('{"a": 1}\n{broken\n{"a": 2}\n{"a": "x"}\n')
+    want = {"lines": 4, "kept": 2, "dropped": 2}
+    for policy in ("log", "skip"):
+        target = str(tmp_path / policy)
+        assert payloads.collect_landed(spark, str(p), "a int", target, policy) == want
+        rows = spark.read.parquet(target)
+        assert sorted(r["a"] for r in rows.filter("outcome = 'kept'").select("r.a").collect()) == [1, 2]
+        lines = [r["line"] for r in rows.filter("outcome = 'quarantine'").collect()]
+        assert sorted(lines) == (['{"a": "x"}', "{broken"] if policy == "log" else [])
+    with pytest.raises(Exception):
+        payloads.collect_landed(spark, str(p), "a int", str(tmp_path / "raise"), "raise")
+    with pytest.raises(ValueError):
+        payloads.collect_landed(spark, str(p), "a int", str(tmp_path / "x"), "other")
+
+
+def test_sketches_of_loads_equal_a_full_build(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("id % 3 season", "id % 4 load", "id % 20011 game")
+    loads = quality.distinct_sketches(rows, ["season", "load"], "game")
+    loads.filter("load < 3").write.parquet(str(tmp_path / "s"))
+    loads.filter("load = 3").write.mode("append").parquet(str(tmp_path / "s"))  # an increment
+    grown = quality.distinct_estimates(quality.merged_sketches(spark.read.parquet(str(tmp_path / "s")), ["season"]), ["season"])
+    whole = quality.distinct_estimates(quality.merged_sketches(loads, ["season"]), ["season"])
+    assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect()))
+    for r in grown.collect():
+        exact = rows.filter(f"season = {r['season']}").select("game").distinct().count()
+        assert abs(r["estimate"] - exact) <= 0.03 * exact
+
+
 def test_team_dimension(spark):
     rows = teams.team_dimension(spark).collect()
     assert len(rows) == 30 and len({r["abbreviation"] for r in rows}) == 30
