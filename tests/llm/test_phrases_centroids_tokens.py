@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 
 from courtline.llm import collocations as phrases
 from courtline.llm.byte_pairs import decode, encode, encoded_digests, java_pattern, merge_long, read_ranks
@@ -95,7 +96,7 @@ def counted_locally(rows):
 
 def test_hand_ons_in_small_parts_change_nothing(monkeypatch):
     whole = counted_locally(phrase_rows()[:-1])
-    for name, value in (("CHUNK_BYTES", 1_000), ("GATHERED_PHRASES", 20), ("CACHE_WORDS", 3)):
+    for name, value in (("CHUNK_BYTES", 1_000), ("GATHERED_PHRASES", 20), ("CACHE_WORDS", 3), ("NAMED_WORDS", 8)):
         monkeypatch.setattr(phrases, name, value)
     assert counted_locally(phrase_rows()[:-1]) == whole
 
@@ -112,6 +113,21 @@ def test_equal_fingerprints_are_told_apart_by_their_words(monkeypatch):
     assert counted_locally(phrase_rows()[:-1]) == whole and len(whole) > 1_000
 
 
+def test_rare_words_break_phrases_and_are_counted():
+    words = Words(lambda h: h != xxhash.xxh64_intdigest(b"odd"))
+    chunk = Chunk("en", [(1, "a b odd a b")], words)
+    assert chunk.n_words == 5 and len(chunk.fingerprints(2)[0]) == 2 and len(chunk.fingerprints(1)[0]) == 4
+    assert words.names == [b"\xff", b"", b"a", b"b"] and words[b"odd"] == phrases.RARE
+    # the test of one hash agrees with the map of fingerprints
+    whole = Chunk("en", [(1, " ".join(map(str, range(500))))], Words())
+    _, prints = whole.fingerprints(1)
+    bits = np.zeros(phrases.BITS // 64, np.uint64)
+    bits[(prints[::3] & np.uint64(phrases.BITS - 1)).astype(np.int64) >> 6] |= np.uint64(1) << (prints[::3] & np.uint64(63))
+    known = phrases.BitMap(bits)
+    keeps = known.keeps("en")
+    assert [keeps(xxhash.xxh64_intdigest(str(i))) for i in range(500)] == known.holds(prints).tolist()
+
+
 def test_rolled_hashes_are_equal_for_equal_words_only():
     words = Words()
     chunk = Chunk("en", [(1, "a b c a b, c a b c"), (None, "b c a b")], words)
