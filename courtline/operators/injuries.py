@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtline.functions import availability as av
 from courtline.functions.misc import MARGIN_BOUNDS, TOTAL_BOUNDS, WIN_BOUNDS, clamp
+from courtline.session import ensure_checkpoint_dir
 
 # History lengths, margin per win probability, uncertainty scales.
 HISTORY_GAMES, REPLACEMENT_GAMES, REPLACEMENT_MINUTES = 82, 10, 10
@@ -225,9 +226,11 @@ def two_scenario_adjustment(
         "game_id", "home_lineup", "away_lineup", "s.side", "s.lineup",
         F.explode("s.lineup").alias("player_id"),
     )
+    # both are read by several branches below, and are small beside their inputs
+    ensure_checkpoint_dir(games.sparkSession)
     uncertain = members.join(doubtful, "player_id").filter(
         F.col("play_probability") < CERTAIN_TO_PLAY
-    )
+    ).checkpoint()
     spare = best_replacements(
         uncertain.select("game_id", "player_id", "lineup"), player_games, recency
     )
@@ -253,7 +256,7 @@ def two_scenario_adjustment(
         "game_id", F.concat_ws("|", "game_id").alias("scenario_id"),
         "home_lineup", "away_lineup", F.lit(None).cast("double").alias("p"),
     )
-    scored = scorer(base.unionByName(sits))
+    scored = scorer(base.unionByName(sits)).checkpoint()
     plays = scored.filter("p IS NULL").select(
         "game_id", *[F.col(c).alias(f"base_{c}") for c in ("win", "margin", "total")]
     )

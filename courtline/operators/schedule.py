@@ -61,52 +61,29 @@ def schedule_flags(
     ``lat`` and ``lon`` locate ``venue_team``; null where the venue is unknown.
     ``by`` may add a season, so that look-backs stay inside it.
     """
-    by_team = Window.partitionBy(*by).orderBy("day_no")
-    numbered = days.withColumn("day_no", F.unix_date("game_date")).withColumns(
-        {"lat": lat, "lon": lon}
-    )
+    by_team = _by_day(by)
 
     def games_in(nights: int) -> Column:
         return F.count(F.lit(1)).over(by_team.rangeBetween(-(nights - 1), 0))
 
-    known_before = by_team.rowsBetween(Window.unboundedPreceding, -1)
-    place = F.when(F.col("lat").isNotNull(), F.struct("day_no", "lat", "lon"))
-    stepped = numbered.withColumns(
+    stepped = _numbered(days).withColumns({"lat": lat, "lon": lon}).withColumns(
         {
             "previous_day": F.lag("day_no").over(by_team),
             "turn": F.coalesce(
                 (F.lag("is_home").over(by_team) != F.col("is_home")).cast("int"), F.lit(1)
             ),
-            "came_from": F.last(place, ignorenulls=True).over(known_before),
             "games_in_4": games_in(4),
             "games_in_5": games_in(5),
         }
     )
-    leg = F.when(
-        F.col("lat").isNotNull() & F.col("came_from").isNotNull(),
-        F.struct(
-            F.col("came_from.day_no").alias("left_on"),
-            haversine_miles(
-                F.col("came_from.lat"), F.col("came_from.lon"), F.col("lat"), F.col("lon")
-            ).alias("miles"),
-        ),
-    )
-    recent = by_team.rangeBetween(-(travel_days - 1), 0)
-    walked = stepped.withColumns(
-        {
-            "leg": leg,
-            "streak_no": F.sum("turn").over(by_team.rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    ).withColumn("legs", F.collect_list("leg").over(recent))
-    in_reach = F.filter(
-        F.col("legs"), lambda x: x["left_on"] > F.col("day_no") - F.lit(travel_days)
+    walked = _with_miles(stepped, by_team, travel_days).withColumn(
+        "streak_no", F.sum("turn").over(by_team.rowsBetween(Window.unboundedPreceding, 0))
     )
-    miles = F.aggregate(in_reach, F.lit(0.0), lambda acc, x: acc + x["miles"])
     streak = F.row_number().over(Window.partitionBy(*by, "streak_no").orderBy("day_no"))
     gap = F.col("day_no") - F.col("previous_day") - 1
     rest = F.when(gap.isNull(), OPENER_REST).when(gap < 0, 0).otherwise(gap)
     return (
-        walked.withColumns({"rest_days": rest, "streak": streak, "miles": miles})
+        walked.withColumns({"rest_days": rest, "streak": streak})
         .select(
             *by,
             "game_date",
@@ -123,6 +100,49 @@ def schedule_flags(
     )
 
 
+def _by_day(by: tuple[str, ...]):
+    return Window.partitionBy(*by).orderBy("day_no")
+
+
+def _numbered(days: DataFrame) -> DataFrame:
+    return days.withColumn("day_no", F.unix_date("game_date"))
+
+
+def _with_miles(numbered: DataFrame, by_team, travel_days: int) -> DataFrame:
+    """Add ``miles``: legs between known venues that began within the last ``travel_days``."""
+    known_before = by_team.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.when(F.col("lat").isNotNull(), F.struct("day_no", "lat", "lon"))
+    came = numbered.withColumn("came_from", F.last(place, ignorenulls=True).over(known_before))
+    leg = F.when(
+        F.col("lat").isNotNull() & F.col("came_from").isNotNull(),
+        F.struct(
+            F.col("came_from.day_no").alias("left_on"),
+            haversine_miles(
+                F.col("came_from.lat"), F.col("came_from.lon"), F.col("lat"), F.col("lon")
+            ).alias("miles"),
+        ),
+    )
+    recent = by_team.rangeBetween(-(travel_days - 1), 0)
+    legs = came.withColumn("leg", leg).withColumn("legs", F.collect_list("leg").over(recent))
+    in_reach = F.filter(
+        F.col("legs"), lambda x: x["left_on"] > F.col("day_no") - F.lit(travel_days)
+    )
+    return legs.withColumn("miles", F.aggregate(in_reach, F.lit(0.0), lambda acc, x: acc + x["miles"]))
+
+
+def day_gaps(days: DataFrame) -> DataFrame:
+    """Day number and previous day of every (team, day): what ``context_rest`` asks for, and no more."""
+    return _numbered(days).select(
+        "team_id", "game_date", "day_no", F.lag("day_no").over(_by_day(("team_id",))).alias("previous_day")
+    )
+
+
+def travel(days: DataFrame, lat: Column, lon: Column, travel_days: int = TRAVEL_DAYS, by: tuple[str, ...] = ("team_id",)) -> DataFrame:
+    """The travel miles of ``schedule_flags`` alone."""
+    placed = _numbered(days).withColumns({"lat": lat, "lon": lon})
+    return _with_miles(placed, _by_day(by), travel_days).select(*by, "game_date", F.round("miles", 1).alias("travel_miles"))
+
+
 def context_rest(flags: DataFrame) -> DataFrame:
     """Raw day gap to the previous game, capped, with its own back-to-back rule."""
     gap = F.least(
@@ -131,7 +151,7 @@ def context_rest(flags: DataFrame) -> DataFrame:
     gap = F.coalesce(gap, F.lit(CONTEXT_REST_DEFAULT))
     return flags.select(
         "team_id", "game_date", gap.alias("gap_days"), (gap <= 1).alias("played_yesterday"),
-        "travel_miles",
+        *(c for c in ("travel_miles",) if c in flags.columns),
     )
 
 

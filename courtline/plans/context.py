@@ -130,9 +130,9 @@ def lineup_hulls(spark, sf_dir):
 def _context(spark, sf_dir):
     games = b.games(spark, sf_dir)
     lat, lon = b.venue(F.col("venue_team"))
-    rest = schedule.context_rest(schedule.schedule_flags(schedule.team_days(games), lat, lon))
+    rest = schedule.context_rest(schedule.day_gaps(schedule.team_days(games)))
     by = ("team_id", "season_id")
-    travel = schedule.schedule_flags(schedule.team_days(games, by), lat, lon, by=by)
+    travel = schedule.travel(schedule.team_days(games, by), lat, lon, by=by)
     lineups = b.stints(spark, sf_dir)
     return ops.context_features(
         games, form(spark, sf_dir), rest, travel,
