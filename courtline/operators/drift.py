@@ -244,6 +244,63 @@ def drift_windows(
     return drift_check(reference, recent, features)
 
 
+#: Accuracy of the stored sketches: about 0.4 per cent of the rank.
+KLL_SIZE, KLL_GRID = 800, 1000
+#: A share is the difference of two ranks, each within the sketch's error and a step of the grid.
+SHARE_ERROR = 2 * (0.004 + 1 / KLL_GRID)
+
+
+def reference_sketches(reference: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """(keys, feature, sketch, n): the reference as a fixed-size sketch per feature and load, to be stored."""
+    picked = reference.select(*keys, *[F.col(f).cast("double").alias(f) for f in features])
+    long = picked.unpivot(keys, features, "feature", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return long.groupBy(*keys, "feature").agg(
+        F.kll_sketch_agg_double("value", F.lit(KLL_SIZE)).alias("sketch"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def sketched_bins(sketches: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """(feature, n, inner, expected): inner bin edges and the reference's share of each bin.
+
+    The sketches of all loads are merged per feature and read once, at KLL_GRID even ranks:
+    edges are some of these values, and shares count the others between them, so that values
+    that repeat keep their weight.
+    """
+    merged = sketches.groupBy("feature").agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    grid = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(j / KLL_GRID) for j in range(1, KLL_GRID + 1)]))
+    cut = merged.withColumn("grid", grid).withColumn(
+        "inner", F.array_distinct(F.array(*[F.col("grid")[j * KLL_GRID // bins - 1] for j in range(1, bins)]))
+    )
+    ranks = F.transform("inner", lambda e: F.size(F.filter("grid", lambda g: g <= e)) / KLL_GRID)
+    below = F.concat(F.array(F.lit(0.0)), ranks, F.array(F.lit(1.0)))
+    steps = F.size("below") - 1
+    shares = F.zip_with(F.slice("below", F.lit(2), steps), F.slice("below", F.lit(1), steps), lambda high, low: high - low)
+    return cut.withColumn("below", below).select("feature", "n", "inner", shares.alias("expected"))
+
+
+def bin_shares(rows: DataFrame, bins: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, slot, expected, share): of every bin what the reference and what ``rows`` have."""
+    picked = rows.select(*[F.col(f).cast("double").alias(f) for f in features])
+    long = picked.unpivot([], features, "feature", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    # one row per feature in the list
+    placed = long.join(F.broadcast(bins.select("feature", "inner")), "feature").select(
+        "feature", F.size(F.filter("inner", lambda e: e < F.col("value"))).alias("slot")
+    )
+    counts = placed.groupBy("feature", "slot").agg(F.count(F.lit(1)).alias("k"))
+    total = counts.groupBy("feature").agg(F.sum("k").alias("total"))
+    every = bins.select("feature", F.posexplode("expected").alias("slot", "expected"))
+    return every.join(total, "feature").join(counts, ["feature", "slot"], "left").select(
+        "feature", "slot", "expected", (F.coalesce("k", F.lit(0)) / F.col("total")).alias("share")
+    )
+
+
+def sketched_psi(sketches: DataFrame, recent: DataFrame, features: list[str], bins: int = PSI_BINS) -> DataFrame:
+    """(feature, psi) from stored reference sketches: only the recent rows are read."""
+    clip = lambda c: F.greatest(F.lit(PSI_CLIP), F.least(F.lit(1.0), c))
+    a, e = clip(F.col("share")), clip(F.col("expected"))
+    return bin_shares(recent, sketched_bins(sketches, bins), features).groupBy("feature").agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
+
+
 def concept_drift(
     predictions: DataFrame,
     order: list[str],

@@ -13,6 +13,7 @@ from courtline.operators import metrics, reports
 from courtline.operators import versions as vs
 from courtline.plans import bindings as b
 from courtline.plans.registry import query
+from courtline.plans.sinks import _folder
 
 _r = lambda c, name=None: F.round(c, 6).alias(name or c)
 
@@ -260,6 +261,23 @@ def exact_drift_p_values(spark, sf_dir):
     return dr.exact_p_values(dr.counted(_segments(spark, sf_dir))).select("feature", "n_ref", "n_rec", _r("ks_stat"), _r("p_value"))
 
 
+@query(
+    "sketched_feature_drift",
+    "A32 C20",
+    b.with_ctes(_long_sql(_CUT, f"NOT ({_CUT})", "lineitem"))
+    + "SELECT feature, count(*) AS n, true AS near FROM long WHERE is_ref AND v IS NOT NULL GROUP BY 1",
+)
+def sketched_feature_drift(spark, sf_dir):
+    """Shares of the reference's bins by its stored sketches, one a year, against its rows."""
+    reference, _ = _samples(spark, sf_dir)
+    path = _folder(spark)
+    dr.reference_sketches(reference.withColumn("load", F.year("day")), ["load"], FEATURES).write.parquet(path)
+    bins = dr.sketched_bins(spark.read.parquet(path))
+    told = dr.bin_shares(reference, bins, FEATURES)
+    near = F.max(F.abs(F.col("expected") - F.col("share"))) <= dr.SHARE_ERROR
+    return told.groupBy("feature").agg(near.alias("near")).join(bins.select("feature", "n"), "feature").select("feature", "n", "near")
+
+
 @query(
     "recent_window_drift",
     "C20 P01 P02",

@@ -76,3 +76,19 @@ def test_values_keep_their_order_over_buckets(spark):
     order = sorted(rows, key=lambda r: r[1])
     assert [r["cum_ref"] for r in counts] == np.cumsum([r[2] for r in order]).tolist()
     assert len({r["bucket"] for r in counts}) > 200
+
+
+def test_sketches_stand_for_the_reference(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 4, float(x), float(rng.integers(0, 12))) for i, x in enumerate(rng.normal(size=20_000))]
+    ref = spark.createDataFrame(rows, "load int, x double, level double")
+    sketches = drift.reference_sketches(ref, ["load"], ["x", "level"])
+    assert sketches.count() == 8
+    bins = drift.sketched_bins(sketches)
+    assert all(r["n"] == 20_000 and abs(sum(r["expected"]) - 1) < 1e-9 for r in bins.collect())
+    for r in drift.bin_shares(ref, bins, ["x", "level"]).collect():
+        assert abs(r["expected"] - r["share"]) <= drift.SHARE_ERROR
+    moved = ref.withColumns({"x": ref.x + 1, "level": ref.level})
+    got = {r["feature"]: r["psi"] for r in drift.sketched_psi(sketches, moved, ["x", "level"]).collect()}
+    exact = {r["feature"]: r["psi"] for r in drift.psi(drift.value_counts(ref, moved, ["x", "level"])).collect()}
+    assert got["level"] < 0.01 and got["x"] == pytest.approx(exact["x"], rel=0.1)
