@@ -343,6 +343,29 @@ def season_facts(spark, sf_dir):
     )
 
 
+@query(
+    "bucketed_season_facts",
+    "J01 W23",
+    b.with_ctes(b.GAMES_SQL)
+    + """SELECT season_id, count(*) AS line_count, count(DISTINCT game_id) AS games_with_lines, round(sum(l_quantity), 4) AS quantity
+FROM lineitem JOIN games ON game_id = l_orderkey WHERE status = 'completed' GROUP BY 1""",
+)
+def bucketed_season_facts(spark, sf_dir):
+    """The facts of each season from tables stored in the same buckets of game_id."""
+    root = _folder(spark)
+    lines = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("event_num"), "l_quantity")
+    games = b.games(spark, sf_dir).filter("status = 'completed'").select("game_id", "season_id")
+    facts = maintenance.join_stored(
+        maintenance.store_bucketed(lines, f"{root}/lines", "game_id", ["event_num"]),
+        maintenance.store_bucketed(games, f"{root}/games", "game_id", []), "game_id",
+    )
+    # a game lies in one bucket, so its lines are added up before anything moves
+    per_game = facts.groupBy("game_id", "season_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    return per_game.groupBy("season_id").agg(
+        F.sum("n").alias("line_count"), F.count(F.lit(1)).alias("games_with_lines"), F.round(F.sum("q"), 4).alias("quantity")
+    )
+
+
 @query(
     "season_distinct_sketches",
     "A31",

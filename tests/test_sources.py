@@ -90,6 +90,20 @@ def test_sketches_of_loads_equal_a_full_build(spark, tmp_path):
         assert abs(r["estimate"] - exact) <= 0.03 * exact
 
 
+def test_stored_buckets_join_without_an_exchange(spark, tmp_path):
+    plays = spark.range(4_000).selectExpr("id % 250 game_id", "id event_num", "id * 2 v")
+    games = spark.range(240).selectExpr("id game_id", "id % 3 season")
+    facts = mt.join_stored(
+        mt.store_bucketed(plays, str(tmp_path / "plays"), "game_id", ["event_num"], 6),
+        mt.store_bucketed(games, str(tmp_path / "games"), "game_id", [], 6), "game_id",
+    )
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    per_game = facts.groupBy("game_id", "season").count()
+    assert "Exchange" not in per_game._jdf.queryExecution().executedPlan().toString()
+    assert facts.count() == 240 * 16 and per_game.count() == 240
+
+
 def test_team_dimension(spark):
     rows = teams.team_dimension(spark).collect()
     assert len(rows) == 30 and len({r["abbreviation"] for r in rows}) == 30
