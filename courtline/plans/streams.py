@@ -47,6 +47,33 @@ def rolling_event_metrics(spark, sf_dir):
     )
 
 
+@query(
+    "late_event_metrics",
+    "Z03",
+    """WITH bound AS (SELECT max(ts) - INTERVAL 10 DAY AS b FROM events WHERE event_id % 10 <> 0),
+w AS (SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS s FROM events)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total,
+  CAST(count(*) FILTER (event_id % 10 = 0 AND s + INTERVAL 7 DAY <= b) AS BIGINT) AS late FROM w, bound GROUP BY 1, 2""",
+)
+def late_event_metrics(spark, sf_dir):
+    """Events in two loads, one in ten of them in the second: those of finished weeks are late."""
+    path, progress = _folders(spark)
+    e = b.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "event_type", "ts", "value")
+    sums = {"events": F.count(F.lit(1)), "total": F.sum("value")}
+    for part in (F.col("event_id") % 10 != 0, F.col("event_id") % 10 == 0):
+        e.filter(part).write.mode("append").parquet(f"{path}-landed")
+        inc.collect_bounded(
+            inc.file_stream(spark, f"{path}-landed", e.schema), "ts", "7 days",
+            lambda rows: inc.rolling_sums(rows, "ts", ["event_type"], sums, "7 days", None), "10 days", path, progress,
+        )
+    shares, late = (spark.read.parquet(f"{path}/{name}") for name in ("shares", "late"))
+    both = shares.withColumn("late", F.lit(0)).unionByName(late.withColumn("late", F.col("events")))
+    merged = inc.merged_sums(both, ["event_type"], ["events", "total", "late"])
+    return merged.select(
+        _second("window_start").alias("window_start"), "event_type", "events", F.round("total", 4).alias("total"), F.col("late").cast("bigint").alias("late")
+    )
+
+
 @query(
     "event_sessions",
     "Z04",

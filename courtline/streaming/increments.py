@@ -73,6 +73,32 @@ def rolling_sums(
     )
 
 
+def collect_bounded(
+    stream: DataFrame, time: str, length: str, reduce: Callable[[DataFrame], DataFrame], delay: str, path: str, checkpoint: str
+) -> None:
+    """Window shares of a stream with a bound on late rows.
+
+    The bound of a micro-batch is the newest time of all earlier ones less ``delay``; windows of
+    ``length`` that end before it are finished. Shares go to ``path/shares``, those of rows that
+    come for a finished window to ``path/late``, each batch into its own folder, so a replayed
+    batch overwrites itself. ``path/bounds`` holds one row per batch. Shares and late shares
+    together are exact in any order of arrival.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = "batch bigint, newest timestamp"
+        newest = batch.agg(F.lit(batch_id).cast("bigint").alias("id"), F.max(time).cast("timestamp").alias("newest"))
+        bounds = spark.read.schema(schema).parquet(f"{path}/bounds") if batch_id else spark.createDataFrame([], schema)
+        bound = bounds.filter(F.col("batch") < batch_id).agg((F.max("newest") - F.expr(f"interval {delay}")).alias("b")).first()["b"]
+        late = F.coalesce(F.window(time, length)["end"] <= F.lit(bound).cast("timestamp"), F.lit(False))
+        for name, rows in (("shares", batch.filter(~late)), ("late", batch.filter(late))):
+            reduce(rows).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        newest.drop("id").write.mode("overwrite").parquet(f"{path}/bounds/batch={batch_id}")
+
+    _run(stream.writeStream.foreachBatch(save), checkpoint).awaitTermination()
+
+
 def merged_sums(shares: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     return shares.groupBy("window_start", "window_end", *keys).agg(*[F.sum(n).alias(n) for n in sums])
 

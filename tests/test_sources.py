@@ -104,6 +104,26 @@ def test_stored_buckets_join_without_an_exchange(spark, tmp_path):
     assert facts.count() == 240 * 16 and per_game.count() == 240
 
 
+def test_late_rows_complete_finished_windows(spark, tmp_path):
+    """In any order of the files the windows are those of a batch; a replayed batch changes nothing."""
+    schema = "k string, ts timestamp, v int"
+    rows = spark.createDataFrame([("a" if i % 3 else "b", i * 7200, i) for i in range(400)], "k string, t bigint, v int").selectExpr("k", "timestamp_seconds(t) ts", "v")
+    sums = {"n": F.count(F.lit(1)), "v": F.sum("v")}
+    reduce = lambda r: inc.rolling_sums(r, "ts", ["k"], sums, "2 days", None)
+    want = sorted(map(tuple, inc.merged_sums(reduce(rows), ["k"], ["n", "v"]).collect()))
+    for order in ((0, 1, 2), (2, 0, 1)):
+        root = str(tmp_path / "".join(map(str, order)))
+        for part in order:
+            rows.filter(f"v >= {part} * 150 and v < ({part} + 1) * 150").coalesce(1).write.mode("append").parquet(f"{root}/in")
+            stream = inc.file_stream(spark, f"{root}/in", spark.createDataFrame([], schema).schema)
+            inc.collect_bounded(stream, "ts", "2 days", reduce, "1 day", f"{root}/out", f"{root}/progress")
+        late = spark.read.parquet(f"{root}/out/late")
+        both = spark.read.parquet(f"{root}/out/shares").unionByName(late)
+        assert sorted(map(tuple, inc.merged_sums(both, ["k"], ["n", "v"]).collect())) == want
+        behind = late.agg(F.sum("n")).first()[0]
+        assert behind is None if order == (0, 1, 2) else behind > 200
+
+
 def test_team_dimension(spark):
     rows = teams.team_dimension(spark).collect()
     assert len(rows) == 30 and len({r["abbreviation"] for r in rows}) == 30
