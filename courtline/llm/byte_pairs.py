@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtline.llm.common import let
@@ -21,6 +21,8 @@ SHARDS = 1 << 16
 COMMON = 1 << 17
 #: Words of more bytes are merged by a heap, as the fold takes time by the square of their length.
 LONG = 64
+#: Length that plan texts are cut to (``explain`` and the like).
+PLAN_TEXT = 20_000
 #: A token is one character, in the order of the ranks (``token_char``).
 _NONE = "\U0010ffff"
 _FIRST_CHAR = 1  # ``translate`` takes character 0 for none
@@ -193,17 +195,24 @@ def common_words(docs: DataFrame, ranks: RankMap, pattern: str, limit: int = COM
     return literal_map({r["word"]: r["tokens"] for r in rows})
 
 
+def _short_plan_texts(spark: SparkSession) -> None:
+    """Cut the texts of plans: the driver keeps some for each execution, and they spell the literals out."""
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, common: int = COMMON) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, ids (array of int).
 
     Each match of ``pattern`` is encoded by itself, without special tokens: text that matches
     nothing has no ids. Three ways to the same ids: a word among the ``common`` most frequent
     ones is looked up; others are folded in place; words over LONG bytes are merged by a heap
-    in Arrow batches. No text and no id is shuffled.
+    in Arrow batches. No text and no id is shuffled. Sets spark.sql.maxPlanStringLength of the
+    session to PLAN_TEXT.
 
     Null or empty text: no ids. A vocabulary must hold all single bytes. Repeated rows and null
     ids are encoded row by row; other columns are ignored; no rows, no result.
     """
+    _short_plan_texts(docs.sparkSession)
     pairs = RankMap(ranks)
     frequent = common_words(docs, pairs, pattern, common)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), pieces(F.col("text").cast("string"), pattern).alias("words"))
