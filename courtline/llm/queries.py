@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from courtline.llm.byte_pairs import encoded_digests, read_ranks
@@ -83,6 +82,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the vocabulary files; no other query needs them
+
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return encoded_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
