@@ -42,7 +42,17 @@ def performance_series(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("feature_build", "C05 K02 K03")
+@query(
+    "feature_build",
+    "C05 K02 K03",
+    b.with_ctes(b.GAMES_SQL, b.STINTS_SQL, ratings._EXPOSURE_SQL, ratings._RATED_SQL)
+    + f""", team_days AS (SELECT home_team_id AS team_id, game_date FROM games UNION SELECT away_team_id, game_date FROM games),
+fives AS (SELECT season_id, list_sort(home_lineup) AS lineup FROM stints UNION SELECT season_id, list_sort(away_lineup) FROM stints)
+SELECT 'season_stats' AS feature_table, CAST(season_id AS VARCHAR) AS part, CAST({len(context.METRICS)} AS BIGINT) AS rows FROM (SELECT DISTINCT season_id FROM games)
+UNION ALL SELECT 'player_rapm', CAST(season_id AS VARCHAR), count(*) FROM rated GROUP BY 2
+UNION ALL SELECT 'lineup_spacing', CAST(season_id AS VARCHAR), count(*) FROM fives GROUP BY 2
+UNION ALL SELECT 'team_game_fatigue', CAST(team_id AS VARCHAR), count(*) FROM team_days GROUP BY 2""",
+)
 def feature_build(spark, sf_dir):
     """Row counts of the four feature tables per season or team."""
     shots = b.shots(spark, sf_dir).withColumn("season_id", F.col("season").cast("string"))
