@@ -297,9 +297,14 @@ def fold_bets(spark, sf_dir):
 BACKTEST_ORDER = ["fold_num", "game_date", "game_id", "bet_type"]
 
 
+#: Folds of a block; folds grow with the games, so their prefix has a level above.
+FOLD_BLOCK = 64
+
+
 def backtest_curve(spark, sf_dir):
+    bets = fold_bets(spark, sf_dir).withColumn("fold_block", F.floor(F.col("fold_num") / FOLD_BLOCK))
     return bt.equity_curve(
-        fold_bets(spark, sf_dir), [], ["fold_num"], BACKTEST_ORDER,
+        bets, [], ["fold_block", "fold_num"], BACKTEST_ORDER,
         F.col("bet_fraction"), F.col("unit_profit"), same_stake=["fold_num", "game_date", "game_id"],
     )
 
