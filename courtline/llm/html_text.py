@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import map_batches
+from courtline.llm.common import map_batches, stored
 
 #: A host needs so many pages for its tree to tell noise from text.
 MIN_PAGES = 5
@@ -29,6 +29,7 @@ _TAG = re.compile(
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _DIGITS = re.compile(r"\d+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 _RAW = frozenset("script style textarea noscript template iframe svg math title xmp object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -184,73 +185,88 @@ def has_article(page: Page, dropped: list[bool], main: list[bool]) -> bool:
     return any(m and not d for m, d in zip(main, dropped, strict=True))
 
 
-def text_of(page: Page, low: frozenset[int] = frozenset()) -> str:
-    """Text blocks of the article, one per line.
-
-    With an article or main element (outside noise), its text; else all text. Noise by look
-    goes in any case; ``low`` are hashed paths of low importance, which go outside articles.
-    """
+def lines_of(page: Page) -> Iterator[tuple[list[tuple[int, str]], str]]:
+    """Blocks with the text that the look leaves of them: that of articles, or all where there are none."""
     dropped, main = zones(page)
     inside = has_article(page, dropped, main)
-    out = []
     for block in page.blocks:
-        if not inside and low and _hash(page.path(block[0][0])) in low:
-            continue
-        line = _squeezed(t for node, t in block if not dropped[node] and (main[node] or not inside))
-        if line:
-            out.append(line)
-    return "\n".join(out)
+        yield block, _squeezed(t for node, t in block if not dropped[node] and (main[node] or not inside))
+
+
+def text_of(page: Page) -> str:
+    """Text blocks of the article by the look alone, one per line.
+
+    With an article or main element (outside noise), its text; else all text.
+    """
+    return "\n".join(line for _, line in lines_of(page) if line)
 
 
 def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def _tree_rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Per node of a page: its path, its parent's, and what it shows (content, or children)."""
-    out = {k: [] for k in ("host", "path", "parent", "kind", "feature", "open")}
-    for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-        page = parse(source or "")
+def _parsed(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Per page its elements (path, parent's path, children) and blocks (path, parent's path, content, line).
+
+    ``judged`` blocks are those the tree may leave out. ``lead`` is the smallest sentence hash
+    of an article, null on pages without one; ``sign`` names the host and its judged paths.
+    """
+    names = ("page_id", "url", "host", "path", "parent", "children", "at", "above", "content", "line", "judged", "lead", "sign")
+    out = {k: [] for k in names}
+    for row in batch.to_pylist():
+        page = parse(row["html"] or "")
         dropped, main = zones(page)
-        free = not has_article(page, dropped, main)
         paths = [_hash(page.path(i)) for i in range(len(page.tag))]
-        for i in range(1, len(page.tag)):
-            out["host"].append(host)
-            out["path"].append(paths[i])
-            out["parent"].append(paths[page.parent[i]])
-            out["kind"].append("layout")
-            out["feature"].append(_hash(" ".join(page.children[i])))
-            out["open"].append(False)
-        for block in page.blocks:
-            node = block[0][0]
-            line = _squeezed(t for _, t in block)
-            if line:
-                out["host"].append(host)
-                out["path"].append(paths[node])
-                out["parent"].append(paths[max(0, page.parent[node])])
-                out["kind"].append("content")
-                out["feature"].append(_hash(line))
-                out["open"].append(free and not dropped[node])
-        if len(out["host"]) > 50_000:
+        blocks = [(b[0][0], _squeezed(t for _, t in b), line) for b, line in lines_of(page)]
+        blocks = [b for b in blocks if b[1]]
+        judged = [bool(line) and not dropped[node] for node, _, line in blocks]
+        asked = sorted({paths[node] for (node, _, _), j in zip(blocks, judged, strict=True) if j})
+        told = (_hash(x) for _, _, line in blocks if line for x in _SENTENCE.split(line))
+        lead = min(told, default=0) if has_article(page, dropped, main) else None
+        for k, v in zip(names, (
+            row["page_id"], row["url"], row["host"], paths[1:], [paths[i] for i in page.parent[1:]],
+            [_hash(" ".join(c)) for c in page.children[1:]], [paths[node] for node, _, _ in blocks],
+            [paths[max(0, page.parent[node])] for node, _, _ in blocks], [_hash(whole) for _, whole, _ in blocks],
+            [line for _, _, line in blocks], judged, lead,
+            xxhash.xxh3_128_digest(f"{row['host']} {asked}"),
+        ), strict=True):
+            out[k].append(v)
+        if len(out["host"]) >= 200:
             yield out
-            out = {k: [] for k in out}
+            out = {k: [] for k in names}
     yield out
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, importance) of the content nodes that pages without an article show.
+_PARSED = {
+    "page_id": "long", "url": "string", "host": "string", "path": "longs", "parent": "longs", "children": "longs", "at": "longs",
+    "above": "longs", "content": "longs", "line": "strings", "judged": "booleans", "lead": "long", "sign": "binary",
+}
+
+
+def style_tree(parsed: DataFrame) -> DataFrame:
+    """(host, path, shown, importance) of the content nodes that the tree may leave out.
 
     Same-host pages are merged by path. A node's importance is the entropy of what it shows
     over all its appearances, as a share of the largest possible (1 for one appearance):
-    GAMMA of its content's, the rest of its parent's layout's. Counts are combined in the map
-    tasks, so a host with a third of all pages weighs no more than its distinct nodes.
+    GAMMA of its content's, the rest of its parent's layout's. Articles with the same smallest
+    sentence hash are (near) copies, so what they share is shown once: a copied article is no
+    noise, a box that stands in many different articles is. Counts are combined in the map tasks, so a host with
+    a third of all pages weighs no more than its distinct nodes.
     """
+    layout = parsed.select("host", F.explode(F.arrays_zip("path", "parent", "children")).alias("e")).select(
+        "host", "e.path", "e.parent", F.lit("layout").alias("kind"), F.col("e.children").alias("feature"),
+        F.lit(False).alias("open"), F.lit(None).cast("bigint").alias("lead"),
+    )
+    content = parsed.select("host", "lead", F.explode(F.arrays_zip("at", "above", "content", "judged")).alias("e")).select(
+        "host", F.col("e.at").alias("path"), F.col("e.above").alias("parent"), F.lit("content").alias("kind"),
+        F.col("e.content").alias("feature"), F.col("e.judged").alias("open"),
+        F.when(F.col("e.judged"), F.col("lead")).alias("lead"),
+    )
     seen = (
-        map_batches(
-            pages.select("host", "html"), _tree_rows,
-            {"host": "string", "path": "long", "parent": "long", "kind": "string", "feature": "long", "open": "boolean"},
-        )
-        .groupBy("host", "path", "parent", "kind", "feature").agg(F.count("*").alias("n"), F.max("open").alias("open"))
+        layout.unionByName(content).groupBy("host", "path", "parent", "kind", "feature", "lead")
+        .agg(F.count("*").alias("n"), F.max("open").alias("open"))
+        .withColumn("n", F.when(F.col("lead").isNull(), F.col("n")).otherwise(1))
+        .groupBy("host", "path", "parent", "kind", "feature").agg(F.sum("n").alias("n"), F.max("open").alias("open"))
     )
     n = F.sum("n")
     entropy = F.when(n <= 1, 1.0).otherwise((F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n))
@@ -270,10 +286,11 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
-    Two passes: the first merges the pages of each host into a style tree, the second leaves
-    out of each page the branches of low importance, and what tags, roles and class names
-    call navigation, header, footer, side column, notice, advert, form or comments. Text of an
-    article or main element is never judged by the tree, so copies of an article stay whole.
+    Two passes: the first parses each page once, stores its elements and blocks and merges the
+    pages of each host into a style tree; the second leaves out of each page the blocks of low
+    importance, inside articles as outside. What tags, roles and class names call navigation,
+    header, footer, side column, notice, advert, form or comments goes whatever its importance.
+    Copies of an article stay whole: the tree counts what they share once.
 
     Null html is empty: empty text, 0 characters. Null or odd urls share the host of none.
     Repeated pages and a null page_id are extracted row by row. Other columns are ignored.
@@ -281,53 +298,21 @@ def main_text(pages: DataFrame) -> DataFrame:
     base = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).withColumn(
         "host", F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     )
+    parsed = stored(map_batches(base, _parsed, _PARSED))
     low = (
-        style_tree(base).filter((F.col("shown") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE) & (F.col("host") != ""))
+        style_tree(parsed).filter((F.col("shown") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE) & (F.col("host") != ""))
         .select("host", "path").distinct()
     )
-
-    told = map_batches(base, _told, {"page_id": "long", "url": "string", "text": "string"})
-    # pages without an article: their open paths meet the host's noise, then they are cut
-    key = F.sha2(F.concat_ws("\x00", F.coalesce("url", F.lit("")), F.col("html")), 256)
-    asked = map_batches(base, _asking, {"page_id": "long", "url": "string", "html": "string", "host": "string", "paths": "longs"})
-    asked = asked.withColumn("key", key)
-    noise = (
-        asked.select("key", "host", F.explode("paths").alias("path")).join(low, ["host", "path"])
-        .groupBy(F.col("key").alias("k")).agg(F.collect_set("path").alias("low"))
+    # pages of a host with the same judged paths lose the same ones: told once for all of them
+    paths = F.array_distinct(F.transform(F.filter(F.arrays_zip("at", "judged"), lambda b: b["judged"]), lambda b: b["at"]))
+    asked = parsed.select("sign", "host", F.explode(paths).alias("path")).distinct()
+    noise = stored(asked.join(low, ["host", "path"]).groupBy("sign").agg(F.collect_set("path").alias("low")))
+    gone = F.coalesce("low", F.array().cast("array<bigint>"))
+    stay = F.filter(
+        F.arrays_zip("at", "judged", "line"), lambda b: (b["line"] != "") & ~(b["judged"] & F.array_contains(gone, b["at"]))
     )
-    cut = map_batches(
-        asked.join(noise, F.col("key") == F.col("k"), "left").select("page_id", "url", "html", "low"),
-        _cut, {"page_id": "long", "url": "string", "text": "string"},
+    return (
+        parsed.select("page_id", "url", "at", "judged", "line", "sign").join(noise, "sign", "left")
+        .select("page_id", "url", F.array_join(F.transform(stay, lambda b: b["line"]), "\n").alias("text"))
+        .withColumn("n_chars", F.char_length("text").cast("bigint"))
     )
-    return told.union(cut).withColumn("n_chars", F.char_length("text").cast("bigint"))
-
-
-def _pages(batch: pa.RecordBatch) -> Iterator[tuple[Page, bool, list[bool], dict]]:
-    for row in batch.to_pylist():
-        page = parse(row["html"] or "")
-        dropped, main = zones(page)
-        yield page, has_article(page, dropped, main), dropped, row
-
-
-def _told(batch: pa.RecordBatch) -> Iterator[dict]:
-    rows = [(row["page_id"], row["url"], text_of(page)) for page, told, _, row in _pages(batch) if told]
-    yield dict(zip(("page_id", "url", "text"), map(list, zip(*rows, strict=True)) if rows else ([], [], []), strict=True))
-
-
-def _asking(batch: pa.RecordBatch) -> Iterator[dict]:
-    out = {k: [] for k in ("page_id", "url", "html", "host", "paths")}
-    for page, told, dropped, row in _pages(batch):
-        if not told:
-            for k in ("page_id", "url", "host"):
-                out[k].append(row[k])
-            out["html"].append(row["html"] or "")
-            out["paths"].append(sorted({_hash(page.path(b[0][0])) for b in page.blocks if not dropped[b[0][0]]}))
-    yield out
-
-
-def _cut(batch: pa.RecordBatch) -> Iterator[dict]:
-    rows = batch.to_pylist()
-    yield {
-        "page_id": [r["page_id"] for r in rows], "url": [r["url"] for r in rows],
-        "text": [text_of(parse(r["html"]), frozenset(r["low"] or ())) for r in rows],
-    }

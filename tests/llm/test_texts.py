@@ -162,6 +162,19 @@ def test_style_tree_drops_repeated_branches(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+def test_style_tree_judges_blocks_of_articles(spark):
+    # a nameless box in each article of a host goes; articles, and copies of one, stay whole
+    page = lambda i: f"<article><h1>Title {i}</h1><p>Text {i * 37 % 101}. And more {i}.</p><div class=x1><p>Buy now</p></div></article>"
+    copy = "<main><h1>One</h1><p>Same text. It is copied.</p><div class=y><p>Note</p></div></main>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(30)] + [(100 + i, f"http://b.example/{i}", copy) for i in range(20)]
+    rows += [(200, "http://a.example/c", page(3)), (201, "http://c.example/", page(4)), (None, None, page(5))]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == f"Title {i}\nText {i * 37 % 101}. And more {i}."
+    assert all(got[100 + i] == "One\nSame text. It is copied.\nNote" for i in range(20))
+    assert got[200] == got[3] and got[201] == "Title 4\nText 47. And more 4.\nBuy now" and got[None].endswith("Buy now")
+
+
 def test_language_id_holds_out(spark):
     rng = random.Random(4)
     parts = {"en": ["the", "and", "ing", "with", "ough"], "de": ["sch", "und", "keit", "der", "ung"], "fr": ["eau", "les", "tion", "que", "oux"], "es": ["ción", "los", "mente", "que", "ado"]}
