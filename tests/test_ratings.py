@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,19 @@ def test_lineup_needs_enough_shots(spark):
     assert row["shot_count"] == 5 and row["hull_area"] == 0.0 and row["centroid_x"] == 0.0
 
 
+def test_density_of_several_blocks_of_points():
+    rng = np.random.default_rng(2)
+    at = rng.integers([-250, -50], [251, 401], (3 * spacing.POINT_BLOCK + 5, 2)).astype(float)
+    k = rng.integers(1, 4, len(at))
+    rows = pd.DataFrame({"player_id": 1, "loc_x": at[:, 0], "loc_y": at[:, 1], "k": k})
+    got = np.array(spacing._density_of_player("player_id", 50)(rows)["density"][0])
+    every = np.repeat(at, k, axis=0)
+    cov = np.cov(every.T) * len(every) ** (-1 / 3)
+    gap = np.array([[x, y] for x in np.linspace(-250, 250, 50) for y in np.linspace(-50, 400, 50)])[:, None] - every
+    want = np.exp(-0.5 * np.einsum("cij,jk,cik->ci", gap, np.linalg.inv(cov), gap)).sum(1) / (2 * math.pi * math.sqrt(np.linalg.det(cov)) * len(every))
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_density_closed_form(spark):
     rng = random.Random(1)
     pts = [(rng.randrange(-200, 200), rng.randrange(0, 300)) for _ in range(30)]
