@@ -23,6 +23,9 @@ X_RANGE, Y_RANGE = (-250, 250), (-50, 400)
 #: Points that are laid over the whole lattice at a time: their terms stay in a core's cache.
 POINT_BLOCK = 64
 
+#: Shots that one task sums up: parts grow with the shots, so a task's memory does not.
+TASK_SHOTS = 1_000_000
+
 _POINTS = "array<struct<x:double,y:double>>"
 
 
@@ -65,17 +68,24 @@ def hull_area(lower: Column, upper: Column) -> Column:
 
 
 def player_summary(shots: DataFrame, keys: list[str]) -> DataFrame:
-    """Per player: hull chains and the sums behind the lineup means."""
+    """Per player: hull chains and the sums behind the lineup means.
+
+    Shots are dealt by player and court column before they are summed, columns by player before
+    they are listed, both to parts of about TASK_SHOTS shots: nearly each shot has a column of
+    its own, so sums ahead of the exchange would only hold all of them in memory.
+    """
+    least = int(shots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-shots.count() // TASK_SHOTS))
     corner = ((F.col("loc_x") < -CORNER_X) | (F.col("loc_x") > CORNER_X)) & (F.col("loc_y") < CORNER_Y)
     x, y = F.col("loc_x").cast("double"), F.col("loc_y").cast("double")
-    columns = shots.groupBy(*keys, "loc_x").agg(
+    columns = shots.repartition(parts, *keys, "loc_x").groupBy(*keys, "loc_x").agg(
         F.min(y).alias("low"), F.max(y).alias("high"), F.count(F.lit(1)).alias("n"),
         F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.sqrt(x * x + y * y)).alias("sd"),
         F.count_if(corner).alias("sc"),
     )
     at = F.col("loc_x").cast("double").alias("x")
     return (
-        columns.groupBy(*keys)
+        columns.repartition(parts, *keys).groupBy(*keys)
         .agg(
             F.array_sort(F.collect_list(F.struct(at, F.col("low").alias("y")))).alias("lows"),
             F.array_sort(F.collect_list(F.struct(at, (-F.col("high")).alias("y")))).alias("highs"),

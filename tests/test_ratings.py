@@ -144,6 +144,15 @@ def test_hull_equals_brute_force(spark, seed):
     assert hull(spark, pts) == pytest.approx(monotone_chain(pts))
 
 
+def test_parts_of_summaries_grow_with_the_shots(spark, monkeypatch):
+    monkeypatch.setattr(spacing, "TASK_SHOTS", 50)
+    shots = spark.range(2000).selectExpr("id % 7 as player_id", "cast(id % 101 as int) as loc_x", "cast(id % 53 as int) as loc_y")
+    summary = spacing.player_summary(shots, ["player_id"])
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and summary.rdd.getNumPartitions() == 40
+    assert {r["player_id"]: r["n"] for r in summary.collect()} == {i: len(range(i, 2000, 7)) for i in range(7)}
+
+
 def test_lineup_needs_enough_shots(spark):
     shots = spark.createDataFrame([(1, 10, 20)] * 5, "player_id bigint, loc_x int, loc_y int")
     lineups = spark.createDataFrame([([1, 2, 3, 4, 5],)], "lineup array<bigint>")
