@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.common import WordHashes, map_batches, saved, signed, stored, windows
+from courtline.llm.common import WordHashes, map_batches, mix, signed, stored, windows
 
 WINDOW = 20
 #: Words of an anchor. Every window has exactly one: its smallest-hashed run of so many words.
@@ -22,52 +24,93 @@ ANCHOR = 6
 UNIT_ROWS = 200
 #: Phrases compiled into one automaton at a time.
 SHARD_PHRASES = 20_000
+#: Words of several texts hashed at a time.
+CHUNK_WORDS = 200_000
+#: Bits of the map of documents that lose words: a fixed size whatever the corpus. It may let
+#: others through, which no window asks for; it never holds one back.
+MARKS = 1 << 24
 
 
-def passages(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, windows) of each run of windows with the same anchor.
+def passages(hashes: np.ndarray, lengths: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor hash, first window, windows) of each run of windows with the same anchor.
 
-    The anchor is chosen by the window's own words, so equal windows of any two documents
-    have the same one. A passage holds all windows around one anchor, seven or so.
+    ``hashes`` are the words of several texts, one after the other, of ``lengths`` words each; a
+    window counts within its text. The anchor is chosen by the window's own words, so equal
+    windows of any two documents have the same one. A passage holds all windows around one
+    anchor, seven or so.
     """
+    none = np.empty(0, np.int64)
     if len(hashes) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return none, np.empty(0, np.uint64), none, none
     grams = windows(hashes, anchor)
-    view = np.lib.stride_tricks.sliding_window_view(grams, window - anchor + 1)
-    at = view.argmin(axis=1) + np.arange(len(view))
+    # place of each window's smallest gram, the first of equal ones; the width doubles per round
+    low, at, wide = grams, np.arange(len(grams)), 1
+    while wide < window - anchor + 1:
+        step = min(wide, window - anchor + 1 - wide)
+        left, right = slice(0, len(low) - step), slice(step, None)
+        low, at = np.minimum(low[left], low[right]), np.where(low[right] < low[left], at[right], at[left])
+        wide += step
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    inside = (text[: len(at)] == text[window - 1 :]).nonzero()[0]
+    if not len(inside):
+        return none, np.empty(0, np.uint64), none, none
+    at = at[inside]
     begin = np.concatenate([[0], (np.diff(at) != 0).nonzero()[0] + 1])
-    return grams[at[begin]], begin, np.diff(np.concatenate([begin, [len(at)]]))
+    first = inside[begin]
+    start = first - (np.cumsum(lengths) - lengths)[text[first]]
+    return text[first], grams[at[begin]], start, np.diff(np.concatenate([begin, [len(at)]]))
 
 
-def _key(h: np.ndarray) -> np.ndarray:
-    return signed(np.ascontiguousarray(h))
+def _chunks(texts: Iterable[list[bytes]]) -> Iterator[list[list[bytes]]]:
+    """Word lists in groups of about CHUNK_WORDS words."""
+    group, size = [], 0
+    for words in texts:
+        group.append(words)
+        size += len(words)
+        if size >= CHUNK_WORDS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _passages(group: list[list[bytes]], hashes: WordHashes, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    lengths = np.array([len(words) for words in group], np.int64)
+    return passages(hashes.of([w for words in group for w in words]), lengths, window, anchor)
 
 
-def _summary(batch: pa.RecordBatch) -> Iterator[dict]:
-    words = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
-    yield {
-        "doc_id": batch.column("doc_id").to_pylist(), "n_words": [len(w) for w in words],
-        "sha": [hashlib.sha256(b" ".join(w)).hexdigest() for w in words],
-    }
+def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """Values of each of ``n`` texts, which are in order."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+
+
+def _key(h: np.ndarray) -> np.ndarray:
+    return signed(np.ascontiguousarray(h))
 
 
-def _anchors(window: int, anchor: int):
+def _summary(window: int, anchor: int):
+    """Number of words and digest of a text, and its anchors: those it holds once, and more often."""
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = batch.column("text").to_pylist()
-        yield {
-            "doc_id": batch.column("doc_id").to_pylist(),
-            "hs": [np.unique(_key(passages(hashes.of((t or "").encode().split()), window, anchor)[0]), return_counts=True) for t in texts],
-        }
-
-    def split(batch: pa.RecordBatch) -> Iterator[dict]:
-        for out in run(batch):
+        at, doc_id = 0, batch.column("doc_id")
+        for group in _chunks((t or "").encode().split() for t in batch.column("text").to_pylist()):
+            text, h, _, _ = _passages(group, hashes, window, anchor)
+            keys = _key(h)
+            order = np.lexsort((keys, text))
+            text, keys = text[order], keys[order]
+            begin = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)])
+            times = np.diff(np.concatenate([begin, [len(keys)]]))
+            once, more = begin[times == 1], begin[times > 1]
             yield {
-                "doc_id": out["doc_id"], "once": [h[n == 1] for h, n in out["hs"]], "more": [h[n > 1] for h, n in out["hs"]],
+                "doc_id": doc_id.slice(at, len(group)), "n_words": [len(w) for w in group],
+                "sha": [hashlib.sha256(b" ".join(w)).hexdigest() for w in group],
+                "once": _lists(text[once], keys[once], len(group)), "more": _lists(text[more], keys[more], len(group)),
             }
+            at += len(group)
 
-    return split
+    return run
 
 
 def _packed(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -75,6 +118,33 @@ def _packed(batch: pa.RecordBatch) -> Iterator[dict]:
     yield {"doc_id": batch.column("doc_id").to_pylist(), "blob": [pack((t or "").encode()) for t in batch.column("text").to_pylist()]}
 
 
+def _marks(docs: DataFrame) -> np.ndarray:
+    """MARKS bits, one set for the hash of each doc_id: a bounded table of 64-bit parts."""
+    parts = (
+        docs.select(_mark().alias("mark"))
+        .select(F.shiftright("mark", 6).alias("part"), F.expr("shiftleft(1L, cast(mark & 63 as int))").alias("bits"))
+        .groupBy("part").agg(F.bit_or("bits").alias("bits"))
+    ).toArrow()
+    marks = np.zeros(MARKS // 64, np.uint64)
+    marks[parts["part"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
+    return marks
+
+
+def _mark() -> Column:
+    return F.xxhash64("doc_id").bitwiseAND(MARKS - 1)
+
+
+def _packed_marked(marks: Broadcast):
+    """The packed texts whose doc_id is marked, and the few that share a bit with one."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        at = batch.column("mark").to_numpy().astype(np.uint64)
+        keep = (marks.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        yield from _packed(batch.filter(pa.array(keep)))
+
+    return run
+
+
 def _unpacked(blobs: Iterable[bytes]) -> Iterator[list[bytes]]:
     unpack = zstandard.ZstdDecompressor().decompress
     for b in blobs:
@@ -86,25 +156,22 @@ def _recurring(window: int, anchor: int):
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        out = {k: [] for k in ("h", "doc_id", "start", "n", "text", "run")}
-        for doc_id, wanted, words in zip(
-            batch.column("doc_id").to_pylist(), batch.column("hs").to_pylist(), _unpacked(batch.column("blob").to_pylist()), strict=True
-        ):
-            h, start, n = passages(hashes.of(words), window, anchor)
-            keys = _key(h)
-            for i in np.isin(keys, np.array(wanted, np.int64)).nonzero()[0].tolist():
-                s, m = int(start[i]), int(n[i])
-                text = b" ".join(words[s : s + m + window - 1])
-                out["h"].append(int(keys[i]))
-                out["doc_id"].append(doc_id)
-                out["start"].append(s)
-                out["n"].append(m)
-                out["text"].append(text)
-                out["run"].append(xxhash.xxh3_128_digest(text))
-            if len(out["h"]) > 20_000:
-                yield out
-                out = {k: [] for k in out}
-        yield out
+        ids, asked, before = batch.column("doc_id").to_pylist(), batch.column("hs").to_pylist(), 0
+        for group in _chunks(_unpacked(batch.column("blob").to_pylist())):
+            out = {k: [] for k in ("h", "doc_id", "start", "n", "text", "run")}
+            wanted = [set(hs) for hs in asked[before : before + len(group)]]
+            text, h, start, n = _passages(group, hashes, window, anchor)
+            for i, key, s, m in zip(text.tolist(), _key(h).tolist(), start.tolist(), n.tolist(), strict=True):
+                if key in wanted[i]:
+                    passage = b" ".join(group[i][s : s + m + window - 1])
+                    out["h"].append(key)
+                    out["doc_id"].append(ids[before + i])
+                    out["start"].append(s)
+                    out["n"].append(m)
+                    out["text"].append(passage)
+                    out["run"].append(xxhash.xxh3_128_digest(passage))
+            before += len(group)
+            yield out
 
     return run
 
@@ -126,23 +193,48 @@ def _windows_of(window: int):
     return run
 
 
+class Codes(dict):
+    """word -> number, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def _located(window: int):
     """Rows sorted by unit: compile a shard's phrases into an automaton, stream its passages.
 
     Per passage: (run, gone), the windows of it that stand at an earlier place.
     """
 
+    def hopeful(rows: list[dict], tokens: list[int], lengths: list[int]) -> Iterator[tuple[dict, tuple[int, ...], list[int]]]:
+        """Passages with windows that may stand twice, and those: their hash is another one's too."""
+        starts = np.cumsum([0, *lengths])
+        of = np.repeat(np.arange(len(rows)), lengths)
+        every = windows(mix(np.array(tokens, np.uint64)), window)
+        inside = (of[: len(every)] == of[window - 1 :]).nonzero()[0]
+        _, kind, times = np.unique(every[inside], return_inverse=True, return_counts=True)
+        often = np.array([row["homes"] is not None for row in rows])
+        at = inside[(times[kind] > 1) | often[of[inside]]]
+        passage, begin = np.unique(of[at], return_index=True)
+        for i, places in zip(passage.tolist(), np.split(at - starts[of[at]], begin[1:]), strict=False):
+            yield rows[i], tuple(tokens[starts[i] : starts[i + 1]]), places.tolist()
+
     def removed(rows: list[dict]) -> Iterator[tuple[bytes, list[int]]]:
-        codes: dict[bytes, int] = {}
+        if not rows:
+            return
+        codes = Codes()
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        texts = [tuple(codes.setdefault(w, len(codes)) for w in row["text"].split()) for row in rows]
+        words = [row["text"].split() for row in rows]
+        passages = list(hopeful(rows, list(map(codes.__getitem__, chain.from_iterable(words))), list(map(len, words))))
         first: dict[tuple, tuple[int, int]] = {}
         seen_twice = set()
-        for row, tokens in zip(rows, texts, strict=True):
+        for row, tokens, may in passages:
             whole = row["homes"] is None  # all passages of the anchor are here: confirm here
-            for j in range(len(tokens) - window + 1) if whole else row["homes"]:
+            for j in may if whole else row["homes"]:
                 phrase, place = tokens[j : j + window], (row["doc_id"], row["start"] + j)
-                if phrase in first or not whole or row["times"] > 1:
+                # one that stands in a single passage, however often that recurs, is first where it stands
+                if phrase in first or not whole:
                     seen_twice.add(phrase)
                 first[phrase] = min(place, first.get(phrase, place))
         for phrase in seen_twice:
@@ -150,7 +242,7 @@ def _located(window: int):
         if not len(automaton):
             return
         automaton.make_automaton()
-        for row, tokens in zip(rows, texts, strict=True):
+        for row, tokens, _ in passages:
             if row["streamed"]:
                 doc_id, start = row["doc_id"], row["start"] - window + 1
                 gone = [end - window + 1 for end, first in automaton.iter(tokens) if first < (doc_id, start + end)]
@@ -221,16 +313,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     one document; repeated rows give repeated result rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    summary = saved(map_batches(rows, _summary, {"doc_id": "long", "n_words": "long", "sha": "string"}))
+    summary = stored(map_batches(
+        rows, _summary(window, anchor), {"doc_id": "long", "n_words": "long", "sha": "string", "once": "longs", "more": "longs"}
+    ))
     first = summary.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("first"))
     marked = summary.join(first, "sha", "left").select(
         "doc_id", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")
     )
     originals = marked.filter("not copy and n_words >= %d" % window).select("doc_id").distinct()
 
-    anchors = stored(map_batches(
-        rows.filter("doc_id is not null"), _anchors(window, anchor), {"doc_id": "long", "once": "longs", "more": "longs"}
-    ))
+    anchors = summary.filter("doc_id is not null")
     # an anchor that one document holds twice recurs by itself
     every = anchors.select("doc_id", F.explode("once").alias("h"), F.lit(1).alias("k")).union(
         anchors.select("doc_id", F.explode("more").alias("h"), F.lit(2).alias("k"))
@@ -246,8 +338,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         {"h": "long", "doc_id": "long", "start": "long", "n": "long", "text": "binary", "run": "binary"},
     ))
 
-    # equal passages are one; an anchor whose passages are all equal needs no further count
-    distinct = (
+    # equal passages are one; an anchor whose passages are all equal needs no further count. Stored,
+    # as several steps ask for them: each would sort and move the texts anew
+    distinct = stored(
         found.groupBy("h", "run").agg(
             F.first("n").alias("n"), F.first("text").alias("text"),
             F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("times"),
@@ -255,7 +348,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     )
     # anchors with more distinct passages than a unit takes; the table's size is known to the planner
     hot = stored(
-        found.select("h", "run").distinct().groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > UNIT_ROWS)
+        distinct.groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > UNIT_ROWS)
         .select("h", F.ceil(F.col("kinds") / UNIT_ROWS).cast("int").alias("units"))
     )
     known = distinct.join(hot, "h", "left")
@@ -267,7 +360,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         .groupBy("w").agg(F.min(F.struct("doc_id", "at", "run", "j")).alias("home"))
         .groupBy(F.col("home.run").alias("run")).agg(F.collect_set("home.j").alias("homes"))
     )
-    columns = ["h", "units", "run", "text", "doc_id", "start", "times", "homes"]
+    columns = ["h", "units", "run", "text", "doc_id", "start", "homes"]
     small = known.filter("units is null").withColumn("homes", F.lit(None).cast("array<int>"))
     large = known.filter("units is not null").join(homes, "run", "left").withColumn("homes", F.coalesce("homes", F.array().cast("array<int>")))
     # a passage is streamed in one unit; its phrases stand in all units of the anchor
@@ -276,7 +369,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     copies = F.when(F.size("homes") == 0, F.array(own)).otherwise(F.sequence(F.lit(0), units - 1))
     work = (
         small.select(columns).union(large.select(columns)).withColumn("u", F.explode(copies))
-        .select("run", "text", "doc_id", "start", "times", "homes", (F.col("u") == own).alias("streamed"), F.xxhash64("h", "u").alias("unit"))
+        .select("run", "text", "doc_id", "start", "homes", (F.col("u") == own).alias("streamed"), F.xxhash64("h", "u").alias("unit"))
     )
     located = work.repartition("unit").sortWithinPartitions("unit").mapInArrow(_located(window), "run binary, gone array<int>")
     first_at = distinct.filter("times > 1").select("run", F.col("doc_id").alias("fd"), F.col("start").alias("fs"))
@@ -286,11 +379,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     )
     again = F.col("fd").isNotNull() & ((F.col("fd") != F.col("doc_id")) | (F.col("fs") != F.col("start")))
     windows_gone = F.when(again, F.sequence(F.lit(0), F.col("n").cast("int") - 1)).otherwise(F.col("gone"))
-    gone = places.select("doc_id", "start", windows_gone.alias("gone")).filter("gone is not null").select(
-        "doc_id", F.transform("gone", lambda j: F.col("start") + j).alias("gone")
+    gone = stored(
+        places.select("doc_id", "start", windows_gone.alias("gone")).filter("gone is not null")
+        .select("doc_id", F.transform("gone", lambda j: F.col("start") + j).alias("gone"))
+        .groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
+    )
+    # only texts that lose words are moved again
+    losing = map_batches(
+        rows.filter("doc_id is not null and text is not null").withColumn("mark", _mark()),
+        _packed_marked(docs.sparkSession.sparkContext.broadcast(_marks(gone))), {"doc_id": "long", "blob": "binary"},
     )
     cut = map_batches(
-        blobs.join(gone.groupBy("doc_id").agg(F.collect_list("gone").alias("gone")), "doc_id"), _kept(window),
+        losing.join(gone, "doc_id"), _kept(window),
         {"doc_id": "long", "n_removed": "long", "kept_sha256": "string"},
     ).withColumnsRenamed({"doc_id": "_d", "n_removed": "_r", "kept_sha256": "_k"}).dropDuplicates(["_d"])
     return marked.join(cut, F.col("doc_id") == F.col("_d"), "left").select(

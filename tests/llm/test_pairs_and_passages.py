@@ -97,6 +97,29 @@ def test_substrings_equal_brute_force(spark):
     assert dedup_substrings(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_are_merged_once_and_only_losing_texts_move(spark):
+    rows = [(i, " ".join(words(i, 60)), "", "") for i in range(40)] + [(50, " ".join(words(3, 60)[:40]), "", "")]
+    plan = dedup_substrings(spark.createDataFrame(rows, DOCS))._jdf.queryExecution().optimizedPlan().toString()
+    # the texts of passages were sorted anew for each step that asked for them
+    assert "first(text" not in plan and "max_by" not in plan
+    assert plan.count("mapInArrow") + plan.count("MapInArrow") == 2
+
+
+def test_passages_of_several_texts_are_those_of_each():
+    import numpy as np
+
+    from courtline.llm.substring_dedup import passages
+
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 30, n).astype(np.uint64) for n in (0, 5, 19, 20, 21, 80, 3, 200, 0)]
+    parts = passages(np.concatenate(texts), np.array([len(t) for t in texts]), 20, 6)
+    assert parts[3].sum() == sum(max(0, len(t) - 19) for t in texts)
+    for i, t in enumerate(texts):
+        alone = passages(t, np.array([len(t)]), 20, 6)
+        for x, y in zip(alone[1:], parts[1:], strict=True):
+            assert x.tolist() == y[parts[0] == i].tolist()
+
+
 def test_decontamination(spark):
     item = "A train leaves Boston at 7:30 and runs 90 km to the coast while Mary waits 15 minutes for the other line"
     moved = item.replace("Boston", "Denver").replace("7:30", "9:45").replace("90 km", "120 miles").replace("Mary", "Peter")
