@@ -40,3 +40,51 @@ def test_lines_close_once_and_late_quotes_go_aside(spark, tmp_path):
             os.remove(f"{commits}/{name}")
     closing.store_lines(closing.closed_lines(stream, "5 minutes"), table, progress)
     assert spark.read.parquet(table).count() == before
+
+
+class Calls:
+    """A key's state that counts the calls; each is a round trip to the JVM."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, [], []
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+def test_a_batch_looks_at_the_state_of_a_key_once():
+    import pandas as pd
+
+    state, line = Calls(), closing.ClosingLine()
+    line.init(state)
+    frames = [pd.DataFrame(b, columns=["game_id", "source", "quoted_at", "price", "tip_off"]) for b in BATCHES[:2]]
+    frames = [f[f["game_id"] == 1] for f in frames]
+    assert list(line.handleInputRows((1, "a"), iter(frames[:1]), None)) == []
+    assert state.calls == ["get", "update"] and len(state.timers) == 1
+    late = list(line.handleInputRows((1, "a"), iter(frames[1:]), None))
+    assert [x["price"].tolist() for x in late] == [[9.9]] and state.value == (at(9), 1.8, at(10))
+    before = len(state.calls)
+    assert list(line.handleInputRows((1, "a"), iter(frames[:1]), None)) == []
+    assert state.calls[before:] == ["get"] and len(state.timers) == 1  # nothing new, nothing written
+    closed = list(line.handleExpiredTimer((1, "a"), None, None))
+    assert [x.values.tolist() for x in closed] == [[[1, "a", "closed", pd.Timestamp(at(9)), 1.8, pd.Timestamp(at(10))]]]
+    assert state.value is None and list(line.handleExpiredTimer((1, "a"), None, None)) == []
