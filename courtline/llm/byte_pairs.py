@@ -7,7 +7,7 @@ import heapq
 import json
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from courtline.llm.common import let
 
-#: A literal map is an array of so many small maps; a look-up searches one of them.
+#: A constant map is an array of so many small maps; a look-up searches one of them.
 SHARDS = 1 << 16
 #: Distinct words encoded once and looked up: the most frequent ones, at most so many.
 COMMON = 1 << 17
@@ -60,47 +60,59 @@ def java_pattern(pattern: str) -> str:
     return re.sub(r"\\.", lambda m: spelled.get(m[0], m[0]), pattern)
 
 
-def literal_map(entries: dict[str, str]) -> Column:
-    """Constant array of SHARDS maps of strings; the optimizer folds it once."""
-    shards: list[dict[str, str]] = [{} for _ in range(SHARDS)]
-    for key, value in entries.items():
-        shards[zlib.crc32(key.encode()) % SHARDS][key] = value
-    return F.from_json(F.lit(json.dumps(shards)), "array<map<string,string>>")
+def constant_map(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> Column:
+    """Constant array of SHARDS maps of strings, the value of a subquery.
+
+    A literal of that size would be spelled out in every text of a plan that the driver keeps,
+    and would be there once for each use; a subquery's value is one block of bytes. Functions with
+    lambdas may not be given subqueries: put it into a column that the next ``select`` uses once,
+    by ``let``. The optimizer makes one projection of both, so that no row holds the map.
+    """
+    shards: list[list[str]] = [[] for _ in range(SHARDS)]
+    for key, value in entries:
+        shards[zlib.crc32(key.encode()) % SHARDS].append(f"{json.dumps(key)}:{json.dumps(value)}")
+    text = "[" + ",".join("{" + ",".join(shard) + "}" for shard in shards) + "]"
+    row = spark.createDataFrame([(text,)], "entries string")
+    return row.select(F.from_json("entries", "array<map<string,string>>").alias("maps")).scalar()
 
 
-def found(literal: Column, key: Column) -> Column:
-    """Value of a key of a literal map, null where it has none."""
-    return F.try_element_at(F.get(literal, (F.crc32(key.cast("binary")) % SHARDS).cast("int")), key)
+def found(maps: Column, key: Column) -> Column:
+    """Value of a key of a constant map, null where it has none."""
+    return F.try_element_at(F.get(maps, (F.crc32(key.cast("binary")) % SHARDS).cast("int")), key)
 
 
 class RankMap:
-    """The literal rank map: the token that two neighbouring tokens merge to, as characters.
+    """The constant rank map: the token that two neighbouring tokens merge to, as characters.
 
     The rank of a merge is the rank of the token it makes, and characters sort as ranks do.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        entries = {}
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                x, y = ranks.get(token[:i]), ranks.get(token[i:])
-                if x is not None and y is not None:
-                    entries[token_char(x) + token_char(y)] = token_char(rank)
-        self.literal = literal_map(entries)
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
+        def entries() -> Iterator[tuple[str, str]]:
+            for token, rank in ranks.items():
+                for i in range(1, len(token)):
+                    x, y = ranks.get(token[:i]), ranks.get(token[i:])
+                    if x is not None and y is not None:
+                        yield token_char(x) + token_char(y), token_char(rank)
+
+        self.maps = constant_map(spark, entries())
         self.latin = "".join(map(chr, range(256)))
         self.bytes = "".join(token_char(ranks[bytes([i])]) for i in range(256))
 
-    def merged(self, pair: Column) -> Column:
-        return F.coalesce(found(self.literal, pair), F.lit(_NONE))
+    @staticmethod
+    def merged(maps: Column, pair: Column) -> Column:
+        return F.coalesce(found(maps, pair), F.lit(_NONE))
 
     def tokens(self, word: Column) -> Column:
         """A word as a string of its byte tokens."""
         return F.translate(F.decode(word.cast("binary"), "ISO-8859-1"), self.latin, self.bytes)
 
 
-def merged(word: Column, ranks: RankMap) -> Column:
+def merged(word: Column, ranks: RankMap, maps: Column) -> Column:
     """Tokens of one word, as a string of token characters, by a fold over its bytes.
 
+    ``maps`` is the value of ``ranks.maps``.
+
     The state holds the tokens and what each pair of neighbours merges to. One step makes the
     leftmost merge of the lowest rank and looks up the two pairs that are new; without a
     ranked pair the state stays.
@@ -110,14 +122,14 @@ def merged(word: Column, ranks: RankMap) -> Column:
         return F.aggregate(F.array(value), state, body)
 
     def start(tokens: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(tokens) - 1), lambda i: ranks.merged(F.substring(tokens, i, F.lit(2))))
+        pairs = F.transform(F.sequence(F.lit(1), F.length(tokens) - 1), lambda i: ranks.merged(maps, F.substring(tokens, i, F.lit(2))))
         return F.struct(tokens.alias("tokens"), F.array_join(pairs, "").alias("pairs"))
 
     def join(s: Column, low: Column, p: Column) -> Column:
         before, behind = F.substring(s["tokens"], p - 1, F.lit(1)), F.substring(s["tokens"], p + 2, F.lit(1))
         left = F.when(p > 1, F.array(F.concat(before, low))).otherwise(F.array().cast("array<string>"))
         right = F.when(p < F.length(s["pairs"]), F.array(F.concat(low, behind))).otherwise(F.array().cast("array<string>"))
-        fresh = F.array_join(F.transform(F.concat(left, right), ranks.merged), "")
+        fresh = F.array_join(F.transform(F.concat(left, right), lambda pair: ranks.merged(maps, pair)), "")
         first, n = F.greatest(p - 1, F.lit(1)), F.least(p + 1, F.lit(3))
         return F.struct(
             F.overlay(s["tokens"], low, p, F.lit(2)).alias("tokens"),
@@ -178,7 +190,7 @@ def pieces(text: Column, pattern: str) -> Column:
 
 
 def common_words(docs: DataFrame, ranks: RankMap, pattern: str, limit: int = COMMON) -> Column:
-    """Literal of the most frequent distinct words of all texts, with their tokens.
+    """Constant map of the most frequent distinct words of all texts to their tokens.
 
     All words are counted, in the map tasks first; the ``limit`` most frequent ones are
     encoded, once each, and gathered. The others are not cut off: ``encode`` folds each of
@@ -191,12 +203,13 @@ def common_words(docs: DataFrame, ranks: RankMap, pattern: str, limit: int = COM
         .filter((F.octet_length("word") <= LONG) & (F.col("n") > 1))
         .orderBy(F.desc("n"), "word").limit(limit).repartition(spread)
     )
-    rows = words.select("word", merged(F.col("word"), ranks).alias("tokens")).collect()
-    return literal_map({r["word"]: r["tokens"] for r in rows})
+    held = words.select("word", ranks.maps.alias("pairs"))
+    rows = held.select("word", let(F.col("pairs"), lambda maps: merged(F.col("word"), ranks, maps)).alias("tokens")).toArrow()
+    return constant_map(docs.sparkSession, zip(*(rows[c].to_pylist() for c in ("word", "tokens")), strict=True))
 
 
 def _short_plan_texts(spark: SparkSession) -> None:
-    """Cut the texts of plans: the driver keeps some for each execution, and they spell the literals out."""
+    """Cut the texts of plans: the driver keeps some for each execution, and they spell literals out."""
     spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
 
 
@@ -213,17 +226,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, common: int =
     ids are encoded row by row; other columns are ignored; no rows, no result.
     """
     _short_plan_texts(docs.sparkSession)
-    pairs = RankMap(ranks)
+    pairs = RankMap(docs.sparkSession, ranks)
     frequent = common_words(docs, pairs, pattern, common)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), pieces(F.col("text").cast("string"), pattern).alias("words"))
     rows = rows.withColumn("long", F.array_distinct(F.filter("words", lambda w: F.octet_length(w) > LONG)))
     rows = rows.withColumn("known", F.map_from_arrays("long", _long_words(ranks)("long")))
 
-    def tokens(word: Column) -> Column:
-        short = F.coalesce(found(frequent, word), merged(word, pairs))
+    def tokens(word: Column, maps: Column) -> Column:
+        short = F.coalesce(found(maps["frequent"], word), merged(word, pairs, maps["pairs"]))
         return F.when(F.octet_length(word) > LONG, F.try_element_at("known", word)).otherwise(short)
 
-    joined = rows.select("doc_id", F.array_join(F.transform("words", tokens), "").alias("tokens"))
+    held = rows.select("doc_id", "words", "known", frequent.alias("frequent"), pairs.maps.alias("pairs"))
+    every = let(F.struct("frequent", "pairs"), lambda maps: F.array_join(F.transform("words", lambda w: tokens(w, maps)), ""))
+    joined = held.select("doc_id", every.alias("tokens"))
     ids = F.transform(F.split("tokens", ""), lambda c: char_rank(c, ranks))
     return joined.select("doc_id", F.when(F.length("tokens") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
 

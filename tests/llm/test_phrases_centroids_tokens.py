@@ -264,6 +264,15 @@ def test_ids_equal_tiktoken(spark):
     assert sorted(((r["doc_id"], bytes(r["raw"])) for r in back), key=repr) == sorted(((i, (t or "").encode()) for i, t, *_ in rows), key=repr)
 
 
+def test_constant_maps_are_subqueries_and_no_row_holds_them(spark):
+    df = spark.createDataFrame([(1, "a word and a word")], "doc_id bigint, text string")
+    got = encode(df, RANKS, public_tokenizers.PATTERN)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 10_000 and plan.count("scalar-subquery") >= 2
+    assert " AS pairs#" not in plan and " AS frequent#" not in plan
+    assert [r["ids"] for r in got.collect()] == [TIKTOKEN.encode_ordinary("a word and a word")]
+
+
 def test_digests(spark):
     rows = token_rows()
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, words int")
