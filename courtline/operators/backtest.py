@@ -225,6 +225,26 @@ def equity_curve(
     )
 
 
+def curve_summaries(curve: DataFrame, group: list[str], order: list[str], value: str, rank: str) -> DataFrame:
+    """One row per chunk: peak, low, end, own_fall, inner (longest stay), last and rising records."""
+    inside = Window.partitionBy(*group).orderBy(*order, rank)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = (
+        curve.select(*dict.fromkeys([*group, *order, rank, value])).withColumn("__before", F.max(value).over(earlier))
+        .withColumn("__top", F.greatest("__before", F.col(value)))
+        .withColumn("__record", F.when(F.col(value) >= F.col("__top"), F.col(rank)))
+        .withColumn("__gap", F.col("__record") - F.max("__record").over(earlier))
+    )
+    above = F.col("__before").isNull() | (F.col(value) > F.col("__before"))
+    record = F.when(F.col("__record").isNotNull() & above, F.struct(F.col("__record").alias("n"), F.col(value).alias("v")))
+    return rows.groupBy(*group).agg(
+        F.max(value).alias("peak"), F.min(value).alias("low"), F.max(rank).alias("end"),
+        F.max(F.try_divide(F.col("__top") - F.col(value), F.col("__top"))).alias("own_fall"),
+        F.max(F.when(F.col("__gap") > 1, F.col("__gap"))).alias("inner"), F.max("__record").alias("last"),
+        F.sort_array(F.collect_list(record)).alias("records"),
+    )
+
+
 def drawdown(
     curve: DataFrame,
     keys: list[str],
@@ -237,32 +257,23 @@ def drawdown(
     """Deepest fall from a peak and longest stay below one, in steps, per key.
 
     A stay lasts from a peak to the next row at or above it. Each chunk of the curve becomes a
-    summary: its peak and low, its own deepest fall, its end, and its records (rows at or above
-    all before them in the chunk). Summaries merge: under an earlier peak P the low falls
-    (P - low) / P, records under P are none, and what they hid is part of a longer stay. So the
-    rows are read once, and only summaries are stored and prefixed.
+    summary: its peak and low, its own deepest fall and longest stay, its end, and of its records
+    (rows at or above all before them in the chunk) the last one and those above all before. Rows
+    that only equal the peak, as all do on a curve that is at zero, are not listed. Summaries
+    merge: under an earlier peak P the low falls (P - low) / P, records under P are none, and
+    what they hid is part of a longer stay. So the rows are read once, and only summaries are
+    stored and prefixed.
     """
     ensure_checkpoint_dir(curve.sparkSession)
     group = [*keys, *levels]
-    inside = Window.partitionBy(*group).orderBy(*[c for c in order if c not in levels], rank)
-    top = F.greatest(F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col(value))
-    rows = curve.select(*dict.fromkeys([*group, *order, rank, value])).withColumn("__top", top)
-    record = F.when(F.col(value) >= F.col("__top"), F.struct(F.col(rank).alias("n"), F.col(value).alias("v")))
-    chunks = rows.groupBy(*group).agg(
-        F.max(value).alias("peak"), F.min(value).alias("low"), F.max(rank).alias("end"),
-        F.max((F.col("__top") - F.col(value)) / F.col("__top")).alias("own_fall"),
-        F.sort_array(F.collect_list(record)).alias("records"),
-    ).checkpoint()
+    chunks = curve_summaries(curve, group, [c for c in order if c not in levels], value, rank).checkpoint()
 
     peak = F.greatest(F.lit(start), F.col("peak__before"))
-    n = F.size("records")
-    gaps = F.zip_with(F.slice("records", F.lit(1), n - 1), F.slice("records", F.lit(2), n - 1), lambda a, b: b["n"] - a["n"])
     placed = chunks.join(chunk_prefix(chunks.select(*group, "peak"), keys, levels, {"peak": "max"}), group).select(
-        *group, "end",
+        *group, "end", "inner",
         F.greatest("own_fall", (peak - F.col("low")) / peak).alias("fall"),
-        F.array_max(F.filter(gaps, lambda g: g > 1)).alias("inner"),
         F.get(F.filter("records", lambda r: r["v"] >= peak), 0)["n"].alias("first_at"),
-        F.when(F.col("peak") >= peak, F.element_at("records", -1)["n"]).alias("last_at"),
+        F.when(F.col("peak") >= peak, F.col("last")).alias("last_at"),
     )
     lasts = chunk_prefix(placed.select(*group, "last_at"), keys, levels, {"last_at": "last"})
     since = F.coalesce("last_at__before", F.lit(0))

@@ -74,6 +74,18 @@ def test_drawdown_summaries_merge(spark, seed):
         assert got[key]["max_drawdown"] == pytest.approx(depth) and got[key]["max_drawdown_steps"] == steps
 
 
+def test_drawdown_summaries_list_only_rising_records(spark):
+    path = [5.0, 7.0] + [0.0] * 40 + [7.0] * 100 + [9.0]
+    df = spark.createDataFrame([(0, i, v) for i, v in enumerate(path, 1)], "chunk int, bet_no int, bankroll double")
+    row = backtest.curve_summaries(df, ["chunk"], ["bet_no"], "bankroll", "bet_no").first()
+    assert [tuple(r) for r in row["records"]] == [(1, 5.0), (2, 7.0), (143, 9.0)]
+    assert (row["inner"], row["last"], row["end"], row["own_fall"]) == (41, 143, 143, 1.0)
+    got = backtest.drawdown(df, [], ["chunk"], ["bet_no"], start=6.0).first()
+    assert (got["max_drawdown"], got["max_drawdown_steps"]) == (1.0, 41)
+    zeros = df.union(spark.createDataFrame([(1, 144, 0.0), (1, 145, 0.0)], df.schema))  # a chunk that never leaves zero
+    assert backtest.drawdown(zeros, [], ["chunk"], ["bet_no"], start=6.0).first()["max_drawdown"] == 1.0
+
+
 def test_equity_shares_start_within_a_game(spark):
     rows = [(0, "a", 1, 0.02, 1.0), (0, "a", 2, 0.02, -1.0), (0, "b", 1, 0.01, 0.5)]
     df = spark.createDataFrame(rows, "chunk int, game string, n int, f double, u double")
