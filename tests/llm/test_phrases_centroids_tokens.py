@@ -128,6 +128,19 @@ def test_rare_words_break_phrases_and_are_counted():
     assert [keeps(xxhash.xxh64_intdigest(str(i))) for i in range(500)] == known.holds(prints).tolist()
 
 
+def test_prints_are_counted_by_half_their_bits(spark):
+    text = "a b c " * 40
+    df = spark.createDataFrame([(1, text, "en"), (2, "a d", "en")], "doc_id bigint, text string, lang string")
+    counts = phrases._print_counts(df, range(1, 3), None)
+    assert dict(counts.dtypes) == {"fp": "int", "n": "bigint"}
+    chunks = [Chunk("en", [(1, t)], Words()) for t in (text, "a d")]
+    prints = np.concatenate([c.fingerprints(size)[1] for c in chunks for size in (1, 2)])
+    want = Counter((prints & np.uint64(2**32 - 1)).astype(np.uint32).view(np.int32).tolist())
+    assert {r["fp"]: r["n"] for r in counts.collect()} == {h: n for h, n in want.items() if n >= phrases.LEAST} and len(want) == 8
+    known = phrases.BitMap(phrases._bitmap(counts))
+    assert [int(known.holds(c.fingerprints(1)[1]).sum()) for c in chunks] == [120, 1]
+
+
 def test_rolled_hashes_are_equal_for_equal_words_only():
     words = Words()
     chunk = Chunk("en", [(1, "a b c a b, c a b c"), (None, "b c a b")], words)
