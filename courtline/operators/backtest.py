@@ -195,7 +195,8 @@ def equity_curve(
 
     A stake is a fraction of the bankroll, so the bankroll is a running product,
     kept as a running sum of logarithms. With ``same_stake`` (columns that name a
-    game) the few bets of one game are sized on the bankroll before that game.
+    game) the few bets of one game are sized on the bankroll before that game; the
+    bets are stored then, as every level of the sum would make them anew.
     """
     change = bets.withColumn("__r", fraction * unit_profit)
     if same_stake:
@@ -212,6 +213,8 @@ def equity_curve(
                 ).otherwise(0.0),
             }
         )
+        ensure_checkpoint_dir(bets.sparkSession)
+        change = change.checkpoint()
     else:
         change = change.withColumns({"__within": F.col("__r"), "__log": F.log1p("__r")})
     walked = running(

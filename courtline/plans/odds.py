@@ -302,7 +302,9 @@ FOLD_BLOCK = 64
 
 
 def backtest_curve(spark, sf_dir):
-    bets = fold_bets(spark, sf_dir).withColumn("fold_block", F.floor(F.col("fold_num") / FOLD_BLOCK))
+    bets = fold_bets(spark, sf_dir).select(
+        *BACKTEST_ORDER, "bet_fraction", "unit_profit", F.floor(F.col("fold_num") / FOLD_BLOCK).alias("fold_block")
+    )
     return bt.equity_curve(
         bets, [], ["fold_block", "fold_num"], BACKTEST_ORDER,
         F.col("bet_fraction"), F.col("unit_profit"), same_stake=["fold_num", "game_date", "game_id"],

@@ -94,6 +94,15 @@ def test_equity_shares_start_within_a_game(spark):
     assert got == pytest.approx([102.0, 100.0, 100.5])
 
 
+def test_equity_makes_the_bets_of_shared_games_once(spark):
+    bets = spark.range(6).select(
+        F.lit(0).alias("chunk"), F.floor(F.col("id") / 2).alias("game"), "id", F.lit(0.02).alias("f"), F.lit(1.0).alias("u")
+    )
+    out = backtest.equity_curve(bets, [], ["chunk"], ["game", "id"], F.col("f"), F.col("u"), same_stake=["game"])
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["bet_no"] for r in out.orderBy("game", "id").collect()] == [1, 2, 3, 4, 5, 6]
+
+
 def test_folds_do_not_leak(spark):
     games = spark.range(730).select(
         F.col("id").alias("game_id"), F.date_add(F.lit(DAY), (F.col("id") / 4).cast("int")).alias("game_date")
