@@ -16,7 +16,7 @@ import xxhash
 from courtline.llm import collocations as phrases
 from courtline.llm.byte_pairs import decode, encode, encoded_digests, java_pattern, merge_long, read_ranks
 from courtline.llm.centroids import BITS, BLOCK_ROWS, Nearest, centroid_clusters, hilbert_keys, zone_maps
-from courtline.llm.collocations import Chunk, Words, collocations
+from courtline.llm.collocations import Chunk, Gathered, Words, _added, collocations
 
 RANKS = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -255,6 +255,31 @@ def test_candidates_hold_every_nearest_centroid():
     assert ruled_out > 1_000
 
 
+def test_counts_are_added_by_one_sort_and_prints_made_once():
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 50, n).astype(np.uint32) + np.uint32(4_294_967_200) for n in (0, 300, 700)]
+    counted = np.empty(0, np.uint64)
+    for part in parts:
+        counted = _added(counted, [part])
+    values, n = np.unique(np.concatenate(parts), return_counts=True)
+    assert (counted >> np.uint64(32)).tolist() == values.tolist() and (counted & np.uint64(0xFFFFFFFF)).tolist() == n.tolist()
+    chunk = Chunk("en", [(1, "a b c. a b")], Words())
+    assert chunk.fingerprints(2) is chunk.fingerprints(2)
+
+
+def test_gathered_occurrences_wait_and_phrases_of_one_fingerprint_stay_apart():
+    got, row = Gathered(), lambda *x: np.array([x], np.int32)
+    numbers = np.concatenate([row(i, 0, 0, 0) for i in range(10)])
+    got.add(np.arange(10, dtype=np.uint64), numbers, np.arange(10) + 5, 0)
+    assert got.n_waiting == 0 and len(got.n) == 10
+    got.add(np.array([3], np.uint64), row(3, 0, 0, 0), np.array([2]), 0)
+    assert got.n_waiting == 1
+    got.add(np.array([4], np.uint64), row(99, 0, 0, 0), np.array([1]), 0)
+    got.settle()
+    rows = sorted(zip(got.prints.tolist(), got.numbers[:, 0].tolist(), got.n.tolist(), got.docs.tolist(), strict=True))
+    assert rows == sorted([(i, i, 1 + (i == 3), 2 if i == 3 else i + 5) for i in range(10)] + [(4, 99, 1, 1)])
+
+
 # ---- byte pairs
 
 def token_rows():
