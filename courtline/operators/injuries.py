@@ -132,6 +132,15 @@ def adjust_predictions(predictions: DataFrame, teams: DataFrame) -> DataFrame:
     )
 
 
+def listed(members: DataFrame, players: DataFrame) -> DataFrame:
+    """Lineup rows of ``members`` whose player is in ``players``, with that row's columns.
+
+    Spark takes exploded rows for as small as the table they came from and would send them whole
+    through the driver. The join hashes ``players``, a row per player, by player in the tasks.
+    """
+    return members.join(players.hint("shuffle_hash"), "player_id")
+
+
 def best_replacements(
     wanted: DataFrame, player_games: DataFrame, recency: list[str], same_team: bool = True
 ) -> DataFrame:
@@ -152,8 +161,9 @@ def best_replacements(
     mates = player_games.select(
         "game_id", "team_id", "minutes", F.col("player_id").alias("replacement_id")
     ).filter(F.col("minutes") > REPLACEMENT_MINUTES)
-    met = recent.withColumnRenamed("game_id", "seen_in").join(
-        mates.withColumnRenamed("game_id", "seen_in"), "seen_in"
+    # hashed by game in the tasks, ten rows a starter at most; mates may be exploded rows (see ``listed``)
+    met = mates.withColumnRenamed("game_id", "seen_in").join(
+        recent.withColumnRenamed("game_id", "seen_in").hint("shuffle_hash"), "seen_in"
     )
     if same_team:
         met = met.filter("team_id = own_team")
@@ -228,7 +238,7 @@ def two_scenario_adjustment(
     )
     # both are read by several branches below, and are small beside their inputs
     ensure_checkpoint_dir(games.sparkSession)
-    uncertain = members.join(doubtful, "player_id").filter(
+    uncertain = listed(members, doubtful).filter(
         F.col("play_probability") < CERTAIN_TO_PLAY
     ).checkpoint()
     spare = best_replacements(

@@ -157,7 +157,7 @@ def best_replacements(spark, sf_dir):
     doubtful = probabilities(spark, sf_dir).filter(
         F.lower("status").isin(av.UNCERTAIN_STATUSES) & (F.col("play_probability") < 0.99)
     ).select("player_id")
-    wanted = members.join(doubtful, "player_id").select("game_id", "player_id", "lineup")
+    wanted = inj.listed(members, doubtful).select("game_id", "player_id", "lineup")
     return inj.best_replacements(wanted, player_games(spark, sf_dir), ["game_id"])
 
 

@@ -200,6 +200,26 @@ def test_no_injuries_no_change(spark):
     assert row["home_win_prob_adjusted"] == 0.999 and row["injury_uncertainty"] == 0.0
 
 
+def test_exploded_lineups_are_never_broadcast(spark):
+    """The planner takes them for as small as the games; at 900,000 games they filled the driver."""
+    ids = lambda *p: F.array(*[F.lit(x).cast("bigint") for x in p])
+    games = spark.range(300).select(F.col("id").alias("game_id"), ids(*range(5)).alias("home_lineup"), ids(*range(5, 10)).alias("away_lineup"))
+    played = spark.range(300).select(F.col("id").alias("game_id"), F.explode(ids(*range(10), 11)).alias("player_id")).select(
+        "game_id", "player_id", F.when(F.col("player_id").between(5, 9), 1).otherwise(0).alias("team_id"), F.lit(20.0).alias("minutes")
+    )
+    reports = spark.range(12).select(F.col("id").alias("player_id"), F.when(F.col("id") == 2, "gtd").otherwise("out").alias("status"), F.lit(0.4).alias("play_probability"))
+    ratings = spark.range(12).select(F.col("id").alias("player_id"), F.col("id").cast("double").alias("rapm"))
+    planned = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    members = games.select("game_id", F.col("home_lineup").alias("lineup"), F.explode("home_lineup").alias("player_id"))
+    assert "Broadcast" not in planned(injuries.listed(members, reports))
+    wanted = members.filter("player_id = 2").select("game_id", "player_id", "lineup")
+    assert "ShuffledHashJoin" in planned(injuries.best_replacements(wanted, played, ["game_id"]))
+    out = injuries.two_scenario_adjustment(games, reports, played, ["game_id"], injuries.linear_scorer(ratings))
+    rows = out.groupBy(F.round("predicted_margin_adjusted", 6), F.round("predicted_total_adjusted", 6)).count().collect()
+    # player 11 would stand in for 2: margin -25 + 0.6 * 9, total 242.5 + 0.6 * 4.5
+    assert [tuple(r) for r in rows] == [(-19.6, 245.2, 300)]
+
+
 def test_walk_forward_with_trainer(spark):
     n = 140
     games = spark.range(n).select(
