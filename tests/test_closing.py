@@ -88,3 +88,64 @@ def test_a_batch_looks_at_the_state_of_a_key_once():
     closed = list(line.handleExpiredTimer((1, "a"), None, None))
     assert [x.values.tolist() for x in closed] == [[[1, "a", "closed", pd.Timestamp(at(9)), 1.8, pd.Timestamp(at(10))]]]
     assert state.value is None and list(line.handleExpiredTimer((1, "a"), None, None)) == []
+
+
+def test_lines_of_a_bucket_are_those_of_each_line(spark, tmp_path):
+    """Several lines a state, closing at different times, late and tied quotes, a tip-off that moves, a null source."""
+    import random
+
+    draw = random.Random(5)
+    rows = []
+    for _ in range(400):
+        game, minute = draw.randrange(12), draw.randrange(300)
+        tip = at(20 * game + (30 if game == 7 and minute > 60 else 0) + draw.choice([0, 0.25]) * (game == 3))
+        rows.append((game, draw.choice(["a", "b", None]), at(minute), float(draw.randrange(4)), tip))
+    rows.sort(key=lambda r: r[2])
+    found = {}
+    for buckets in (None, 2):
+        landed, table, progress = (str(tmp_path / f"{n}-{buckets}") for n in ("landed", "lines", "progress"))
+        for k in range(4):
+            spark.createDataFrame(rows[k * 100 : k * 100 + 100], QUOTES).coalesce(1).write.mode("append").parquet(landed)
+            stream = inc.file_stream(spark, landed, spark.createDataFrame([], QUOTES).schema)
+            closing.store_lines(closing.closed_lines(stream, "40 minutes", buckets), table, progress)
+        found[buckets] = sorted(map(str, spark.read.parquet(table).collect()))
+    assert found[2] == found[None]
+    assert sum("closed" in r for r in found[2]) > 20 and sum("late" in r for r in found[2]) > 100
+
+
+class Lists(Calls):
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.value or ())
+
+    def put(self, value):
+        self.calls.append("put")
+        self.value = value
+
+
+class Passed:
+    def __init__(self, time):
+        self.time = time
+
+    def getCurrentWatermarkInMs(self):
+        return int(self.time.replace(tzinfo=dt.UTC).timestamp() * 1000)
+
+
+def test_a_bucket_is_read_and_written_once_for_all_its_lines():
+    import pandas as pd
+
+    state, lines = Lists(), closing.ClosingLines()
+    lines.init(state)
+    frame = pd.DataFrame([(g, "a", at(1), float(g), at(10 + g)) for g in range(100)], columns=[*closing.LINE, "quoted_at", "price", "tip_off"])
+    assert list(lines.handleInputRows((0,), iter([frame[:60], frame[60:]]), None)) == []
+    assert state.calls == ["get", "put"] and len(state.value) == 100 and len(state.timers) == 1
+    assert list(lines.handleInputRows((0,), iter([frame.assign(quoted_at=at(0))]), None)) == []
+    assert state.calls[2:] == ["get"] and len(state.timers) == 1  # nothing new, nothing written
+    (closed,) = lines.handleExpiredTimer((0,), Passed(at(40)), None)
+    assert closed["price"].tolist() == [float(g) for g in range(30)] and len(state.value) == 70
+    assert state.calls[3:] == ["get", "put"] and len(state.timers) == 2
+    (closed,) = lines.handleExpiredTimer((0,), Passed(at(400)), None)
+    assert len(closed) == 70 and state.value is None
