@@ -105,6 +105,70 @@ def test_passages_are_merged_once_and_only_losing_texts_move(spark):
     assert plan.count("mapInArrow") + plan.count("MapInArrow") == 2
 
 
+def test_anchors_of_several_units_equal_brute_force(spark, monkeypatch):
+    from courtline.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "UNIT_ROWS", 5)
+    line = words(9, 24)  # windows of many passages, between words of their own
+    rows = corpus() + [(400 + i, " ".join(words(500 + i, 30) + line + words(600 + i, 30)), "", "") for i in range(30)]
+    got = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in dedup_substrings(spark.createDataFrame(rows, DOCS)).collect()}
+    texts = {i: (t or "").encode().split() for i, t, *_ in rows if i is not None}
+    seen = set()
+    for i in sorted(texts):
+        gone = [False] * len(texts[i])
+        for k in range(len(texts[i]) - 19):
+            key = tuple(texts[i][k : k + 20])
+            if key in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(key)
+        kept = b" ".join(x for x, g in zip(texts[i], gone) if not g)
+        assert got[i] == (sum(gone), hashlib.sha256(kept).hexdigest()), i
+
+
+def test_units_grow_with_the_passages_of_an_anchor(spark, monkeypatch):
+    """Each of an anchor's units held the phrases of all its passages: a passage had a row in all 20 here."""
+    from courtline.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "UNIT_ROWS", 20)
+    line = words(2000, 21)
+    texts = [words(k, 26) for k in range(200)] + [words(k, 22) + words(k + 500, 4) for k in range(100)] + [words(k, 5) + line for k in range(900, 1000)]
+    rows = [(1, bytes([k // 256, k % 256]), 7, " ".join(t).encode(), k, 0, 1) for k, t in enumerate(texts)]
+    distinct = spark.createDataFrame(rows, "h bigint, run binary, n bigint, text binary, doc_id bigint, start bigint, times bigint")
+    dealt = substring_dedup._dealt(distinct, 20).collect()
+    assert len(dealt) < 3 * len(rows)
+    units = {}
+    for r in dealt:
+        units.setdefault(r["unit"], {})[bytes(r["run"])] = r["streamed"]
+    assert max(map(len, units.values())) < 100
+    # the passages that begin alike meet, and so do those with the line
+    runs = [r[1] for r in rows]
+    assert all(any({runs[k], runs[200 + k]} <= set(u) for u in units.values()) for k in range(100))
+    assert all(any(u.get(runs[k]) and runs[300] in u for u in units.values()) for k in range(300, 400))
+
+
+def test_a_passage_alone_in_its_unit_is_not_compiled():
+    import pyarrow as pa
+
+    from courtline.llm.substring_dedup import _shards
+
+    units = [1, 2, 2, 3, *[4] * 5000, 5, *[6] * 3000, 7]
+    rows = pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(range(len(units)))], names=["unit", "row"])
+    parts = [b.column("unit").to_pylist() for b in _shards(rows.slice(k, 700) for k in range(0, len(units), 700))]
+    assert sorted(sum(parts, [])) == [2, 2, *[4] * 5000, *[6] * 3000]
+    assert all(sum(u in p for p in parts) == 1 for u in (2, 4, 6)) and list(_shards(iter([]))) == []
+
+
+def test_words_have_one_hash_wherever_they_stand():
+    from courtline.llm.substring_dedup import word_hashes
+
+    plain = ["a", "b", "aa", "abcdefgh", "abcdefghi", "é", "x" * 64, "x" * 65, "x" * 300, "abcdefgh\0", "abcdefgh\0\0", "i"]
+    raw = " ".join(plain + plain[::-1]).encode()
+    hashes, start, end = word_hashes(raw)
+    assert [raw[a:b].decode() for a, b in zip(start, end)] == plain + plain[::-1]
+    assert hashes[: len(plain)].tolist() == hashes[len(plain) :][::-1].tolist() and len(set(hashes.tolist())) == len(plain)
+    assert [word_hashes(w.encode())[0][0] for w in plain] == hashes[: len(plain)].tolist() and not len(word_hashes(b"")[0])
+
+
 def test_passages_of_several_texts_are_those_of_each():
     import numpy as np
 
