@@ -113,6 +113,15 @@ def test_equal_fingerprints_are_told_apart_by_their_words(monkeypatch):
     assert counted_locally(phrase_rows()[:-1]) == whole and len(whole) > 1_000
 
 
+def test_equal_numbers_of_two_languages_are_two_phrases():
+    rows = lambda lang, n: (np.full(n, 7, np.uint64), np.full((n, phrases.LONGEST), 2, np.int32), np.ones(n, np.int64), np.arange(n), np.full(n, lang, np.int32))
+    _, _, n, docs, lang = phrases._merged([rows(0, 3), rows(1, 2)])
+    counts = Counter()
+    for k, m in zip(lang.tolist(), n.tolist(), strict=True):
+        counts[k] += m
+    assert counts == {0: 3, 1: 2} and len(docs) >= 2
+
+
 def test_rare_words_break_phrases_and_are_counted():
     words = Words(lambda h: h != xxhash.xxh64_intdigest(b"odd"))
     chunk = Chunk("en", [(1, "a b odd a b")], words)
