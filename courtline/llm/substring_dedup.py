@@ -340,8 +340,9 @@ def _dealt(distinct: DataFrame, window: int) -> DataFrame:
         distinct.groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > UNIT_ROWS)
         .select("h", F.ceil(F.col("kinds") / UNIT_ROWS).cast("int").alias("units"))
     )
+    crowded = distinct.join(hot, "h").select("h", "units", "run", "text", "doc_id", "start")
     occurring = stored(map_batches(
-        distinct.join(hot, "h").select("h", "units", "run", "text", "doc_id", "start"), _windows_of(window),
+        crowded, _windows_of(window),
         {"w": "long", "at": "long", "h": "long", "units": "int", "run": "binary", "doc_id": "long"},
     ))
     parts = F.ceil(F.col("k") / UNIT_ROWS).cast("int").alias("parts")
@@ -357,7 +358,7 @@ def _dealt(distinct: DataFrame, window: int) -> DataFrame:
         dealt.select(own.alias("unit"), "run", F.lit(True).alias("streamed"))
         .union(firsts.select(F.xxhash64("h", "w", F.col("part").cast("bigint")), "home.run", F.lit(False)))
         .groupBy("unit", "run").agg(F.max("streamed").alias("streamed"))
-        .join(distinct.select("run", "text", "doc_id", "start"), "run")
+        .join(crowded.select("run", "text", "doc_id", "start"), "run")
     )
     columns = ["unit", "run", "text", "doc_id", "start", "streamed"]
     small = distinct.join(hot, "h", "left_anti").withColumns({"unit": F.xxhash64("h"), "streamed": F.lit(True)})
